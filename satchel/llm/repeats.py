@@ -253,7 +253,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, limit: int = LIMIT) -> tuple[D
     copied = written(rows.groupBy("md5").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("keeper")).where("copies > 1"), "copied")
     one = rows.join(few(copied.select("md5", "keeper")), "md5", "left").where(F.col("keeper").isNull() | (F.col("keeper") == F.col("doc_id"))).select("doc_id", "th", "text")
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    places = arrow_rows(one, _anchors(kind), f"doc_id {doc_kind}, th long, h long, start int, n int")
+    places = written(arrow_rows(one, _anchors(kind), f"doc_id {doc_kind}, th long, h long, start int, n int"), "places")
     times = places.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     again = places.join(times, "h")
     by_doc = again.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "h", "times")).alias("places"))

@@ -86,7 +86,10 @@ def common_prefixes(word: np.ndarray, before: np.ndarray, starts: np.ndarray, wi
         go = np.flatnonzero(q >= 0)
         while len(go):
             diff = word[p[go] + length[go]] ^ word[q[go] + length[go]]
-            equal = sum(((diff >> np.uint64(shift)) == 0).astype(np.int64) for shift in range(0, 64, 8))
+            equal = np.full(len(go), 8)
+            some = np.flatnonzero(diff)
+            if len(some):
+                equal[some] = sum(((diff[some] >> np.uint64(shift)) == 0).astype(np.int64) for shift in range(8, 64, 8))
             length[go] = np.minimum(length[go] + equal, size)
             go = go[(equal == 8) & (length[go] < size)]
         out[p] = np.where(q >= 0, length[:n], -1)
