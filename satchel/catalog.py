@@ -1,14 +1,14 @@
-"""Every registered query with its SQL for a second engine."""
+"""Every registered query of the library with its SQL for a second engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from satchel.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Hybrid search: keyword and vector rankings of a batch of queries, fused."""
+    return QUERIES["v4_hybrid"](spark, sf_dir)
