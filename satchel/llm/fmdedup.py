@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm.repeats import LIMIT, Kind, covered_symbols, removed, spans
+from satchel.llm.repeats import LIMIT, Kind, covered_symbols, removed, replaced, spans
 from satchel.llm.shared import mix64
 
 SIZE = 35
@@ -202,8 +202,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataF
     """``docs`` (doc_id, text, other columns); a text with repeated windows becomes its kept
     words joined by spaces, others stay as they are."""
     kind = Kind(size, 4, 8, words_as_symbols, repeated)
-    kept = removed(docs.select("doc_id", "text"), kind, keep_words(size), limit).where("n_removed > 0").select("md5", "kept").dropDuplicates(["md5"])
-    return docs.withColumn("md5_", F.md5(F.coalesce("text", F.lit("")))).join(kept.withColumnRenamed("md5", "md5_"), "md5_", "left").withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    return replaced(docs, kind, keep_words(size), limit)
 
 
 def words_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,6 +295,13 @@ def removed(docs: DataFrame, kind: Kind, keep_text: Callable, limit: int = LIMIT
     return arrow_rows(joined, run, f"doc_id {doc_kind}, th long, md5 string, n_symbols long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
+def replaced(docs: DataFrame, kind: Kind, keep_text: Callable, limit: int = LIMIT) -> DataFrame:
+    """``docs`` (doc_id, text, other columns) with the kept text where anything was removed."""
+    kept = removed(docs.select("doc_id", "text"), kind, keep_text, limit).where("n_removed > 0").select(F.col("md5").alias("_md5"), F.col("kept").alias("_kept")).dropDuplicates(["_md5"])
+    marked = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")))).join(kept, "_md5", "left")
+    return marked.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+
+
 def covered_symbols(n: int, size: int, whole: bool, windows: list | None) -> np.ndarray:
     """Which of ``n`` symbols a repeated window covers."""
     if whole:

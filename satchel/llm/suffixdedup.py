@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm.repeats import LIMIT, Kind, covered_symbols, removed, spans
+from satchel.llm.repeats import LIMIT, Kind, covered_symbols, removed, replaced, spans
 
 SIZE = 200
 
@@ -145,8 +145,7 @@ def whole_characters(own: np.ndarray, out: np.ndarray) -> str:
 def deduplicated(docs: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataFrame:
     """``docs`` (doc_id, text, other columns) with its repeated bytes removed from text."""
     kind = Kind(size, 32, 1, bytes_as_symbols, repeated)
-    kept = removed(docs.select("doc_id", "text"), kind, keep_bytes(size), limit).where("n_removed > 0").select("md5", "kept").dropDuplicates(["md5"])
-    return docs.withColumn("md5_", F.md5(F.coalesce("text", F.lit("")))).join(kept.withColumnRenamed("md5", "md5_"), "md5_", "left").withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    return replaced(docs, kind, keep_bytes(size), limit)
 
 
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
