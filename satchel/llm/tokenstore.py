@@ -36,17 +36,20 @@ from satchel.llm.shared import arrow_rows, written
 
 LEAST, BITS, MOST = 128, 9, 4096
 #: Pieces of text whose ids a worker keeps; beyond it, pieces are encoded anew each time.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 #: Chunk hashes a task remembers so as not to send the same bytes twice.
 CACHE_CHUNKS = 100_000
 SPACES = re.compile(r"\s\s")
+#: White space other than a space or a line feed, and what could be a special token.
+ODD = re.compile(r"[^\S \n]|<\|")
 SAFE = re.compile(r"(?<=\S)(?=\s)")
 
 
 class Encoder:
     """Ids of texts by a tokenizer file. Texts are cut before white space that follows a
-    character which is none, where byte-level pre-tokenisation always cuts too; ids of a
-    piece are asked of the library once and remembered, as bytes."""
+    character which is none, where byte-level pre-tokenisation always cuts too. Ids of a
+    piece are asked of the library once, many new pieces in one text whose offsets tell them
+    apart, and remembered as bytes; in ``known`` a word stands for itself after a space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,29 +57,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """Joined, they are ``text``."""
-        if SPACES.search(text) or "\t" in text:
-            return SAFE.split(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *(p if p[:1] == "\n" else " " + p for p in rest)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Add ``words`` to ``known``."""
+        pieces = [w if w[:1] == "\n" else " " + w for w in words]
+        if any(p[-1].isspace() or "<|" in p for p in pieces):
+            odd = [k for k, p in enumerate(pieces) if p[-1].isspace() or "<|" in p]
+            self.known.update((words[k], self.whole(pieces[k])) for k in odd)
+            out = set(odd)
+            words, pieces = [w for k, w in enumerate(words) if k not in out], [p for k, p in enumerate(pieces) if k not in out]
+        for k in range(0, len(words), 512):
+            part = pieces[k : k + 512]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(p) for p in part])
+            at = np.searchsorted(np.array([o[0] for o in e.offsets]), ends, "left").tolist()
+            ids = np.array(e.ids, "<u4").tobytes()
+            self.known.update((w, ids[4 * i : 4 * j]) for w, i, j in zip(words[k : k + 512], [0, *at[:-1]], at, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        new = list({p for c in cut for p in c if p not in known})
-        fresh = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[p] = np.array(e.ids, "<u4").tobytes()
-        if len(known) < CACHE_PIECES:
-            known.update(fresh)
-            return [b"".join(map(known.__getitem__, c)) for c in cut]
-        both = known | fresh if len(fresh) > len(known) else None
-        get = both.__getitem__ if both else lambda p: fresh.get(p) if p in fresh else known[p]
-        return [b"".join(map(get, c)) for c in cut]
+        known, out = self.known, []
+        for k in range(0, len(texts), 256):
+            cut = [None if not t or SPACES.search(t) or ODD.search(t) else t.replace("\n", " \n").split(" ") for t in texts[k : k + 256]]
+            new: set[str] = set()
+            for c in cut:
+                if c:
+                    new.update(c[1:])
+            fresh = list(new.difference(known))
+            self.learn(fresh)
+            for t, c in zip(texts[k : k + 256], cut, strict=True):
+                if c:
+                    out.append((self.whole(c[0]) if c[0] else b"") + b"".join(map(known.__getitem__, c[1:])))
+                else:
+                    out.append(b"".join(self.whole(p) for p in SAFE.split(t)) if t else b"")
+            if len(known) > CACHE_PIECES:
+                for w in fresh:
+                    del known[w]
+        return out
 
 
 @lru_cache(maxsize=2)
