@@ -1,8 +1,8 @@
 """Token ids in a content-addressed store.
 
 Format. ``chunks``: id streams, one per document, end id included, are cut where a rolling
-hash says so; a chunk is its ids as little-endian unsigned 32-bit integers, deflated, under
-the hash of its ids, and is stored once however many documents hold it. Every use of a
+hash says so; a chunk is its ids as unsigned 32-bit integers, low bytes first (all lowest
+bytes, then all next ones), under the hash of its ids, and is stored once however many documents hold it. Every use of a
 chunk is a row (document row, place, chunk hash); the first use of each carries the bytes.
 ``recipes``: per document, in ascending doc_id order over all files, the ordered chunk
 hashes, the number of ids and the Merkle root of the hashes; ``manifests``: per file of
@@ -39,12 +39,17 @@ LEAST, BITS, MOST = 128, 9, 4096
 CACHE_PIECES = 500_000
 #: Chunk hashes a task remembers so as not to send the same bytes twice.
 CACHE_CHUNKS = 100_000
-SPACES = re.compile(r"\s\s")
-#: White space other than a space or a line feed, and what could be a special token.
-ODD = re.compile(r"[^\S \n]|<\|")
+#: White space other than a space or a line feed.
+ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SAFE = re.compile(r"(?<=\S)(?=\s)")
 
 
+def plain(text: str) -> bool:
+    """Whether all white space of ``text`` is single spaces and line feeds, and nothing in it
+    could be a special token."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or ODD.search(text))
+
+
 class Encoder:
     """Ids of texts by a tokenizer file. Texts are cut before white space that follows a
     character which is none, where byte-level pre-tokenisation always cuts too. Ids of a
@@ -80,7 +85,7 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         known, out = self.known, []
         for k in range(0, len(texts), 256):
-            cut = [None if not t or SPACES.search(t) or ODD.search(t) else t.replace("\n", " \n").split(" ") for t in texts[k : k + 256]]
+            cut = [t.replace("\n", " \n").split(" ") if t and plain(t) else None for t in texts[k : k + 256]]
             new: set[str] = set()
             for c in cut:
                 if c:
@@ -138,7 +143,7 @@ def _chunk_rows(path: str, end_id: int):
                 seq.append(i)
                 names.append(h)
                 n.append(e - start)
-                data.append(None if h in sent else zlib.compress(packed(part), 1))
+                data.append(None if h in sent else packed(part))
                 if len(sent) < CACHE_CHUNKS:
                     sent.add(h)
                 start = e
@@ -212,7 +217,7 @@ def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         names, crc, n, good = [], [], [], []
         for h, data in zip(b.column("chunk").to_pylist(), b.column("bytes"), strict=True):
-            ids = unpacked(zlib.decompress(data.as_py()))
+            ids = unpacked(data.as_py())
             names.append(h)
             crc.append(zlib.crc32(ids))
             n.append(len(ids) // 4)
@@ -249,7 +254,7 @@ def reconstruct(chunks: DataFrame, recipes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [b"".join(unpacked(zlib.decompress(p["bytes"])) for p in parts) for parts in b.column("parts").to_pylist()]
+            ids = [b"".join(unpacked(p["bytes"]) for p in parts) for parts in b.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
 
     stored = chunks.where(F.col("bytes").isNotNull()).select("chunk", "bytes")
