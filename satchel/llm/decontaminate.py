@@ -74,7 +74,7 @@ def occurrences(docs: DataFrame, items: DataFrame, row: str = "row", size: int =
     prefix = written(rarest.join(whole, "wid", "left_anti").select("wid", "n", F.col("t.token").alias("token"), F.col("t.pos").alias("off")), "prefix")
     starts = at.join(fits(prefix), "token").where(F.col("pos") >= F.col("off")).select(row, "wid", (F.col("pos") - F.col("off")).alias("start")).distinct()
     by_row = starts.join(fits(win), "wid").groupBy(row).agg(F.collect_list(F.struct("item_id", "start", "window")).alias("cand"))
-    there = split.join(by_row, row)
+    there = docs.select(row, "text").join(by_row, row).select(row, words(F.col("text")).alias("w"), "cand")
     exact = F.filter("cand", lambda c: F.slice("w", c["start"] + 1, F.size(c["window"])) == c["window"])
     return there.select(row, F.transform(exact, lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"), F.size(c["window"]).alias("n"))).alias("found")).where(F.size("found") > 0)
 
@@ -85,13 +85,14 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     keep = [c for c in docs.columns if c not in (*new, "row")]
     docs = docs.select(*keep, F.md5(F.coalesce("text", F.lit(""))).alias("row"))
+    counted = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long"))
     found = occurrences(docs.select("row", "text"), items, "row", size)
     covered = F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
     ids = F.array_sort(F.array_distinct(F.transform("found", lambda c: c["item_id"].cast("string"))))
     per = found.groupBy("row").agg(F.max("found").alias("found")).select("row", F.size(covered).cast("long").alias("n_hit"), ids.alias("ids"))
     none = F.array().cast("array<string>")
-    return docs.join(per, "row", "left").select(
-        *keep, F.size(words(F.col("text"))).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return counted.join(per, "row", "left").select(
+        *keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("ids", none)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("ids", none), ","), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
