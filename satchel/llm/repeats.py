@@ -160,9 +160,40 @@ def fingerprints(x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def half_keys(parts: list[np.ndarray], anchors: np.ndarray, size: int, gram: int) -> np.ndarray:
+    """Which segments may share a window with another one. A window reaches at least half of its
+    other symbols to the left or to the right of its anchor, so equal windows have an equal
+    left or an equal right half, anchor included; a segment with neither half elsewhere has no
+    repeated window. The anchor is the first gram of the segment with the anchor's hash: an
+    earlier one would have been in its first window and been chosen."""
+    lengths = np.array([len(p) for p in parts])
+    starts = np.cumsum(lengths) - lengths
+    x = np.concatenate(parts).astype(np.uint64)
+    at = np.flatnonzero(grams(x, gram) == np.repeat(anchors, lengths)[: len(x) - gram + 1])
+    own, first = np.unique(np.searchsorted(starts, at, "right") - 1, return_index=True)
+    at = at[first]
+    keep = np.ones(len(parts), bool)
+    keep[own] = False
+    left, right = (size - gram + 1) // 2, size - gram + 1 - (size - gram + 1) // 2
+    for reach, begin, inside in (
+        (left, at - left, at - left >= starts[own]),
+        (right, at, at + gram + right <= starts[own] + lengths[own]),
+    ):
+        n = reach + gram
+        k = 1 << (n.bit_length() - 1)
+        b, who = begin[inside], own[inside]
+        if not len(b):
+            continue
+        g = grams(x, k)
+        key = mix64(g[b] * np.uint64(0x9FB21C651E98DF25) ^ g[b + n - k]) ^ mix64(anchors[who])
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep[who[count[inverse] > 1]] = True
+    return keep
+
+
 def _shard(kind: Kind, limit: int):
-    """Index the segments of a shard; mark repeated windows. Segments whose anchor has no other
-    segment here need no index."""
+    """Index the segments of a shard; mark repeated windows. Segments whose anchor, or both of
+    its halves, are in no other segment here need no index."""
 
     def run(table: pa.Table) -> pa.Table:
         sid, seg, h = table.column("sid").to_pylist(), table.column("seg").to_pylist(), table.column("h").to_numpy()
@@ -170,9 +201,13 @@ def _shard(kind: Kind, limit: int):
         _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
         hot = times > limit
         marks: list[np.ndarray | None] = [np.ones(len(s) // kind.width - kind.size + 1, bool) if c > 1 else None for s, c in zip(seg, copies.tolist(), strict=True)]
-        chosen = np.flatnonzero(count[inverse] > 1).tolist()
+        symbols = np.uint8 if kind.width == 1 else np.uint64
+        chosen = np.flatnonzero(count[inverse] > 1)
+        if len(chosen):
+            chosen = chosen[half_keys([np.frombuffer(seg[k], symbols) for k in chosen.tolist()], h[chosen].view(np.uint64), kind.size, kind.gram)]
+        chosen = chosen.tolist()
         if chosen:
-            parts = [np.frombuffer(seg[k], np.uint8 if kind.width == 1 else np.uint64) for k in chosen]
+            parts = [np.frombuffer(seg[k], symbols) for k in chosen]
             for k, m in zip(chosen, kind.index(parts, [marks[k] is None for k in chosen], kind.size), strict=True):
                 if marks[k] is None:
                     marks[k] = m
