@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from satchel.plans import archive_queries  # noqa: F401  (adds its queries)
 from satchel.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -212,6 +212,15 @@ def hackernews_comments(pages: DataFrame) -> DataFrame:
     ))
 
 
+def next_page(html: Column, base: Column) -> Column:
+    """The link to the next page against the page's own URL; null if there is none."""
+    link = X.decode_named(F.regexp_extract(html, r"""<a href=['"]([^'"]+)['"][^>]*class=['"]morelink['"]""", 1))
+    origin, path = F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1), F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    full = F.when(link.rlike(r"^\w+://"), link).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).when(F.startswith(link, F.lit("?")), F.concat(path, link)).otherwise(F.concat(folder, link))
+    return F.when(link != "", full)
+
+
 _parsers: dict[str, Callable[[DataFrame], DataFrame]] = {
     "instagram": instagram, "substack": substack, "twitter": twitter, "linkedin": linkedin, "facebook": facebook, "hackernews": hackernews_stories,
 }

@@ -82,3 +82,63 @@ def archive_ids(pages: DataFrame, fetched_before: int | None = None) -> DataFram
     """Ids of all archived pages, duplicates kept."""
     out = pages.where(F.col("fetched_at") <= fetched_before) if fetched_before else pages
     return out.select("provider", F.explode("external_ids").alias("external_id"))
+
+
+def known_for_run(items: DataFrame, archive: DataFrame, sync_state: DataFrame) -> DataFrame:
+    """(provider, external_id) that a run starts with: items created and archived ids fetched up
+    to the provider's last good run; ``sync_state`` is (provider, synced_at), and a provider
+    without one knows nothing. ``archive`` is (provider, fetched_at, external_ids)."""
+    seen = items.select("provider", "external_id", F.col("created_at").alias("at"))
+    seen = seen.unionByName(archive.select("provider", F.explode("external_ids").alias("external_id"), F.col("fetched_at").alias("at")))
+    return seen.join(sync_state, "provider").where("at <= synced_at").select("provider", "external_id").distinct()
+
+
+def key_start(runs: DataFrame, items: DataFrame, now_ms: int) -> DataFrame:
+    """(provider, start): where keys of each of ``runs`` (provider, synced_at, started_at) begin:
+    its own start after a good run, else below the least key of all, or now if there is none."""
+    least = items.agg(F.min("sort_key").alias("least"))
+    return runs.join(least, F.lit(True)).select("provider", F.when(F.col("synced_at").isNotNull(), F.col("started_at")).otherwise(F.coalesce(F.col("least") - 1, F.lit(now_ms))).alias("start"))
+
+
+def watermarks(sync_state: DataFrame, runs: DataFrame) -> DataFrame:
+    """``sync_state`` (provider, synced_at) moved to the last ok run of ``runs`` (provider, status,
+    started_at); other runs leave it."""
+    ok = runs.where("status = 'ok'").groupBy("provider").agg(F.max("started_at").alias("last"))
+    return sync_state.join(ok, "provider", "full_outer").select("provider", F.coalesce("last", "synced_at").alias("synced_at"))
+
+
+def resume_points(pages: DataFrame) -> DataFrame:
+    """(walk, cursor): the next cursor after the last landed page of ``pages`` (walk, page, cursor,
+    unseen, error, throttled); null where the walk has ended, met nothing new, or failed for
+    another reason than being throttled."""
+    last = pages.groupBy("walk").agg(
+        F.max_by("cursor", F.when(F.col("error").isNull(), F.col("page"))).alias("cursor"),
+        F.bool_or(F.col("error").isNull() & ((F.col("unseen") == 0) | F.col("cursor").isNull())).alias("ended"),
+        F.bool_or(F.col("error").isNotNull() & ~F.col("throttled")).alias("broken"),
+    )
+    return last.select("walk", F.when(~F.col("ended") & ~F.col("broken"), F.col("cursor")).alias("cursor"))
+
+
+def pickup_keys(arrivals: DataFrame, known: DataFrame) -> DataFrame:
+    """(provider, external_id, sort_key) of new rows: the anchor of the run less the new rows
+    before it in the run. ``arrivals`` is (provider, account, kind, run, anchor, page_id, pos,
+    external_id); new is what comes first by page and is not in ``known``. Pages are run up
+    first, so that a long run is no single task."""
+    first = Window.partitionBy("provider", "external_id").orderBy("page_id", "pos")
+    new = arrivals.withColumn("n_", F.row_number().over(first)).where("n_ = 1").drop("n_").join(known.select("provider", "external_id"), ["provider", "external_id"], "left_anti")
+    per = new.groupBy("provider", "account", "kind", "run", "page_id").agg(F.count(F.lit(1)).alias("c"))
+    earlier = Window.partitionBy("provider", "account", "kind", "run").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("page_id", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    inside = new.withColumn("at", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1)
+    return inside.join(before, "page_id").select("provider", "external_id", (F.col("anchor") - F.col("before") - F.col("at")).alias("sort_key"))
+
+
+def reset_for_replay(items: DataFrame, pages: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+    """Items without those of ``provider``, and pages with its own pending again."""
+    own = F.col("provider").eqNullSafe(provider)
+    return items.where(~own), pages.withColumn("status", F.when(own, "pending").otherwise(F.col("status")))
+
+
+def clear_pages(pages: DataFrame, provider: str | None = None) -> DataFrame:
+    """The archive without the pages of ``provider``, or without any."""
+    return pages.where(~F.col("provider").eqNullSafe(provider)) if provider else pages.limit(0)

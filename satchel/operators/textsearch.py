@@ -25,7 +25,7 @@ def postings(items: DataFrame) -> DataFrame:
     """(id, field, term, places): where each term stands in each indexed column. Deleted rows
     stay indexed. Missing columns are empty."""
     as_text = {c: (F.to_json(c) if c == "collection" else F.col(c)) for c in COLUMNS if c in items.columns}
-    rows = items.select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(v).alias("terms")) for c, v in as_text.items()))).alias("x"))
+    rows = spread(items.select("id", *as_text)).select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(v).alias("terms")) for c, v in as_text.items()))).alias("x"))
     each = rows.select("id", "x.field", F.posexplode("x.terms").alias("place", "term"))
     return each.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
@@ -58,11 +58,36 @@ def bm25(index: DataFrame, n_items: DataFrame, terms: DataFrame) -> DataFrame:
     widened = terms.where("prefix").withColumnRenamed("term", "p").join(vocabulary, F.substring("p", 1, 1) == F.substring("term", 1, 1)).where(F.col("term").startswith(F.col("p"))).select("query_id", "k", "term")
     wanted = terms.where("NOT prefix").select("query_id", "k", "term").unionByName(widened).distinct()
     hits = tf.join(wanted, "term").groupBy("query_id", "k", "id").agg(F.sum("tf").alias("tf"))
+    return _scores(hits.join(lengths, "id"), terms, totals)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly where it is read from fewer files than there are cores, as heavy
+    work on each row would run in a few tasks."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
+def scanned_scores(items: DataFrame, terms: DataFrame) -> DataFrame:
+    """What ``bm25`` gives, from ``items`` without an index: tokens that no query asks for go
+    before anything is shuffled. For a batch of queries; stored postings serve many batches."""
+    as_text = [F.to_json(c) if c == "collection" else F.col(c) for c in COLUMNS if c in items.columns]
+    rows = spread(items.select("id", *(c for c in COLUMNS if c in items.columns))).select("id", F.flatten(F.array(*map(tokens, as_text))).alias("words"))
+    totals = rows.agg(F.sum(F.size("words").cast("double")).alias("t"), F.count(F.lit(1)).alias("n")).select("n", (F.col("t") / F.col("n")).alias("avgdl"))
+    each = rows.select("id", F.size("words").alias("length"), F.explode("words").alias("word"))
+    asked = terms.distinct()
+    match = (F.substring("word", 1, 1) == F.substring("term", 1, 1)) & F.when(F.col("prefix"), F.startswith("word", "term")).otherwise(F.col("word") == F.col("term"))
+    hits = each.join(asked, match).groupBy("query_id", "k", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    return _scores(hits, terms, totals)
+
+
+def _scores(hits: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
+    """Scores of ``hits`` (query_id, k, id, length, tf) that have every word of their query."""
     found = hits.groupBy("query_id", "k").agg(F.count(F.lit(1)).alias("df"))
     needed = terms.groupBy("query_id").agg(F.countDistinct("k").alias("needed"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = hits.join(found, ["query_id", "k"]).join(lengths, "id").join(F.broadcast(totals), F.lit(True))
+    scored = hits.join(found, ["query_id", "k"]).join(F.broadcast(totals), F.lit(True))
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("got")).join(needed, "query_id").where("got = needed").select("query_id", "id", "score")
 
 
@@ -70,9 +95,8 @@ def search(items: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
     """(query_id, id, rank, score) for plain queries over live rows, starred ones if flagged;
     statistics are those of the whole table. Scores are rounded, ties go by id."""
     flagged = query_flags(queries)
-    index = postings(items)
     terms = plain_terms(flagged.where("NOT operators AND text <> ''"))
-    scored = bm25(index, items.agg(F.count(F.lit(1)).alias("n")), terms).withColumn("score", F.round("score", 6))
+    scored = scanned_scores(items, terms).withColumn("score", F.round("score", 6))
     live = items.select("id", "starred_at", "deleted_at").where("deleted_at IS NULL")
     allowed = scored.join(live, "id").join(flagged.select("query_id", "starred"), "query_id").where("NOT starred OR starred_at IS NOT NULL")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

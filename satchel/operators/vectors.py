@@ -103,3 +103,16 @@ def agreement(first: DataFrame, second: DataFrame) -> DataFrame:
     """Mean and least cosine of two embeddings (id, vector) of the same rows."""
     both = first.join(second.select("id", F.col("vector").alias("other")), "id").select(dot(F.col("vector"), F.col("other")).alias("c"))
     return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 6).alias("mean_cosine"), F.round(F.min("c"), 6).alias("min_cosine"))
+
+
+def target_ranks(rows: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(query_id, id, similarity, rank): where each query's target (query_id, id) stands among all
+    ``rows`` that ``cosine_top`` would rank. Rows above it are counted, not sorted."""
+    q = queries.select("query_id", F.col("vector").alias("qv"), F.col("model").alias("qm"), "exclude")
+    of = lambda a: F.round(dot(F.col("qv"), a), 6)
+    aim = q.join(targets, "query_id").join(rows.select("id", F.col("vector").alias("tv"), F.col("model").alias("tm")), "id").where("qm = tm")
+    aim = aim.select("query_id", F.col("id").alias("target"), "qv", "qm", "exclude", of(F.col("tv")).alias("goal"))
+    pairs = rows.join(aim, (F.col("model") == F.col("qm")) & ~F.col("id").eqNullSafe(F.col("exclude")))
+    scored = pairs.select("query_id", "target", "goal", "id", of(F.col("vector")).alias("c"))
+    above = (F.col("c") > F.col("goal")) | ((F.col("c") == F.col("goal")) & (F.col("id") < F.col("target")))
+    return scored.groupBy("query_id", F.col("target").alias("id"), F.col("goal").alias("similarity")).agg((F.count_if(above) + 1).alias("rank"))
