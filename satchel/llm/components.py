@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.shared import written
+from satchel.llm.shared import split_join, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -13,7 +13,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     node and its neighbours; small: every neighbour that is smaller, and the node itself."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    tied = both.join(least, "a")
+    tied = split_join(both, least, "a")
     if large:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

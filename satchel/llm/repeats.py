@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.shared import arrow_groups, arrow_rows, byte_pieces, mix64, written
+from satchel.llm.shared import arrow_groups, arrow_rows, byte_pieces, mix64, split_join, written
 
 LIMIT = 2048
 SHARD_BYTES = 4 << 20
@@ -290,7 +290,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, limit: int = LIMIT) -> tuple[D
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     places = written(arrow_rows(one, _anchors(kind), f"doc_id {doc_kind}, th long, h long, start int, n int"), "places")
     times = places.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    again = places.join(times, "h")
+    again = split_join(places, times, "h")
     by_doc = again.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "h", "times")).alias("places"))
     with_text = one.join(by_doc, [one.doc_id.eqNullSafe(by_doc.doc_id), one.th == by_doc.th]).select(one.doc_id, one.th, "text", "places")
     segments = written(arrow_rows(with_text, _segments(kind), f"doc_id {doc_kind}, th long, start int, h long, times long, sid binary, seg binary"), "segments")

@@ -11,12 +11,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import satchel
 from satchel.session import shared_folder, written
 
-__all__ = ["append_columns", "arrow_groups", "arrow_rows", "byte_pieces", "mix64", "ship", "shared_folder", "written"]
+__all__ = ["append_columns", "arrow_groups", "arrow_rows", "byte_pieces", "mix64", "ship", "shared_folder", "split_join", "written"]
 
 _shipped: set[str] = set()
 
@@ -47,6 +48,14 @@ def arrow_groups(df: DataFrame, key: str, fn: Callable, schema: T.StructType | s
     return df.groupBy(key).applyInArrow(fn, schema)
 
 
+def split_join(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``per_key`` (aggregated by the integer ``key``). Joining on
+    the key's complement gives both sides a shuffle of their own, so adaptive execution can
+    split a hot key; straight after an aggregation by the key it can't."""
+    k = F.bitwise_not(F.col(key))
+    return rows.withColumn("k_", k).join(per_key.withColumn("k_", k).drop(key), "k_").drop("k_")
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` plus ``fields``, which ``fn`` computes from Arrow arrays of ``inputs``, a batch
     at a time. A column of ``df`` that has the name of a new one is replaced."""
