@@ -20,8 +20,28 @@ def decode_named(c: Column) -> Column:
     return c
 
 
+def _decode_numbers(c: Column, pattern: str, base: int) -> Column:
+    """Every match replaced by the character of its number, in one pass; a number that is no
+    character stays as it is."""
+
+    def char(found: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(found, pattern, 1), "^0+", "")
+        n = F.when(F.length(digits).between(1, 7), F.conv(digits, base, 10).cast("long")).when(digits == "", 0)
+        whole = ((n < 0xD800) | (n > 0xDFFF)) & (n <= 0x10FFFF)
+        return F.when(whole, F.decode(F.unhex(F.lpad(F.hex(F.when(whole, n)), 8, "0")), "UTF-32")).otherwise(found)
+
+    chars = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), char)
+    pieces = F.zip_with(F.split(c, pattern, -1), chars, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(pieces, "")).otherwise(c)
+
+
+def decode_entities(c: Column) -> Column:
+    """Numeric entities (hexadecimal, then decimal), then the named ones."""
+    return decode_named(_decode_numbers(_decode_numbers(c, r"(?i)&#x([0-9a-f]+);", 16), r"&#(\d+);", 10))
+
+
 def strip_tags(c: Column) -> Column:
-    return trim_all(decode_named(F.regexp_replace(c, "<[^>]+>", "")))
+    return trim_all(decode_entities(F.regexp_replace(c, "<[^>]+>", "")))
 
 
 def or_else(*choices: Column) -> Column:

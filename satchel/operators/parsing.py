@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from satchel.functions import text as X
+from satchel.functions import trees as W
 
 ITEM = ["external_id", "title", "poster_name", "poster_handle", "poster_bio", "publication", "summary", "url", "image", "bookmarked_at", "published_at", "kind", "duration", "collection", "stats"]
 _TYPES = {"bookmarked_at": "long", "published_at": "long", "duration": "long", "collection": "array<string>", "stats": "map<string,string>"}
@@ -133,7 +134,7 @@ def twitter(pages: DataFrame) -> DataFrame:
 
 
 _TEXT = "struct<text: string>"
-LINKEDIN = f"included array<struct<`$type`: string, entityUrn: string, trackingUrn: string, title: {_TEXT}, primarySubtitle: {_TEXT}, summary: {_TEXT}, navigationUrl: string>>, data struct<data: struct<searchDashClustersByAll: struct<metadata: struct<paginationToken: string>>>>"
+LINKEDIN = f"included array<struct<`$type`: string, entityUrn: string, trackingUrn: string, title: {_TEXT}, primarySubtitle: {_TEXT}, summary: {_TEXT}, navigationUrl: string, image: string>>, data struct<data: struct<searchDashClustersByAll: struct<metadata: struct<paginationToken: string>>>>"
 
 
 def linkedin(pages: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def linkedin(pages: DataFrame) -> DataFrame:
     rows = _entries(pages, LINKEDIN, lambda j: j["included"]).where(F.col("e")["$type"] == "com.linkedin.voyager.dash.search.EntityResultViewModel")
     return rows.select("page_id", "pos", *item_columns(
         external_id=F.coalesce(F.nullif(F.col("e.entityUrn"), F.lit("")), F.nullif(F.col("e.trackingUrn"), F.lit("")), F.sha2(F.to_json("e"), 256)), poster_name=X.or_else(F.col("e.title.text")),
-        poster_bio=X.or_else(F.col("e.primarySubtitle.text")), summary=X.or_else(F.col("e.summary.text")), url=X.or_else(F.col("e.navigationUrl")),
+        poster_bio=X.or_else(F.col("e.primarySubtitle.text")), summary=X.or_else(F.col("e.summary.text")), url=X.or_else(F.col("e.navigationUrl")), image=F.coalesce(W.image_url(F.col("e.image")), F.lit("")),
     ))
 
 
@@ -203,18 +204,18 @@ def hackernews_comments(pages: DataFrame) -> DataFrame:
     on = r'(?s)on:\s*<a href="item\?id=\d+[^"]*"(?:\s+title="([^"]*)")?[^>]*>(.*?)</a>'
     rows = _chunks(pages, "comtr").where(F.contains("c", F.lit('<div class="commtext')))
     c = F.col("c")
-    story = F.coalesce(F.nullif(X.decode_named(F.regexp_extract(c, on, 1)), F.lit("")), X.strip_tags(F.regexp_extract(c, on, 2)))
+    story = F.coalesce(F.nullif(X.decode_entities(F.regexp_extract(c, on, 1)), F.lit("")), X.strip_tags(F.regexp_extract(c, on, 2)))
     body = F.regexp_extract(c, r'(?s)<div class="commtext[^"]*">(.*?)</div>', 1)
     lines = F.regexp_replace(F.regexp_replace(body, "<p>|<br[^>]*>", "\n"), "<[^>]+>", "")
     return rows.select("page_id", "pos", *item_columns(
         external_id=F.col("id"), poster_handle=X.strip_tags(F.regexp_extract(c, r'(?s)class="hnuser"[^>]*>(.*?)</a>', 1)), publication=F.when(story != "", F.concat(F.lit("on: "), story)).otherwise(""),
-        summary=X.trim_all(X.decode_named(lines)), url=F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("id")), published_at=_age_ms(c), kind=F.lit("comment"), collection=F.array(F.lit("upvoted")),
+        summary=X.trim_all(X.decode_entities(lines)), url=F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("id")), published_at=_age_ms(c), kind=F.lit("comment"), collection=F.array(F.lit("upvoted")),
     ))
 
 
 def next_page(html: Column, base: Column) -> Column:
     """The link to the next page against the page's own URL; null if there is none."""
-    link = X.decode_named(F.regexp_extract(html, r"""<a href=['"]([^'"]+)['"][^>]*class=['"]morelink['"]""", 1))
+    link = X.decode_entities(F.regexp_extract(html, r"""<a href=['"]([^'"]+)['"][^>]*class=['"]morelink['"]""", 1))
     origin, path = F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1), F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
     full = F.when(link.rlike(r"^\w+://"), link).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).when(F.startswith(link, F.lit("?")), F.concat(path, link)).otherwise(F.concat(folder, link))

@@ -116,3 +116,17 @@ def target_ranks(rows: DataFrame, queries: DataFrame, targets: DataFrame) -> Dat
     scored = pairs.select("query_id", "target", "goal", "id", of(F.col("vector")).alias("c"))
     above = (F.col("c") > F.col("goal")) | ((F.col("c") == F.col("goal")) & (F.col("id") < F.col("target")))
     return scored.groupBy("query_id", F.col("target").alias("id"), F.col("goal").alias("similarity")).agg((F.count_if(above) + 1).alias("rank"))
+
+
+def label_ranks(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per label of ``asked`` (label, id, vector), ranked against all ``rows`` (id, label, vector)
+    but its own: rows of that label, their median rank and how many are in the top 50 and 200.
+    Ranks are counted by narrow bands of similarity, so no task sorts all rows of a label."""
+    q = asked.select(F.col("label").alias("asked"), F.col("id").alias("own_id"), F.col("vector").alias("qv"))
+    scored = rows.join(q, rows.id != q.own_id).select("asked", "label", "id", F.round(dot(F.col("qv"), F.col("vector")), 6).alias("c"))
+    scored = scored.withColumn("band", F.floor(F.col("c") * 1000))
+    above = Window.partitionBy("asked").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    base = scored.groupBy("asked", "band").agg(F.count(F.lit(1)).alias("n")).select("asked", "band", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("asked", "band").orderBy(F.col("c").desc(), "id"))
+    ranked = scored.withColumn("in_", inside).join(base, ["asked", "band"]).where(F.col("label") == F.col("asked")).select("label", (F.col("base") + F.col("in_")).alias("rank"))
+    return ranked.groupBy("label").agg(F.count(F.lit(1)).alias("labelled"), F.median("rank").alias("median_rank"), F.count_if(F.col("rank") <= 50).alias("in_50"), F.count_if(F.col("rank") <= 200).alias("in_200"))

@@ -36,3 +36,8 @@ def first_of(table: DataFrame, batch: DataFrame, keys: list[str], order: list[st
     """A merge step: of each key the row that comes first by ``order``, whichever batch had it."""
     rows = table.unionByName(batch.select(*table.columns))
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*table.columns), F.struct(*order)).alias("x")).select("x.*")
+
+
+def followed_by(step: Callable[[DataFrame, DataFrame], DataFrame], after: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A merge step whose merged table goes through ``after``, such as embedding the backlog."""
+    return lambda table, batch: after(step(table, batch))
