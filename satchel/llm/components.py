@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         now = written(_stars(_stars(now, True), False), "stars")
-        new = now.agg(F.count(F.lit(1)), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        new = now.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == tuple(new):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = tuple(new)
