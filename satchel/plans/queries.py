@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -548,90 +549,108 @@ def x10_profile_handle(spark, d):
 
 # page parsing: bodies made of documents in each service's shape, read back
 
-def _bodies(spark, d, entry, name="items", wrap=lambda a: F.to_json(F.struct(a.alias("items")))):
-    docs = A.table(spark, d, "documents").withColumn("short", F.substring("text", 1, 200))
+def _bodies(spark, d, entry, name="items", wrap=lambda a: F.to_json(F.struct(a.alias("items"))), whole=False):
+    docs = A.table(spark, d, "documents").withColumn("short", F.col("text") if whole else F.substring("text", 1, 200))
     per = docs.groupBy(F.floor(F.col("doc_id") / 10).alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"]).alias("a"))
     return per.select("page_id", wrap(F.col("a")).alias("body"), F.lit('{"collections":{"1":"One","2":"Two"}}').alias("context"))
 
 
+def _escaped(text):
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def whole_texts(f, *texts: tuple[str, str]) -> None:
+    """Register ``f`` over bodies that carry each document's whole text, under its name with
+    _whole; in its SQL the first of each pair of ``texts`` becomes the second."""
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = functools.partial(f, whole=True)
+    SQL[name] = SQL[f.__name__]
+    for old, new in texts:
+        SQL[name] = SQL[name].replace(old, new)
+
+
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 @query(f"""SELECT doc_id // 10 AS page_id, CAST(doc_id AS VARCHAR) AS external_id, {_TRIM.format("substr(text, 1, 200)")} AS summary, concat('https://www.instagram.com/', CASE WHEN doc_id % 2 = 0 THEN 'reel' ELSE 'p' END, '/c', doc_id, '/') AS url,
 CASE WHEN doc_id % 2 = 0 THEN 'reel' WHEN doc_id % 3 = 0 THEN 'carousel' WHEN doc_id % 3 = 1 THEN 'video' ELSE 'post' END AS kind, (1600000000 + doc_id) * 1000 AS published_at, concat('i', doc_id, '-b') AS image, CASE doc_id % 3 WHEN 0 THEN 'One' WHEN 1 THEN 'Two' ELSE '' END AS collection
 FROM documents WHERE doc_id % 9 <> 0""")
-def p5_instagram(spark, d):
+def p5_instagram(spark, d, whole=False):
     i = F.col("doc_id")
     image = F.struct(F.array(F.struct(F.lit(320).alias("width"), F.concat(F.lit("i"), i.cast("string"), F.lit("-a")).alias("url")), F.struct(F.lit(110).alias("width"), F.concat(F.lit("i"), i.cast("string"), F.lit("-b")).alias("url")), F.struct(F.lit(90).alias("width"), F.lit("late").alias("url"))).alias("candidates"))
     media = F.struct(F.when(i % 9 != 0, i).alias("pk"), F.concat(F.lit("c"), i.cast("string")).alias("code"), F.when(i % 2 == 0, "clips").alias("product_type"), F.when(i % 3 == 0, 8).when(i % 3 == 1, 2).otherwise(1).alias("media_type"), (i + 1600000000).alias("taken_at"), F.struct(F.col("short").alias("text")).alias("caption"), F.array(i % 3 + 1).alias("saved_collection_ids"), image.alias("image_versions2"))
-    out = P.instagram(_bodies(spark, d, F.struct(media.alias("media"))))
+    out = P.instagram(_bodies(spark, d, F.struct(media.alias("media")), whole=whole))
     return out.select("page_id", "external_id", "summary", "url", "kind", "published_at", "image", F.array_join("collection", ",").alias("collection"))
 
 
 @query(f"""SELECT doc_id // 10 AS page_id, CASE WHEN doc_id % 4 = 0 THEN concat('note:', doc_id) ELSE concat('post:', doc_id) END AS external_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(text, 1, 200) END AS title, CASE WHEN doc_id % 4 = 0 THEN {_TRIM.format("substr(text, 1, 200)")} ELSE '' END AS summary,
 CASE WHEN doc_id % 4 = 0 AND doc_id % 8 = 0 THEN concat('https://substack.com/@h', doc_id, '/note/c-', doc_id) WHEN doc_id % 4 = 0 THEN concat('https://substack.com/note/c-', doc_id) ELSE concat('https://s/', doc_id) END AS url, CASE WHEN doc_id % 4 = 0 THEN 'note' ELSE 'newsletter' END AS kind,
 CASE WHEN doc_id % 4 <> 0 AND doc_id % 2 = 1 THEN 'Pub' ELSE '' END AS publication, 1600000000000 + doc_id AS bookmarked_at FROM documents WHERE doc_id % 10 <> 7""")
-def p14_substack(spark, d):
+def p14_substack(spark, d, whole=False):
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")
     post = F.struct(i.alias("id"), F.col("short").alias("title"), F.concat(F.lit("https://s/"), s).alias("canonical_url"), F.lit("newsletter").alias("type"), F.array(F.struct(F.when(i % 2 == 1, "Me").otherwise("Pub").alias("name"))).alias("publishedBylines"))
     note = F.struct(i.alias("id"), F.concat(F.lit("  "), F.col("short"), F.lit("\n")).alias("body"), F.when(i % 8 == 0, F.concat(F.lit("h"), s)).alias("handle"))
     entry = F.struct(F.when((i % 4 != 0) & (i % 10 != 7), post).alias("post"), F.when((i % 4 == 0) & (i % 10 != 7), note).alias("comment"), F.struct(F.lit("Pub").alias("name")).alias("publication"), (i + 1600000000000).alias("saved_at"))
-    out = P.substack(_bodies(spark, d, entry, wrap=lambda a: F.to_json(F.struct(F.struct(a.alias("items")).alias("result")))))
+    out = P.substack(_bodies(spark, d, entry, wrap=lambda a: F.to_json(F.struct(F.struct(a.alias("items")).alias("result"))), whole=whole))
     return out.select("page_id", "external_id", "title", "summary", "url", "kind", "publication", "bookmarked_at")
 
 
 @query("""SELECT doc_id // 10 AS page_id, CAST(doc_id AS VARCHAR) AS external_id, concat('see https://long/', doc_id) AS summary, concat('https://x.com/', CASE WHEN doc_id % 5 = 0 THEN 'i/web' ELSE concat('h', doc_id) END, '/status/', doc_id) AS url,
 CASE WHEN doc_id % 3 = 0 THEN 'video' WHEN doc_id % 3 = 1 THEN 'photo' ELSE 'tweet' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END::BIGINT AS duration, 1783344537000 AS published_at FROM documents WHERE doc_id % 7 <> 0""")
-def p7_twitter(spark, d):
+def p7_twitter(spark, d, whole=False):
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")
     media = F.when(i % 3 == 0, F.array(F.struct(F.lit("video").alias("type"), F.lit("m").alias("media_url_https"), F.struct(F.lit(2600).alias("duration_millis")).alias("video_info")))).when(i % 3 == 1, F.array(F.struct(F.lit("photo").alias("type"), F.lit("m").alias("media_url_https"), F.lit(None).cast("struct<duration_millis:int>").alias("video_info"))))
-    legacy = F.struct(F.concat(F.lit("see https://t.co/"), s, F.lit(" https://t.co/zz")).alias("full_text"), F.lit("Mon Jul 06 13:28:57 +0000 2026").alias("created_at"), F.struct(F.array(F.struct(F.concat(F.lit("https://t.co/"), s).alias("url"), F.concat(F.lit("https://long/"), s).alias("expanded_url"))).alias("urls")).alias("entities"), F.struct(media.alias("media")).alias("extended_entities"))
+    legacy = F.struct(F.concat(F.col("short") if whole else F.lit("see"), F.lit(" https://t.co/"), s, F.lit(" https://t.co/zz")).alias("full_text"), F.lit("Mon Jul 06 13:28:57 +0000 2026").alias("created_at"), F.struct(F.array(F.struct(F.concat(F.lit("https://t.co/"), s).alias("url"), F.concat(F.lit("https://long/"), s).alias("expanded_url"))).alias("urls")).alias("entities"), F.struct(media.alias("media")).alias("extended_entities"))
     tweet = F.struct(F.when(i % 7 != 0, s).alias("rest_id"), legacy.alias("legacy"), F.struct(F.struct(F.struct(F.struct(F.when(i % 5 != 0, F.concat(F.lit("h"), s)).alias("screen_name")).alias("core")).alias("result")).alias("user_results")).alias("core"))
     result = F.when(i % 2 == 0, F.to_json(F.struct(tweet.alias("tweet")))).otherwise(F.to_json(tweet))
     entry = F.concat(F.lit('{"content":{"entryType":"x","itemContent":{"tweet_results":{"result":'), result, F.lit("}}}}"))
     wrap = lambda a: F.concat(F.lit('{"data":{"bookmark_timeline_v2":{"timeline":{"instructions":[{"type":"Other"},{"type":"TimelineAddEntries","entries":['), F.array_join(a, ","), F.lit("]}]}}}}"))
-    return P.twitter(_bodies(spark, d, entry, wrap=wrap)).select("page_id", "external_id", "summary", "url", "kind", "duration", "published_at")
+    return P.twitter(_bodies(spark, d, entry, wrap=wrap, whole=whole)).select("page_id", "external_id", "summary", "url", "kind", "duration", "published_at")
 
 
 @query("""SELECT doc_id // 10 AS page_id, concat('urn:', doc_id) AS external_id, substr(text, 1, 200) AS summary, source AS poster_name, concat('https://l/', doc_id) AS url FROM documents WHERE doc_id % 6 <> 0""")
-def p11_linkedin(spark, d):
+def p11_linkedin(spark, d, whole=False):
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")
     text = lambda c: F.struct(c.alias("text"))
     entry = F.struct(F.when(i % 6 == 0, "other").otherwise("com.linkedin.voyager.dash.search.EntityResultViewModel").alias("$type"), F.when(i % 2 == 0, F.concat(F.lit("urn:"), s)).alias("entityUrn"), F.concat(F.lit("urn:"), s).alias("trackingUrn"), text(F.col("source")).alias("title"), text(F.col("short")).alias("summary"), F.concat(F.lit("https://l/"), s).alias("navigationUrl"))
-    out = P.linkedin(_bodies(spark, d, entry, wrap=lambda a: F.to_json(F.struct(a.alias("included")))))
+    out = P.linkedin(_bodies(spark, d, entry, wrap=lambda a: F.to_json(F.struct(a.alias("included"))), whole=whole))
     return out.select("page_id", "external_id", "summary", "poster_name", "url")
 
 
 @query("""SELECT doc_id // 10 AS page_id, concat('n', doc_id) AS external_id, substr(text, 1, 200) AS summary, CASE WHEN doc_id % 2 = 0 THEN concat('https://www.facebook.com/p/', doc_id) ELSE concat('https://f/', doc_id) END AS url, CASE WHEN doc_id % 3 = 0 THEN 'post' ELSE 'video' END AS kind,
 'Ann' AS poster_name, concat('ann.', doc_id) AS poster_handle, 'Group' AS publication FROM documents WHERE doc_id % 8 <> 0""")
-def p13_facebook(spark, d):
+def p13_facebook(spark, d, whole=False):
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")
     title = F.when(i % 2 == 0, F.col("short"))
     actors = F.array(F.struct(F.lit("Ann").alias("name"), F.concat(F.lit("https://www.facebook.com/ann."), s).alias("url")))
     savable = F.struct(F.when(i % 3 == 0, "StoryPointer").otherwise("Video").alias("__typename"), title.alias("savable_title"), F.struct(F.col("short").alias("text")).alias("savable_description"), F.when(i % 2 == 0, F.concat(F.lit("/p/"), s)).otherwise(F.concat(F.lit("https://f/"), s)).alias("url"), F.struct(actors.alias("actors"), F.struct(F.lit("Group").alias("full_name")).alias("owner_group")).alias("story"))
     entry = F.struct(F.struct(F.when(i % 8 != 0, F.concat(F.lit("n"), s)).alias("id"), savable.alias("savable")).alias("node"))
-    out = P.facebook(_bodies(spark, d, entry, wrap=lambda a: F.to_json(F.struct(a.alias("edges")))))
+    out = P.facebook(_bodies(spark, d, entry, wrap=lambda a: F.to_json(F.struct(a.alias("edges"))), whole=whole))
     return out.select("page_id", "external_id", "summary", "url", "kind", "poster_name", "poster_handle", "publication")
 
 
 @query("""SELECT doc_id // 10 AS page_id, CAST(doc_id + 1 AS VARCHAR) AS external_id, concat(source, ' & co') AS title, lang AS publication, concat('u', doc_id) AS poster_handle, concat(1000 + doc_id, ' points') AS points, concat(doc_id % 50, ' comments') AS comments, 1783344537000 AS published_at FROM documents WHERE doc_id % 5 <> 0""")
-def p2_hackernews_stories(spark, d):
+def p2_hackernews_stories(spark, d, whole=False):
     i = F.col("doc_id")
     s = (i + 1).cast("string")
-    link = F.when(i % 5 != 0, F.concat(F.lit('<span class="titleline"><a href="x"><b>'), F.col("source"), F.lit("</b> &amp; co</a>"))).otherwise("")
+    link = F.when(i % 5 != 0, F.concat(F.lit('<span class="titleline"><a href="x"><b>'), _escaped(F.col("short")) if whole else F.col("source"), F.lit("</b> &amp; co</a>"))).otherwise("")
     thousands = F.concat(F.floor((i + 1000) / 1000).cast("string"), F.lit(","), F.lpad(((i + 1000) % 1000).cast("string"), 3, "0"))
     entry = F.concat(F.lit("<tr class='athing submission' id='"), s, F.lit("'>"), link, F.lit(' <span class="sitestr">'), F.col("lang"), F.lit('</span></span><span class="score" id="s">'), thousands, F.lit(' points</span> <a href="user" class="hnuser">u'), i.cast("string"), F.lit('</a> <span class="age" title="2026-07-06T13:28:57 1783344537">1 day ago</span> <a>'), (i % 50).cast("string"), F.lit("&nbsp;comments</a></tr>"))
-    out = P.hackernews_stories(_bodies(spark, d, entry, wrap=lambda a: F.concat(F.lit("<table>"), F.array_join(a, "\n"), F.lit("</table>"))))
+    out = P.hackernews_stories(_bodies(spark, d, entry, wrap=lambda a: F.concat(F.lit("<table>"), F.array_join(a, "\n"), F.lit("</table>")), whole=whole))
     return out.select("page_id", "external_id", "title", "publication", "poster_handle", F.col("stats")["points"].alias("points"), F.col("stats")["comments"].alias("comments"), "published_at")
 
 
 @query(r"""SELECT doc_id // 10 AS page_id, CAST(doc_id + 1 AS VARCHAR) AS external_id, concat('on: A "', source, '"') AS publication, concat('one' || chr(10) || 'two <', lang, '>') AS summary FROM documents WHERE doc_id % 5 <> 0""")
-def p3_hackernews_comments(spark, d):
+def p3_hackernews_comments(spark, d, whole=False):
     i = F.col("doc_id")
-    body = F.when(i % 5 != 0, F.concat(F.lit('<div class="commtext c00">one<p>two <i>&lt;'), F.col("lang"), F.lit("&gt;</i></div>"))).otherwise("")
+    body = F.when(i % 5 != 0, F.concat(F.lit('<div class="commtext c00">one<p>two <i>&lt;'), _escaped(F.col("short")) if whole else F.col("lang"), F.lit("&gt;</i></div>"))).otherwise("")
     entry = F.concat(F.lit('<tr class="athing comtr" id="'), (i + 1).cast("string"), F.lit('"> on: <a href="item?id=1" title="A &quot;'), F.col("source"), F.lit('&quot;">A...</a>'), body, F.lit("</tr>"))
-    out = P.hackernews_comments(_bodies(spark, d, entry, wrap=lambda a: F.array_join(a, "\n")))
+    out = P.hackernews_comments(_bodies(spark, d, entry, wrap=lambda a: F.array_join(a, "\n"), whole=whole))
     return out.select("page_id", "external_id", "publication", "summary")
 
 
-
+for _f in (p5_instagram, p11_linkedin, p13_facebook, p14_substack):
+    whole_texts(_f, ("substr(text, 1, 200)", "text"))
+whole_texts(p7_twitter, ("concat('see https://long/', doc_id)", "concat(text, ' https://long/', doc_id)"))
+whole_texts(p2_hackernews_stories, ("concat(source, ' & co')", _TRIM.format("concat(text, ' & co')")))
+whole_texts(p3_hackernews_comments, ("'two <', lang", "'two <', text"))

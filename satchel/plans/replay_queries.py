@@ -29,7 +29,7 @@ def _archive(spark, d):
     fifth was read before."""
     i, n = F.col("doc_id"), F.col("page_id")
     media = F.struct(F.when(i % 9 != 0, i).alias("pk"), F.struct(F.col("short").alias("text")).alias("caption"))
-    pages = Q._bodies(spark, d, F.struct(media.alias("media")))
+    pages = Q._bodies(spark, d, F.struct(media.alias("media")), whole=True)
     return pages.select(
         "page_id", F.lit("instagram").alias("provider"), F.lit("u").alias("account"), F.lit("items").alias("kind"), (n % 3).cast("int").alias("page"), (n * 1000 + 1700000000000).alias("fetched_at"),
         F.when(n % 5 == 0, "ingested").when(n % 7 == 0, "failed").otherwise("pending").alias("status"), F.when(n % 13 == 0, "{broken").otherwise(F.col("body")).alias("body"), "context",
@@ -87,12 +87,12 @@ def st4_embed_after_merge(spark, d):
 
 # video pages
 
-def _video_pages(spark, d):
+def _video_pages(spark, d, whole=False):
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")
     node = lambda c: F.struct(c.alias("simpleText"))
     runs = lambda *c: F.struct(F.array(*(F.struct(x.alias("text")) for x in c)).alias("runs"))
     row = F.struct(
-        F.concat(F.lit("v"), s).alias("videoId"), F.when(i % 9 == 0, False).alias("isPlayable"), node(F.concat(F.lit("t "), F.col("source"))).alias("title"), runs(F.lit("by "), F.col("lang")).alias("shortBylineText"),
+        F.concat(F.lit("v"), s).alias("videoId"), F.when(i % 9 == 0, False).alias("isPlayable"), node(F.concat(F.lit("t "), F.col("short" if whole else "source"))).alias("title"), runs(F.lit("by "), F.col("lang")).alias("shortBylineText"),
         runs(s, F.lit(" views"), F.lit(" • "), F.lit("2 days ago")).alias("videoInfo"), (i % 500).cast("string").alias("lengthSeconds"),
         F.when(i % 4 == 0, F.array(F.struct(F.struct(F.lit("SHORTS").alias("style")).alias("thumbnailOverlayTimeStatusRenderer")))).alias("thumbnailOverlays"),
     )
@@ -100,17 +100,20 @@ def _video_pages(spark, d):
     more = '{"continuationItemRenderer":{"continuationEndpoint":{"continuationCommand":{"token":"next"}}}}'
     other = '{"itemSectionRenderer":{"header":{"itemSectionHeaderRenderer":{"titleStyle":"X_RECOMMENDATIONS"}},"contents":[{"playlistVideoRenderer":{"videoId":"suggested"}}]}},{"continuationItemRenderer":{"continuationEndpoint":{"continuationCommand":{"token":"never"}}}}'
     wrap = lambda a: F.concat(F.lit('{"tabs":[{"sections":{"contents":[{"playlistVideoListRenderer":{"contents":['), F.array_join(a, ","), F.when(F.col("page_id") % 2 == 0, "," + more).otherwise(""), F.lit("]}}," + other + "]}}]}"))
-    pages = Q._bodies(spark, d, menu, wrap=wrap)
+    pages = Q._bodies(spark, d, menu, wrap=wrap, whole=whole)
     return pages.withColumn("context", F.lit('{"collection":"List"}')).withColumn("fetched_at", F.lit(1_700_000_000_000))
 
 
 @query("""SELECT doc_id // 10 AS page_id, concat('v', doc_id) AS external_id, concat('t ', source) AS title, concat('by ', lang) AS poster_name, concat(doc_id, ' views') AS views, CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE 'video' END AS kind,
 concat('https://www.youtube.com/', CASE WHEN doc_id % 4 = 0 THEN 'shorts/v' ELSE 'watch?v=v' END, doc_id) AS url, (doc_id % 500)::BIGINT AS duration, 'List' AS collection, 1699747200000 AS published_at FROM documents WHERE doc_id % 9 <> 0""")
-def p8_videos(spark, d):
-    out = D.youtube(_video_pages(spark, d))
+def p8_videos(spark, d, whole=False):
+    out = D.youtube(_video_pages(spark, d, whole))
     return out.select("page_id", "external_id", "title", "poster_name", F.col("stats")["views"].alias("views"), "kind", "url", "duration", F.array_join("collection", ",").alias("collection"), "published_at")
 
 
+Q.whole_texts(p8_videos, ("concat('t ', source)", "concat('t ', text)"))
+
+
 @query("SELECT DISTINCT doc_id // 10 AS page_id, CASE WHEN (doc_id // 10) % 2 = 0 THEN 'next' END AS cursor, (doc_id // 10) % 2 = 0 AS has_next FROM documents")
 def p9_continuation(spark, d):
     return D.cursors(_video_pages(spark, d))
