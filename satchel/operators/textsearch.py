@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.functions import text as X
+
 COLUMNS = ["title", "publication", "summary", "collection", "kind", "poster_name", "poster_handle"]
 #: Latin letters with marks and their plain forms (fixed values, same length).
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -14,6 +16,10 @@ K1, B = 1.2, 0.75
 #: A query that uses the operator syntax: a quote, star, caret, brace or parenthesis, an
 #: upper-case operator word, or a column filter.
 OPERATORS = r"[\"*^{}()]|\b(AND|OR|NOT|NEAR)\b|\S:"
+#: Rows of the list that a query without text degrades to.
+LIST_LIMIT = 1000
+#: Whether a row (provider, starred_at) may answer a query (starred, wanted: its provider).
+_ALLOWED = "(NOT starred OR starred_at IS NOT NULL) AND (wanted IS NULL OR provider = wanted)"
 FLAG = r"(?i)(^|\s)is:starred(?=\s|$)"
 
 
@@ -92,15 +98,33 @@ def _scores(hits: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def search(items: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
-    """(query_id, id, rank, score) for plain queries over live rows, starred ones if flagged;
-    statistics are those of the whole table. Scores are rounded, ties go by id."""
-    flagged = query_flags(queries)
-    terms = plain_terms(flagged.where("NOT operators AND text <> ''"))
-    scored = scanned_scores(items, terms).withColumn("score", F.round("score", 6))
-    live = items.select("id", "starred_at", "deleted_at").where("deleted_at IS NULL")
-    allowed = scored.join(live, "id").join(flagged.select("query_id", "starred"), "query_id").where("NOT starred OR starred_at IS NOT NULL")
+    """(query_id, id, rank, score) of ``queries`` (query_id, query and, optionally, provider; null
+    is any) over live rows, starred ones if flagged. Plain text is ranked by score, with the
+    statistics of the whole table; text in the operator syntax is served by ``substring_search``
+    and a blank or flags-only query by the newest LIST_LIMIT rows whatever ``limit`` is, both
+    without a score. Scores are rounded, ties go by id."""
+    given = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), (F.col("provider") if "provider" in queries.columns else F.lit(None).cast("string")).alias("wanted"))
+    flagged = query_flags(given)
+    blank = X.trim_all(F.col("text")) == ""
+    plain = flagged.where(~blank & ~F.col("operators"))
+    scored = scanned_scores(items, plain_terms(plain)).withColumn("score", F.round("score", 6))
+    live = items.select("id", "starred_at", "deleted_at", "provider").where("deleted_at IS NULL")
+    allowed = scored.join(live, "id").join(plain.select("query_id", "starred", "wanted"), "query_id").where(_ALLOWED)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return allowed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
+    ranked = allowed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
+    unscored = substring_search(items, flagged.where(~blank & F.col("operators")), limit).unionByName(_listed(items, flagged.where(blank)))
+    return ranked.unionByName(unscored.withColumn("score", F.lit(None).cast("double")))
+
+
+def _listed(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, rank): the list for queries without text; queries that ask for the same
+    rows share one ranking."""
+    rows = items.where("deleted_at IS NULL").select("id", "provider", "starred_at", F.coalesce("sort_key", "created_at").alias("key"))
+    kinds = queries.select("starred", "wanted").distinct()
+    best = Window.partitionBy("starred", "wanted").orderBy(F.col("key").desc(), "id")
+    top = rows.join(F.broadcast(kinds), F.expr(_ALLOWED)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LIST_LIMIT)
+    own = queries.select("query_id", F.col("starred").alias("s_"), F.col("wanted").alias("w_"))
+    return top.join(own, (F.col("starred") == F.col("s_")) & F.col("wanted").eqNullSafe(F.col("w_"))).select("query_id", "id", "rank")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -109,11 +133,13 @@ def ascii_lower(c: Column) -> Column:
 
 def substring_search(items: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
     """The fallback for text that is no query: a pattern match over six columns (% and _ are
-    wildcards, ASCII case is ignored), newest first."""
+    wildcards, ASCII case is ignored), newest first; starred rows or those of one provider if
+    ``queries`` has ``starred`` and ``wanted``."""
     fields = [F.to_json(c) if c == "collection" else F.coalesce(F.col(c), F.lit("")) for c in COLUMNS if c in items.columns and c != "kind"]
-    hay = items.where("deleted_at IS NULL").select("id", F.coalesce("sort_key", "created_at").alias("key"), F.array(*(ascii_lower(f) for f in fields)).alias("hay"))
+    hay = items.where("deleted_at IS NULL").select("id", "provider", "starred_at", F.coalesce("sort_key", "created_at").alias("key"), F.array(*(ascii_lower(f) for f in fields)).alias("hay"))
     needle = F.concat(F.lit("%"), F.replace(ascii_lower(F.col("text")), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    hits = hay.join(F.broadcast(queries.select("query_id", needle.alias("needle"))), F.exists("hay", lambda h: F.like(h, F.col("needle"))))
+    which = [F.col("starred") if "starred" in queries.columns else F.lit(False).alias("starred"), F.col("wanted") if "wanted" in queries.columns else F.lit(None).cast("string").alias("wanted")]
+    hits = hay.join(F.broadcast(queries.select("query_id", needle.alias("needle"), *which)), F.exists("hay", lambda h: F.like(h, F.col("needle"))) & F.expr(_ALLOWED))
     best = Window.partitionBy("query_id").orderBy(F.col("key").desc(), "id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "id", "rank")
 

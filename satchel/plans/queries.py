@@ -342,6 +342,28 @@ def s4_flags(spark, d):
     return S.query_flags(asked(spark)).join(some, F.lit(True)).select("query_id", "starred", "text")
 
 
+#: Queries of all classes (query, provider, class, pattern of the fallback).
+MIXED = [
+    ("the of", None, "plain", None), ("the of", "src8", "plain", None), ("is:starred the", None, "plain", None), ('["upvoted', None, "operators", '%["upvoted%'), ('["topic', "src8", "operators", '%["topic%'), ('is:starred ["topic', None, "operators", '%["topic%'),
+    ("the AND of", None, "operators", "%the and of%"), ("", None, "list", None), ("  ", "src8", "list", None), ("is:starred", None, "list", None), ("IS:STARRED ", "src8", "list", None),
+]
+_LITERAL = lambda v: "NULL" if v is None else f"'{v}'"
+_MIXED_Q = "qs(query_id, query) AS (VALUES " + ", ".join(f"({k}, {_LITERAL(m[0])})" for k, m in enumerate(MIXED)) + ")"
+_MIXED_KINDS = "kinds(query_id, wanted, starred, kind, needle) AS (VALUES " + ", ".join(f"({k}, {_LITERAL(m[1])}, {'is:starred' in m[0].lower()}, '{m[2]}', {_LITERAL(m[3])})" for k, m in enumerate(MIXED)) + ")"
+_MAY = "i.deleted_at IS NULL AND (NOT k.starred OR i.starred_at IS NOT NULL) AND (k.wanted IS NULL OR i.provider = k.wanted)"
+
+
+@query(f"""WITH {_TEXT_SEARCH.replace(_Q, _MIXED_Q)}, {_MIXED_KINDS},
+h AS (SELECT *, coalesce(sort_key, created_at) AS key, list_transform([title, publication, summary, concat('["', label, '"]')], lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS hay FROM items),
+found AS (SELECT k.query_id, i.id, row_number() OVER (PARTITION BY k.query_id ORDER BY f.score DESC, i.id) AS rank, f.score, 200 AS most FROM fts f JOIN kinds k USING (query_id) JOIN items i USING (id) WHERE k.kind = 'plain' AND {_MAY}
+UNION ALL SELECT k.query_id, i.id, row_number() OVER (PARTITION BY k.query_id ORDER BY i.key DESC, i.id), NULL, 200 FROM h i JOIN kinds k ON k.kind = 'operators' AND len(list_filter(i.hay, lambda t: t LIKE k.needle)) > 0 WHERE {_MAY}
+UNION ALL SELECT k.query_id, i.id, row_number() OVER (PARTITION BY k.query_id ORDER BY i.key DESC, i.id), NULL, 1000 FROM h i JOIN kinds k ON k.kind = 'list' WHERE {_MAY})
+SELECT query_id::BIGINT AS query_id, id, rank, score FROM found WHERE rank <= most""", "items")
+def s2_s13_search_classes(spark, d):
+    q = spark.createDataFrame([(k, q, p) for k, (q, p, _, _) in enumerate(MIXED)], "query_id long, query string, provider string")
+    return S.search(A.items(spark, d), q)
+
+
 @query("""WITH h AS (SELECT id, coalesce(sort_key, created_at) AS key, translate(concat_ws(chr(1), title, publication, summary, concat('["', label, '"]')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS hay FROM items WHERE deleted_at IS NULL),
 q(query_id, needle) AS (VALUES (0, '%the "of%'), (1, '%th_ of%'), (2, '%licensed%gpl%'), (3, '%["upvoted%'))
 SELECT query_id::BIGINT AS query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, id) AS rank FROM h JOIN q ON
