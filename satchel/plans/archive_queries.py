@@ -207,6 +207,14 @@ def e2_token_hash(spark, d):
     return v.select("id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+@query(rf"""WITH w AS (SELECT id, unnest(regexp_extract_all(lower(summary), '[a-z0-9_]+')) AS w FROM items), b AS (SELECT id, {_HASH} AS bucket, count(*) AS n FROM w GROUP BY ALL),
+x AS (SELECT id, bucket, n FROM b UNION ALL SELECT id, 0, 1 FROM items WHERE id NOT IN (SELECT id FROM w))
+SELECT id, bucket::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 5) AS value FROM x""", "items")
+def e2_token_hash_rows(spark, d):
+    v = E.embedded(A.items(spark, d).select("id", F.col("summary").alias("text")), "token-hash")
+    return v.select("id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 @query("SELECT count(*) AS total, count(*) FILTER (deleted_at IS NULL) AS embedded FROM items", "items")
 def e3_embed_backlog(spark, d):
     done = E.embed_backlog(A.items(spark, d), Q.row_text, "token-hash")
