@@ -342,6 +342,13 @@ def s4_flags(spark, d):
     return S.query_flags(asked(spark)).join(some, F.lit(True)).select("query_id", "starred", "text")
 
 
+@query("""SELECT id AS query_id, id % 4 < 2 AS starred, trim(CASE WHEN id % 4 = 2 THEN concat('is:starredx ', summary) ELSE summary END) AS text FROM items""", "items")
+def s4_flags_rows(spark, d):
+    k, text = F.col("id") % 4, F.col("summary")
+    asked_text = F.when(k == 0, F.concat(F.lit("is:starred "), text)).when(k == 1, F.concat(text, F.lit(" Is:Starred"))).when(k == 2, F.concat(F.lit("is:starredx "), text)).otherwise(text)
+    return S.query_flags(A.items(spark, d).select(F.col("id").alias("query_id"), asked_text.alias("query"))).select("query_id", "starred", "text")
+
+
 #: Queries of all classes (query, provider, class, pattern of the fallback).
 MIXED = [
     ("the of", None, "plain", None), ("the of", "src8", "plain", None), ("is:starred the", None, "plain", None), ('["upvoted', None, "operators", '%["upvoted%'), ('["topic', "src8", "operators", '%["topic%'), ('is:starred ["topic', None, "operators", '%["topic%'),
