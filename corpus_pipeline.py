@@ -46,7 +46,7 @@ STAGES = [
     ("byte-level BPE", encoded),
 ]
 
-#: No stage but the fourth can be put in SQL; the whole is tested against brute force.
+#: No stage but the fourth can be put in SQL. The whole has no brute-force test yet.
 ORACLE_SQL = None
 
 
