@@ -2,8 +2,11 @@
 
 Long texts are cut before white space that follows a character which is none: no match of
 the splitting pattern reaches across such a place and none looks behind it, so the ids of
-the parts joined are the ids of the whole. Decoding concatenates the raw bytes of the ids,
-so a token that holds part of a character is decoded exactly.
+the parts joined are the ids of the whole. A part begins with at most one run of white space
+that is long; by the pattern all of it but its last character is one match (at the end of
+the text, all of it), which is encoded without the pattern, whose matcher would go back
+through the whole run on its stack. Decoding concatenates the raw bytes of the ids, so a
+token that holds part of a character is decoded exactly.
 
 Null and empty texts have no ids; equal texts have equal ids; there is no grouping, so
 ties, repeated rows and hot keys cost nothing; output columns replace input columns of the
@@ -26,8 +29,11 @@ from satchel.llm.shared import append_columns
 
 #: Texts of more characters than this are encoded in parts of about this many.
 PART_CHARS = 1 << 16
+#: White space as the pattern's \s has it (Unicode's White_Space property, fixed values).
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A place where a text can be cut: the white space after it starts a match of its own.
-SAFE = re.compile(r"(?<=\S)(?=\s)")
+SAFE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+RUN = re.compile(f"[{WHITE}]*")
 
 
 @lru_cache(maxsize=4)
@@ -46,15 +52,29 @@ def decimal(rank_path: str, pattern: str) -> list[bytes]:
 
 
 def parts(text: str, limit: int = PART_CHARS) -> list[str]:
-    """``text`` cut at safe places at least ``limit`` characters apart."""
-    out, start = [], 0
+    """``text`` cut at safe places at least ``limit`` characters apart, and before every run of
+    more white space than ``limit``, so that such a run only begins a part."""
+    spots, start = [], 0
     while len(text) - start > limit:
         cut = SAFE.search(text, start + limit)
         if not cut:
             break
-        out.append(text[start : cut.start()])
         start = cut.start()
-    return [*out, text[start:]]
+        spots.append(start)
+    long_run = re.compile(f"[{WHITE}]{{{limit + 1},}}")
+    spots += [m.start() for m in long_run.finditer(text) if m.start()]
+    edges = [0, *sorted(set(spots)), len(text)]
+    return [text[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def encode_part(part: str, enc) -> list[int]:
+    """Ids of one of ``parts``. A long run at its start is split off by the pattern's own rule."""
+    run = RUN.match(part).end()
+    if run <= PART_CHARS:
+        return enc.encode_ordinary(part)
+    if run < len(part):
+        run -= 1
+    return enc._encode_single_piece(part[:run]) + enc.encode_ordinary(part[run:])
 
 
 def encode_text(text: str | None, rank_path: str, pattern: str) -> list[int]:
@@ -63,7 +83,7 @@ def encode_text(text: str | None, rank_path: str, pattern: str) -> list[int]:
     enc = encoder(rank_path, pattern)
     if len(text) <= PART_CHARS:
         return enc.encode_ordinary(text)
-    return [i for p in parts(text) for i in enc.encode_ordinary(p)]
+    return [i for p in parts(text) for i in encode_part(p, enc)]
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
