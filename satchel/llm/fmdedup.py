@@ -2,16 +2,18 @@
 twice are removed.
 
 Each shard of candidate segments (see ``repeats``) is indexed: the Burrows-Wheeler transform
-of its words, as a wavelet matrix of packed bits with counts per 64. The segments are then
-streamed against it: backward search extends a match to the left as long as it occurs at
-least twice, which gives the matching statistics; every place where a match has reached the
-length of a window is reported. When a match can't be extended, the search restarts from the
-last end that a window to the left could have. All segments of a shard are searched side by
-side. Shards that split one anchor are merged by binary search.
-
-Words are what stands between ASCII white space, unchanged, told apart by 64-bit hashes.
-Null has no words; a text of fewer words than a window loses nothing; equal texts, repeated
-rows included, remove each other; white space is not kept: kept words are joined by spaces.
+of its words, as a wavelet matrix of packed bits with counts per 64. What documents hold of
+that shard is streamed against it: backward search extends a match to the left as long as it
+occurs at least twice, which gives the matching statistics; every place where a match has
+reached the length of a window is reported. When a match can't be extended, the search
+restarts from the last end that a window to the left could have. All segments of a shard are
+searched side by side. Shards that split one anchor are merged by binary search.
+
+Words are what stands between ASCII white space, unchanged. Their 64-bit hashes choose
+anchors only; in a shard each word has its number in a dictionary, so windows are compared
+by their words. Null has no words; a text of fewer words than a window loses nothing; equal
+texts, repeated rows included, remove each other; white space is not kept: kept words are
+joined by spaces. Columns of any name pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm.repeats import LIMIT, Kind, covered_symbols, removed, replaced, spans
+from satchel.llm.repeats import LIMIT, Kind, Piece, removed, replaced, spans
 from satchel.llm.shared import mix64
 
 SIZE = 35
@@ -47,7 +49,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def words_as_symbols(data: np.ndarray, offsets: np.ndarray):
     """Each word's hash: the sum of its mixed bytes times powers of an odd factor by place,
-    taken from running sums, and mixed with its length."""
+    taken from running sums, and mixed with its length. With it the rows' offsets in words and
+    each word's first byte and end byte."""
     start, end = word_bounds(data, offsets)
     one = np.ones(1, np.uint64)
     powers = np.cumprod(np.concatenate([one, np.full(len(data), _FACTOR, np.uint64)]))
@@ -57,6 +60,27 @@ def words_as_symbols(data: np.ndarray, offsets: np.ndarray):
     return x, np.searchsorted(start, offsets, "left"), start, end
 
 
+def split_words(data: np.ndarray, offsets: np.ndarray) -> Piece:
+    """Words and their hashes; the bytes are those of all words, one space after each."""
+    x, at, start, end = words_as_symbols(data, offsets)
+    n = end - start
+    first = np.cumsum(n + 1) - (n + 1)
+    inside = np.flatnonzero(~_SPACE[data]) if len(data) else np.zeros(0, np.int64)
+    raw = np.full(int((n + 1).sum()), 0x20, np.uint8)
+    raw[np.arange(len(inside)) + np.repeat(np.arange(len(n)), n)] = data[inside]
+    return Piece(x, at, raw.tobytes(), first, first + n)
+
+
+def word_ids(segments: list[bytes]) -> list[np.ndarray]:
+    """Each word's number in a dictionary of the shard's words."""
+    known: dict[bytes, int] = {}
+    return [np.array([known.setdefault(w, len(known)) for w in s.split(b" ")], np.int64) for s in segments]
+
+
+def word_window(segment: Column, place: Column, size: int) -> Column:
+    return F.slice(F.split(segment.cast("string"), " "), place + 1, F.lit(size))
+
+
 class Bits:
     """A bit vector packed 64 to a word, with counts before each word."""
 
@@ -137,11 +161,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def repeated(segments: list[np.ndarray], wanted: list[bool], size: int) -> list[np.ndarray]:
-    """For each segment which of its windows occur more than once in all of them (only those
-    that are ``wanted`` are searched for)."""
+def repeated(segments: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """For each segment which of its windows occur more than once in all of them."""
     lengths = np.array([len(s) for s in segments])
-    _, dense = np.unique(np.concatenate(segments), return_inverse=True)
+    dense = np.concatenate(segments)
     # a separator of its own ends each segment and sorts before all words
     k = len(segments)
     ends = np.cumsum(lengths + 1) - 1
@@ -155,9 +178,8 @@ def repeated(segments: list[np.ndarray], wanted: list[bool], size: int) -> list[
     text = np.maximum(text - (k - 1), 0)
     index = FMIndex(text, order)
     marks = np.zeros(len(text), bool)
-    lane = np.flatnonzero(wanted)
-    begin, end = starts[lane], ends[lane].copy()
-    place, low, high = end.copy(), np.zeros(len(lane), np.int64), np.full(len(lane), index.n)
+    begin, end = starts, ends.copy()
+    place, low, high = end.copy(), np.zeros(k, np.int64), np.full(k, index.n)
     while len(begin):
         a, z = index.extend(text[place - 1], low, high)
         good = z - a >= 2
@@ -172,40 +194,39 @@ def repeated(segments: list[np.ndarray], wanted: list[bool], size: int) -> list[
     return [marks[a : a + n] for a, n in zip(starts.tolist(), (lengths - size + 1).tolist(), strict=True)]
 
 
-WORDS = Kind(SIZE, 4, 8, words_as_symbols, repeated)
+def kind_of(size: int) -> Kind:
+    return Kind(size, 4, split_words, word_ids, repeated, word_window)
 
 
-def keep_words(size: int):
-    def run(data: np.ndarray, offsets: np.ndarray, copied: list, windows: list) -> list[pa.Array]:
-        start, end = word_bounds(data, offsets)
-        at = np.searchsorted(start, offsets, "left")
-        raw = data.tobytes()
-        n, gone, runs, sha, kept = [], [], [], [], []
-        for k, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            out = covered_symbols(z - a, size, copied[k], windows[k])
-            if out.any():
-                left = np.flatnonzero(~out) + a
-                text = b" ".join(raw[i:j] for i, j in zip(start[left].tolist(), end[left].tolist(), strict=True))
-            else:
-                text = b" ".join(raw[offsets[k] : offsets[k + 1]].split())
-            n.append(z - a)
-            gone.append(int(out.sum()))
-            runs.append(len(spans(out)[0]))
-            sha.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.decode() if out.any() else None)
-        return [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
-
-    return run
+def keep_words(data: np.ndarray, offsets: np.ndarray, cover) -> list[pa.Array]:
+    start, end = word_bounds(data, offsets)
+    at = np.searchsorted(start, offsets, "left")
+    out = cover(at)
+    raw = data.tobytes()
+    n, gone, runs, sha, kept = [], [], [], [], []
+    for k, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        off = out[a:z]
+        some = bool(off.any())
+        if some:
+            left = np.flatnonzero(~off) + a
+            text = b" ".join(raw[i:j] for i, j in zip(start[left].tolist(), end[left].tolist(), strict=True))
+        else:
+            text = b" ".join(raw[offsets[k] : offsets[k + 1]].split())
+        n.append(z - a)
+        gone.append(int(off.sum()))
+        runs.append(len(spans(off)[0]) if some else 0)
+        sha.append(hashlib.sha256(text).hexdigest())
+        kept.append(text.decode() if some else None)
+    return [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataFrame:
-    """``docs`` (doc_id, text, other columns); a text with repeated windows becomes its kept
-    words joined by spaces, others stay as they are."""
-    kind = Kind(size, 4, 8, words_as_symbols, repeated)
-    return replaced(docs, kind, keep_words(size), limit)
+    """``docs`` (text, other columns); a text with repeated windows becomes its kept words
+    joined by spaces, others stay as they are."""
+    return replaced(docs, kind_of(size), keep_words, limit)
 
 
 def words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: all documents, 35 words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return removed(docs, WORDS, keep_words(SIZE)).select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", "kept_sha256")
+    return removed(docs, kind_of(SIZE), keep_words).select("row.doc_id", F.col("n_symbols").alias("n_words"), "n_removed", "kept_sha256")

@@ -19,16 +19,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm.repeats import LIMIT, Kind, covered_symbols, removed, replaced, spans
+from satchel.llm.repeats import LIMIT, Kind, Piece, removed, replaced, spans
 
 SIZE = 200
 
 
-def bytes_as_symbols(data: np.ndarray, offsets: np.ndarray):
-    return data.astype(np.uint64), offsets, None, None
+def split_bytes(data: np.ndarray, offsets: np.ndarray) -> Piece:
+    return Piece(data, offsets, data.tobytes())
+
+
+def byte_ids(segments: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint8) for s in segments]
+
+
+def byte_window(segment: Column, place: Column, size: int) -> Column:
+    return F.substring(segment, place + 1, F.lit(size))
 
 
 def packed8(text: np.ndarray) -> np.ndarray:
@@ -44,10 +52,10 @@ def suffix_order(first: np.ndarray, depth: int, local: np.ndarray, windows: np.n
     ``depth`` symbols from each place; ``local`` is a place's distance from its segment's
     start and ``windows`` the number of windows of that segment."""
     sa = np.flatnonzero(local < windows + size - depth)
-    sa = sa[np.argsort(first[sa], kind="stable")]
+    sa = sa[np.argsort(first[sa], kind="stable")].astype(np.int32)
     key = first[sa]
     head = np.concatenate([[True], key[1:] != key[:-1]])
-    rank = np.zeros(len(first), np.int64)
+    rank = np.zeros(len(first), np.int32)
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(len(sa)), 0))
     while depth < size:
         deeper = min(2 * depth, size)
@@ -74,7 +82,7 @@ def suffix_order(first: np.ndarray, depth: int, local: np.ndarray, windows: np.n
 def common_prefixes(word: np.ndarray, before: np.ndarray, starts: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
     """For each window the length of its common prefix with the suffix ``before`` it, up to
     ``size``; -1 where there is none. All segments advance together."""
-    out = np.full(len(word), -1, np.int64)
+    out = np.full(len(word), -1, np.int32)
     lane = np.argsort(-windows, kind="stable")
     starts, windows = starts[lane], windows[lane]
     last, length = np.full(len(starts), -2, np.int64), np.zeros(len(starts), np.int64)
@@ -97,42 +105,41 @@ def common_prefixes(word: np.ndarray, before: np.ndarray, starts: np.ndarray, wi
     return out
 
 
-def repeated(segments: list[np.ndarray], wanted: list[bool], size: int) -> list[np.ndarray]:
+def repeated(segments: list[np.ndarray], size: int) -> list[np.ndarray]:
     """For each segment which of its windows occur more than once in all of them."""
     lengths = np.array([len(s) for s in segments])
     text = np.concatenate(segments)
     starts = np.cumsum(lengths) - lengths
     windows = lengths - size + 1
-    local = np.arange(len(text)) - np.repeat(starts, lengths)
+    local = (np.arange(len(text)) - np.repeat(starts, lengths)).astype(np.int32)
     word = packed8(text)
-    sa = suffix_order(word, 8, local, np.repeat(windows, lengths), size)
-    before = np.full(len(text), -1, np.int64)
+    sa = suffix_order(word, 8, local, np.repeat(windows, lengths).astype(np.int32), size)
+    before = np.full(len(text) + 8, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([word, np.zeros(8, np.uint64)])
-    full = common_prefixes(padded, np.concatenate([before, np.full(8, -1)]), starts, windows, size)[: len(text)] >= size
+    del local, sa
+    full = common_prefixes(np.concatenate([word, np.zeros(8, np.uint64)]), before, starts, windows, size)[: len(text)] >= size
     marks = full.copy()
     marks[before[np.flatnonzero(full)]] = True
     return [marks[a : a + n] for a, n in zip(starts.tolist(), windows.tolist(), strict=True)]
 
 
-BYTES = Kind(SIZE, 32, 1, bytes_as_symbols, repeated)
-
+def kind_of(size: int) -> Kind:
+    return Kind(size, 32, split_bytes, byte_ids, repeated, byte_window)
 
-def keep_bytes(size: int):
-    def run(data: np.ndarray, offsets: np.ndarray, copied: list, windows: list) -> list[pa.Array]:
-        n, gone, runs, sha, kept = [], [], [], [], []
-        for k, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            own = data[a:z]
-            out = covered_symbols(len(own), size, copied[k], windows[k])
-            left = own[~out].tobytes() if out.any() else own.tobytes()
-            n.append(len(own))
-            gone.append(len(own) - len(left))
-            runs.append(len(spans(out)[0]))
-            sha.append(hashlib.sha256(left).hexdigest())
-            kept.append(whole_characters(own, out) if out.any() else None)
-        return [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
 
-    return run
+def keep_bytes(data: np.ndarray, offsets: np.ndarray, cover) -> list[pa.Array]:
+    out = cover(offsets)
+    n, gone, runs, sha, kept = [], [], [], [], []
+    for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own, off = data[a:z], out[a:z]
+        some = bool(off.any())
+        left = own[~off].tobytes() if some else own.tobytes()
+        n.append(len(own))
+        gone.append(len(own) - len(left))
+        runs.append(len(spans(off)[0]) if some else 0)
+        sha.append(hashlib.sha256(left).hexdigest())
+        kept.append(whole_characters(own, off) if some else None)
+    return [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
 
 
 def whole_characters(own: np.ndarray, out: np.ndarray) -> str:
@@ -143,12 +150,11 @@ def whole_characters(own: np.ndarray, out: np.ndarray) -> str:
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataFrame:
-    """``docs`` (doc_id, text, other columns) with its repeated bytes removed from text."""
-    kind = Kind(size, 32, 1, bytes_as_symbols, repeated)
-    return replaced(docs, kind, keep_bytes(size), limit)
+    """``docs`` (text, other columns) with its repeated bytes removed from text."""
+    return replaced(docs, kind_of(size), keep_bytes, limit)
 
 
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: all documents, 200 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return removed(docs, BYTES, keep_bytes(SIZE)).select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    return removed(docs, kind_of(SIZE), keep_bytes).select("row.doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

@@ -52,26 +52,26 @@ def covered(seqs, size):
     return out
 
 
-@pytest.mark.parametrize("limit", [1, 2048])
+@pytest.mark.parametrize("limit", [1, 3, 1024])
 def test_suffix_dedup(docs, limit):
     texts = [(i, (t or "").encode()) for i, t in corpus()]
     want = sorted((i, len(b), int(m.sum()), len(repeats.spans(m)[0]), hashlib.sha256(np.frombuffer(b, np.uint8)[~m].tobytes()).hexdigest()) for (i, b), m in zip(texts, covered([b for _, b in texts], 200), strict=True))
-    got = repeats.removed(docs.select("doc_id", "text"), suffixdedup.BYTES, suffixdedup.keep_bytes(200), limit).collect()
+    got = repeats.removed(docs.select("doc_id", "text"), suffixdedup.kind_of(200), suffixdedup.keep_bytes, limit).select("row.doc_id", "*").collect()
     assert sorted((r.doc_id, r.n_symbols, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
-@pytest.mark.parametrize("limit", [1, 2048])
+@pytest.mark.parametrize("limit", [1, 3, 1024])
 def test_fm_dedup(docs, limit):
     texts = [(i, tuple(WORDS.findall(t or ""))) for i, t in corpus()]
     want = sorted((i, len(w), int(m.sum()), hashlib.sha256(" ".join(x for x, o in zip(w, m, strict=True) if not o).encode()).hexdigest()) for (i, w), m in zip(texts, covered([w for _, w in texts], 35), strict=True))
-    got = repeats.removed(docs.select("doc_id", "text"), fmdedup.WORDS, fmdedup.keep_words(35), limit).collect()
+    got = repeats.removed(docs.select("doc_id", "text"), fmdedup.kind_of(35), fmdedup.keep_words, limit).select("row.doc_id", "*").collect()
     assert sorted((r.doc_id, r.n_symbols, r.n_removed, r.kept_sha256) for r in got) == want
 
 
 def test_long_rows_are_scanned_in_blocks(monkeypatch):
     x = np.random.default_rng(0).integers(0, 3, 5000).astype(np.uint64)
     offsets = np.array([0, 0, 40, 3000, 3001, 5000])
-    windows = lambda found: sorted((int(r), int(p) + k) for r, p, n, _ in zip(*found, strict=True) for k in range(n))
+    windows = lambda found: sorted((int(r), int(p) + k) for r, p, n, _, _ in zip(*found, strict=True) for k in range(n))
     whole = windows(repeats.runs(x, offsets, 50, 4))
     monkeypatch.setattr(repeats, "BLOCK", 700)
     assert windows(repeats.runs(x, offsets, 50, 4)) == whole == sorted((r, p) for r in range(5) for p in range(int(np.diff(offsets)[r]) - 49))
@@ -227,8 +227,8 @@ def test_quality_held_out(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
-    assert repeats.removed(none, suffixdedup.BYTES, suffixdedup.keep_bytes(200)).count() == 0
-    assert repeats.removed(none, fmdedup.WORDS, fmdedup.keep_words(35)).count() == 0
+    assert suffixdedup.deduplicated(none).count() == 0
+    assert fmdedup.deduplicated(none).count() == 0
     assert neardup.near_duplicates(none).count() == 0
     assert media.media_columns(none).count() == 0
     assert decontaminate.hits(none, items).count() == 0
