@@ -2,16 +2,19 @@
 
 Format. ``chunks``: id streams, one per document, end id included, are cut where a rolling
 hash says so; a chunk is its ids as unsigned 32-bit integers, low bytes first (all lowest
-bytes, then all next ones), under the hash of its ids, and is stored once however many documents hold it. Every use of a
-chunk is a row (document row, place, chunk hash); the first use of each carries the bytes.
+bytes, then all next ones), under the hash of its ids, and is stored once however many
+documents hold it. A task sends each chunk once (as long as it remembers it), so a chunk
+that many documents hold reaches its place in the store a few times only.
 ``recipes``: per document, in ascending doc_id order over all files, the ordered chunk
-hashes, the number of ids and the Merkle root of the hashes; ``manifests``: per file of
-recipes its number of ids and the Merkle root of its documents' roots.
+hashes, the number of ids and the Merkle root of the hashes. ``manifests``: per file of at
+most about FILE_DOCS recipes the number of documents and ids and the Merkle root of its
+documents' roots.
 
-Reading back takes the hashes, ids and checksums from the stored bytes, checks each chunk
-against its name, each recipe against its root, and gives the checksum of a document from
-those of its chunks (a CRC of a whole is a linear function of the CRCs of its parts), so no
-payload is moved to verify; ``reconstruct`` joins the ids themselves.
+Reading back recomputes all of it: each chunk's hash from its stored bytes, each recipe's
+root from its hashes, each file's root and sums from its recipes, and fails where one
+differs or is missing. The checksum of a document is combined from those of its chunks (a
+CRC of a whole is a linear function of the CRCs of its parts), so op5 verifies without
+moving payload; ``reconstruct`` joins the ids themselves, and fails on a gap.
 
 Null and empty texts hold only the end id. Repeated rows and repeated doc_ids are documents
 of their own; ties in doc_id are ordered by the row's number in the input; a null doc_id
@@ -21,7 +24,7 @@ comes first. Other columns are not stored. An empty table gives empty files.
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,76 +35,194 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from satchel.llm.chunks import cuts
-from satchel.llm.shared import arrow_rows, written
+from satchel.llm.shared import arrow_groups, arrow_rows, byte_pieces, mix64, written
 
 LEAST, BITS, MOST = 128, 9, 4096
-#: Pieces of text whose ids a worker keeps; beyond it, pieces are encoded anew each time.
-CACHE_PIECES = 500_000
+FILE_DOCS = 200_000
+PIECE = 1 << 20
+#: Bytes of pieces whose ids a worker keeps; beyond it, pieces are encoded anew each time.
+CACHE_BYTES = 24 << 20
+#: Longer pieces are not kept.
+LONGEST = 48
 #: Chunk hashes a task remembers so as not to send the same bytes twice.
 CACHE_CHUNKS = 100_000
-#: White space other than a space or a line feed.
-ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-SAFE = re.compile(r"(?<=\S)(?=\s)")
-
-
-def plain(text: str) -> bool:
-    """Whether all white space of ``text`` is single spaces and line feeds, and nothing in it
-    could be a special token."""
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or ODD.search(text))
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: After these bytes no cut is made: control characters that count as white space in places.
+_UNSURE = _WHITE.copy()
+_UNSURE[0x1C:0x20] = True
+_BYTE = mix64(np.arange(501, 757, dtype=np.uint64))
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts (rows of ``data`` between ``offsets``) begin or can be cut: before ASCII white
+    space after a character that is none. Byte-level pre-tokenisation always cuts there and
+    doesn't look behind, so the ids of the pieces joined are the ids of the text."""
+    n = len(data)
+    cut = np.zeros(n, bool)
+    cut[1:] = _WHITE[data[1:]] & ~_UNSURE[data[:-1]]
+    far = np.flatnonzero(cut[2:] & (data[1:-1] >= 0x80)) + 2  # white space beyond ASCII may stand before
+    p1, p2 = data[far - 1], data[far - 2]
+    p3 = data[np.maximum(far - 3, 0)]
+    cut[far[(p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)) | (p3 == 0xE1) | (p3 == 0xE2) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)]] = False
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (n of them) for each row, one after another."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.n, self.room = 0, np.empty(1 << 12, kind)
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            new = np.empty(max(2 * len(self.room), self.n + len(x)), self.room.dtype)
+            new[: self.n] = self.room[: self.n]
+            self.room = new
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file. Texts are cut before white space that follows a
-    character which is none, where byte-level pre-tokenisation always cuts too. Ids of a
-    piece are asked of the library once, many new pieces in one text whose offsets tell them
-    apart, and remembered as bytes; in ``known`` a word stands for itself after a space."""
+    """Ids of texts by a tokenizer file. Each distinct piece is asked of the library once, many
+    new pieces in one text, and remembered with its bytes. Pieces are found again by a 64-bit
+    hash and then compared byte by byte."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Add ``words`` to ``known``."""
-        pieces = [w if w[:1] == "\n" else " " + w for w in words]
-        if any(p[-1].isspace() or "<|" in p for p in pieces):
-            odd = [k for k, p in enumerate(pieces) if p[-1].isspace() or "<|" in p]
-            self.known.update((words[k], self.whole(pieces[k])) for k in odd)
-            out = set(odd)
-            words, pieces = [w for k, w in enumerate(words) if k not in out], [p for k, p in enumerate(pieces) if k not in out]
-        for k in range(0, len(words), 512):
-            part = pieces[k : k + 512]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(p) for p in part])
-            at = np.searchsorted(np.array([o[0] for o in e.offsets]), ends, "left").tolist()
-            ids = np.array(e.ids, "<u4").tobytes()
-            self.known.update((w, ids[4 * i : 4 * j]) for w, i, j in zip(words[k : k + 512], [0, *at[:-1]], at, strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for k in range(0, len(texts), 256):
-            cut = [t.replace("\n", " \n").split(" ") if t and plain(t) else None for t in texts[k : k + 256]]
-            new: set[str] = set()
-            for c in cut:
-                if c:
-                    new.update(c[1:])
-            fresh = list(new.difference(known))
-            self.learn(fresh)
-            for t, c in zip(texts[k : k + 256], cut, strict=True):
-                if c:
-                    out.append((self.whole(c[0]) if c[0] else b"") + b"".join(map(known.__getitem__, c[1:])))
-                else:
-                    out.append(b"".join(self.whole(p) for p in SAFE.split(t)) if t else b"")
-            if len(known) > CACHE_PIECES:
-                for w in fresh:
-                    del known[w]
+        n = self.tokenizer.get_vocab_size()
+        # in byte-level vocabularies a space is written \u0120, a line feed \u010a
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "?")[0] in "\u0120\u010a" for i in range(n)])
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no known piece."""
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes and their entries
+        self.bytes, self.ids = Grown(np.uint8), Grown(np.uint32)
+        self.byte_at, self.byte_n, self.id_at, self.id_n = Grown(np.int64), Grown(np.int32), Grown(np.int64), Grown(np.int32)
+
+    def whole(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+    def learn(self, raw: np.ndarray, n: np.ndarray) -> None:
+        """New entries: pieces of ``n`` bytes each, one after another in ``raw``."""
+        at = np.cumsum(n) - n
+        second = raw[np.minimum(at + 1, len(raw) - 1)]
+        simple = ((raw[at] == 0x20) | (raw[at] == 0x0A)) & (n > 1) & ~_UNSURE[second] & (second < 0xC0)
+        simple |= ((raw[at] == 0x20) | (raw[at] == 0x0A)) & (n > 1) & (second >= 0xC3) & (second != 0xE1) & (second != 0xE2) & (second != 0xE3)
+        if len(raw) > 1:  # what may be a special token is encoded by itself
+            odd = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+            simple[np.searchsorted(at, odd, "right") - 1] = False
+        counts, done, flat = np.zeros(len(n), np.int32), [], []
+        easy = np.flatnonzero(simple)
+        for k in range(0, len(easy), 512):
+            part = easy[k : k + 512]
+            text = raw[spread(at[part], n[part])].tobytes().decode()
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            heads = np.flatnonzero(self.opens[got])
+            if len(heads) == len(part):
+                counts[part] = np.diff(np.append(heads, len(got)))
+                done.append(part)
+                flat.append(got)
+        for i in np.setdiff1d(np.arange(len(n)), np.concatenate(done) if done else []).astype(int).tolist():
+            flat.append(np.array(self.whole(raw[at[i] : at[i] + n[i]].tobytes()), np.uint32))
+            counts[i] = len(flat[-1])
+            done.append(np.array([i]))
+        ids = np.empty(int(counts.sum()), np.uint32)
+        which = np.concatenate(done)
+        ids[spread((np.cumsum(counts) - counts)[which], counts[which])] = np.concatenate(flat)
+        self.byte_at.add(self.bytes.n + at)
+        self.id_at.add(self.ids.n + np.cumsum(counts) - counts)
+        self.byte_n.add(n)
+        self.id_n.add(counts)
+        self.bytes.add(raw)
+        self.ids.add(ids)
+
+    def entries(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each distinct hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, entry in self.levels:
+            k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            found = known[k] == hashes
+            out[found] = entry[k[found]]
         return out
 
+    def keep(self, hashes: np.ndarray, entry: np.ndarray) -> None:
+        """Levels at least double in size, so each entry is sorted a few times only."""
+        self.levels.append((hashes, entry))
+        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
+            (h1, e1), (h2, e2) = self.levels.pop(), self.levels.pop()
+            h, e = np.concatenate([h1, h2]), np.concatenate([e1, e2])
+            order = np.argsort(h, kind="stable")
+            self.levels.append((h[order], e[order]))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets in ids) of texts."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if self.bytes.n > CACHE_BYTES:
+            self.forget()
+        start = pieces(data, offsets)
+        n = np.diff(np.append(start, len(data)))
+        powers, inverse = _powers(len(data) + 1)
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[:-1])])
+        h = mix64((run[start + n] - run[start]) * inverse[start] ^ n.astype(np.uint64) << np.uint64(48))
+        short = np.flatnonzero(n <= LONGEST)
+        unique, first, back = np.unique(h[short], return_index=True, return_inverse=True)
+        entry = self.entries(unique)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            which = short[first[new]]
+            entry[new] = self.byte_n.n + np.arange(len(new))
+            self.learn(data[spread(start[which], n[which])], n[which])
+            self.keep(unique[new], entry[new])
+        e = np.full(len(start), -1, np.int64)
+        e[short] = entry[back]
+        # known pieces must have the very bytes; long ones and others are encoded by themselves
+        sure = (e >= 0) & (self.byte_n.room[e] == n)
+        at = np.flatnonzero(sure)
+        same = self.bytes.room[spread(self.byte_at.room[e[at]], n[at])] == (data if len(at) == len(start) else data[spread(start[at], n[at])])
+        if not same.all():
+            sure[at[np.unique(np.searchsorted(np.cumsum(n[at]), np.flatnonzero(~same), "right"))]] = False
+        counts = np.where(sure, self.id_n.room[e], 0).astype(np.int64)
+        others = {k: np.array(self.whole(data[start[k] : start[k] + n[k]].tobytes()), np.uint32) for k in np.flatnonzero(~sure).tolist()}
+        for k, x in others.items():
+            counts[k] = len(x)
+        ends = np.cumsum(counts)
+        at = np.flatnonzero(sure)
+        known = self.ids.room[spread(self.id_at.room[e[at]], counts[at])]
+        if others:
+            out = np.empty(int(ends[-1]), np.uint32)
+            out[spread((ends - counts)[at], counts[at])] = known
+            for k, x in others.items():
+                out[ends[k] - len(x) : ends[k]] = x
+        else:
+            out = known
+        return out, np.concatenate([[0], ends])[np.searchsorted(start, offsets, "left")]
+
+
+_cached: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd factor and of its inverse."""
+    if not _cached or len(_cached[0][0]) < n:
+        one = np.ones(1, np.uint64)
+        of = lambda f: np.cumprod(np.concatenate([one, np.full(max(n, PIECE + 1) - 1, f, np.uint64)]))
+        _cached[:] = [(of(_FACTOR), of(pow(_FACTOR, -1, 2**64)))]
+    return _cached[0][0][:n], _cached[0][1][:n]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -120,38 +241,47 @@ def name_of(ids: bytes) -> bytes:
     return hashlib.sha256(ids).digest()
 
 
-def _chunk_rows(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+def _stored(path: str, end_id: int):
+    """For each text a recipe (under its row's number), and each new chunk with its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for b in batches:
-            for k in range(0, len(b), 256):
-                yield rows(b.slice(k, 256), sent)
-
-    def rows(b: pa.RecordBatch, sent: set[bytes]) -> pa.RecordBatch:
-        streams = [s + end for s in encoder(path).encode(b.column("text").to_pylist())]
-        ids = np.frombuffer(b"".join(streams), "<u4")
-        offsets = np.concatenate([[0], np.cumsum([len(s) // 4 for s in streams])])
-        who, seq, names, n, data = [], [], [], [], []
-        for k, ends in enumerate(cuts(ids & np.uint32(0xFFFF), offsets, LEAST, BITS, MOST)):
-            start = 0
-            for i, e in enumerate(ends):
-                part = streams[k][4 * start : 4 * e]
+            for first, end, data, offsets in byte_pieces(b.column("text"), PIECE):
+                yield rows(b.slice(first, end - first), data, offsets, sent)
+
+    def rows(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, sent: set[bytes]) -> pa.RecordBatch:
+        ids, at = encoder(path).encode(data, offsets)
+        ids = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4", copy=False)
+        at = at + np.arange(len(at))
+        raw = ids.tobytes()
+        recipes, names, n, bodies = [], [], [], []
+        for k, ends in enumerate(cuts(ids & np.uint32(0xFFFF), at, LEAST, BITS, MOST)):
+            start, own = int(at[k]), []
+            for i, e in zip([0, *ends[:-1]], ends, strict=True):
+                part = raw[4 * (start + i) : 4 * (start + e)]
                 h = name_of(part)
-                who.append(k)
-                seq.append(i)
-                names.append(h)
-                n.append(e - start)
-                data.append(None if h in sent else packed(part))
-                if len(sent) < CACHE_CHUNKS:
-                    sent.add(h)
-                start = e
-        at = pa.array(who, pa.int64())
+                own.append(h)
+                if h not in sent:
+                    names.append(h)
+                    n.append(e - i)
+                    bodies.append(packed(part))
+                    if len(sent) < CACHE_CHUNKS:
+                        sent.add(h)
+            recipes.append(own)
+        m = len(names)
+        row, doc = b.column("row"), b.column("doc_id")
+        key = [b"row %d" % r for r in row.to_pylist()]
+        per = np.diff(at)
         return pa.RecordBatch.from_arrays(
-            [b.column("row").take(at), b.column("doc_id").take(at), pa.array(seq, pa.int32()), pa.array(names, pa.binary()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
-            names=["row", "doc_id", "seq", "chunk", "n_ids", "bytes"],
-        )
+            [
+                pa.array(["recipe"] * len(key) + ["chunk"] * m), pa.array(key + names, pa.binary()),
+                pa.concat_arrays([row, pa.nulls(m, row.type)]), pa.concat_arrays([doc, pa.nulls(m, doc.type)]),
+                pa.array(np.concatenate([per, np.array(n, np.int64)]).astype(np.int64)),
+                pa.array(recipes + [None] * m, pa.list_(pa.binary())), pa.array([None] * len(key) + bodies, pa.binary()),
+            ],
+            names=["kind", "key", "row", "doc_id", "n_ids", "recipe", "bytes"],
+        )
 
     return run
 
@@ -169,23 +299,38 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> tuple[
     """(chunks, recipes, manifests) of ``docs`` (doc_id, text), each written and read back."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    uses = arrow_rows(rows, _chunk_rows(tokenizer_path, end_id), f"row long, doc_id {kind}, seq int, chunk binary, n_ids int, bytes binary")
-    by_chunk = Window.partitionBy("chunk").orderBy(F.col("bytes").isNull(), "row", "seq")
-    chunks = written(uses.withColumn("k", F.row_number().over(by_chunk)).withColumn("bytes", F.when(F.col("k") == 1, F.col("bytes"))).drop("k"), "chunks")
-    per = chunks.select("row", "doc_id", "seq", "chunk", "n_ids").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("c"), F.sum("n_ids").alias("n_tokens"))
-    ordered = per.select("row", "doc_id", "n_tokens", F.transform("c", lambda x: x["chunk"]).alias("recipe")).repartitionByRange(F.col("doc_id").asc(), F.col("row").asc()).sortWithinPartitions("doc_id", "row")
-    recipes = written(ordered.select(F.spark_partition_id().alias("file"), F.monotonically_increasing_id().alias("place"), "row", "doc_id", "n_tokens", "recipe", F.sha2(F.array_join(F.transform("recipe", F.hex), ""), 256).alias("checksum")), "recipes")
-    manifests = written(_roots(recipes).groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "root"))), lambda x: x["root"]), ""), 256).alias("root")), "manifests")
-    return chunks, recipes, manifests
+    made = arrow_rows(rows, _stored(tokenizer_path, end_id), f"kind string, key binary, row long, doc_id {kind}, n_ids long, recipe array<binary>, bytes binary")
+    first = made.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("kind"))).where("k = 1").drop("k")
+    store = written(first, "store", partition_by="kind")
+    chunks = store.where("kind = 'chunk'").select(F.col("key").alias("chunk"), "n_ids", "bytes")
+    listed = store.where("kind = 'recipe'").select("row", "doc_id", F.col("n_ids").alias("n_tokens"), "recipe")
+    files = max(1, -(-listed.count() // FILE_DOCS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = listed.repartitionByRange(files, F.col("doc_id").asc(), F.col("row").asc()).sortWithinPartitions("doc_id", "row")
+    numbered = ordered.select(F.spark_partition_id().alias("file"), F.monotonically_increasing_id().alias("place"), "row", "doc_id", "n_tokens", "recipe")
+    recipes = written(with_roots(numbered, "root"), "recipes")
+    return chunks, recipes, written(_files(recipes, "root"), "manifests")
 
 
-def _roots(recipes: DataFrame) -> DataFrame:
+def with_roots(recipes: DataFrame, name: str) -> DataFrame:
+    """``recipes`` with the Merkle root of each one's chunk hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roots = [merkle(r).hex() for r in b.column("recipe").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("place"), b.column("n_tokens"), pa.array(roots, pa.string())], names=["file", "place", "n_tokens", "root"])
+            yield b.append_column(name, pa.array([merkle(r) for r in b.column("recipe").to_pylist()], pa.binary()))
+
+    return arrow_rows(recipes, run, recipes.withColumn(name, F.lit(b"")).schema)
 
-    return arrow_rows(recipes.select("file", "place", "n_tokens", "recipe"), run, "file int, place long, n_tokens long, root string")
+
+def _file(table: pa.Table) -> pa.Table:
+    table = table.sort_by("place")
+    sums = [table.column("file")[0].as_py(), table.num_rows, sum(table.column("n_tokens").to_pylist()), merkle(table.column("r").to_pylist())]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.table([pa.array([x], t) for x, t in zip(sums, kinds, strict=True)], names=["file", "n_docs", "n_tokens", "root"])
+
+
+def _files(recipes: DataFrame, root: str) -> DataFrame:
+    """Per file: n_docs, n_tokens and the Merkle root of its documents' roots, in order."""
+    return arrow_groups(recipes.select("file", "place", "n_tokens", F.col(root).alias("r")), "file", _file, "file int, n_docs long, n_tokens long, root binary")
 
 
 #: The reversed polynomial of the usual CRC-32.
@@ -228,38 +373,55 @@ def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         part = crc_shift(b.column("crc").to_numpy().astype(np.uint32), 4 * b.column("after").to_numpy())
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n"), b.column("good"), pa.array(part.astype(np.int64))], names=["row", "n", "good", "part"])
-
-
-def read_store(chunks: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it),
-    n_tokens, ids_crc32, n_chunks and verified (bytes, names, counts and recipe agree)."""
-    stored = arrow_rows(chunks.where(F.col("bytes").isNotNull()).select("chunk", "bytes"), _read_chunks, "chunk binary, crc long, n long, good boolean")
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n"), pa.array(part.astype(np.int64))], names=["row", "n", "part"])
+
+
+def verified_recipes(recipes: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``recipes``; fails unless the roots recomputed from their hashes are those of the recipes
+    and of the manifests, with as many documents and ids, and no file is missing."""
+    again = with_roots(recipes.select("file", "place", "n_tokens", "root", "recipe"), "again").select("file", "place", "n_tokens", "root", "again")
+    per = _files(again.withColumn("r", F.when(F.col("again") == F.col("root"), F.col("again")).otherwise(F.lit(b"differs"))), "r")
+    both = manifests.select(F.struct("file", "n_docs", "n_tokens", "root").alias("m"), "file").join(per.select(F.struct("file", "n_docs", "n_tokens", "root").alias("p"), "file"), "file", "full")
+    bad = both.where(~F.col("m").eqNullSafe(F.col("p"))).limit(1).collect()
+    if bad:
+        raise ValueError(f"recipes of file {bad[0].file} differ from its manifest")
+    return recipes
+
+
+def read_store(chunks: DataFrame, recipes: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens,
+    ids_crc32, n_chunks. Fails where bytes, names, counts, recipes or manifests disagree."""
+    recipes = verified_recipes(recipes, manifests)
+    stored = arrow_rows(chunks.select("chunk", "bytes"), _read_chunks, "chunk binary, crc long, n long, good boolean")
     uses = recipes.select("row", F.posexplode("recipe").alias("seq", "chunk")).join(stored, "chunk", "left")
+    sure = F.when(F.col("good"), F.col("n")).otherwise(F.raise_error(F.lit("a chunk is lost or differs from its name")))
     later = Window.partitionBy("row").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    parts = arrow_rows(uses.select("row", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(False)).alias("good"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after")), _shifted, "row long, n long, good boolean, part long")
-    docs = parts.groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("n"), F.bool_and("good").alias("good"), F.count(F.lit(1)).alias("n_chunks"))
-    sums = recipes.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    before = sums.select("file", F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    parts = arrow_rows(uses.withColumn("n", sure).select("row", "crc", "n", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after")), _shifted, "row long, n long, part long")
+    docs = parts.groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_chunks"))
+    before = manifests.select("file", F.coalesce(F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = recipes.select("file", "row", "doc_id", "n_tokens", "recipe", "checksum", within.alias("within")).join(F.broadcast(before), "file")
-    whole = F.sha2(F.array_join(F.transform("recipe", F.hex), ""), 256) == F.col("checksum")
-    return placed.select("row", "doc_id", "n_tokens", (F.col("before") + F.col("within")).alias("start"), whole.alias("whole")).join(docs, "row").select(
-        "doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32", "n_chunks", (F.col("good") & F.col("whole") & (F.col("n") == F.col("n_tokens"))).alias("verified")
-    )
+    placed = recipes.select("file", "row", "doc_id", "n_tokens", within.alias("within")).join(F.broadcast(before), "file")
+    counted = F.when(F.col("n") == F.col("n_tokens"), F.col("n")).otherwise(F.raise_error(F.lit("a document's ids are not as many as its recipe says")))
+    return placed.select("row", "doc_id", "n_tokens", (F.col("before") + F.col("within")).alias("start")).join(docs, "row", "left").select("doc_id", "start", counted.alias("n_tokens"), "ids_crc32", "n_chunks")
 
 
-def reconstruct(chunks: DataFrame, recipes: DataFrame) -> DataFrame:
-    """(row, doc_id, ids binary of little-endian unsigned 32-bit integers) of every document."""
+def reconstruct(chunks: DataFrame, recipes: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(row, doc_id, ids binary of little-endian unsigned 32-bit integers) of every document;
+    fails where a chunk is lost or differs from its name, or recipes from manifests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [b"".join(unpacked(p["bytes"]) for p in parts) for parts in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
+            out = []
+            for parts in b.column("parts").to_pylist():
+                ids = [unpacked(p["bytes"] or b"") for p in parts]
+                if any(name_of(x) != p["chunk"] for x, p in zip(ids, parts, strict=True)):
+                    raise ValueError("a chunk is lost or differs from its name")
+                out.append(b"".join(ids))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(out, pa.binary())], names=["row", "doc_id", "ids"])
 
-    stored = chunks.where(F.col("bytes").isNotNull()).select("chunk", "bytes")
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    parts = recipes.select("row", "doc_id", F.posexplode("recipe").alias("seq", "chunk")).join(stored, "chunk").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("parts"))
+    uses = verified_recipes(recipes, manifests).select("row", "doc_id", F.posexplode("recipe").alias("seq", "chunk")).join(chunks.select("chunk", "bytes"), "chunk", "left")
+    parts = uses.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk", "bytes"))).alias("parts"))
     return arrow_rows(parts, run, f"row long, doc_id {kind}, ids binary")
 
 
@@ -268,5 +430,4 @@ def token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    chunks, recipes, _ = write_store(docs, P.path("byte_bpe_50k.json"))
-    return read_store(chunks, recipes)
+    return read_store(*write_store(docs, P.path("byte_bpe_50k.json")))
