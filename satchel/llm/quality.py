@@ -1,20 +1,28 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled documents of quality 1; unlabelled data is web text with its
-labels unread. A logistic model on features of the whole text minimises the non-negative
-unbiased risk: prior * R(positives as +) + max(0, R(unlabelled as -) - prior * R(positives
-as -)); when the second part goes below zero, the step takes it back up instead. The class
-prior is estimated from the labelled rows as the share of positives among them (labels are
-given at random; no label of a negative row is used otherwise).
-
-Fitting uses at most ``FIT_ROWS`` positives and as many unlabelled rows, those with the
-smallest hash of doc_id; scoring covers every row. Only text is a feature: shares of
-character classes and of repetition, and hashed two-byte and word-edge counts.
+Trusted positives are labelled documents of quality 1; unlabelled data is web text, whatever
+its labels; labels of negative rows are never read. A logistic model on features of the
+whole text minimises the non-negative unbiased risk: prior * R(positives as +) + max(0,
+R(unlabelled as -) - prior * R(positives as -)); when the second part goes below zero, the
+step takes it back up instead.
+
+The class prior is estimated from positives and unlabelled rows alone: a classifier of
+positives against unlabelled rows scores each fifth of them after learning from the rest;
+of all score thresholds, the share of unlabelled rows above it over the share of positives
+above it bounds the prior from above, and the bound is taken where it is lowest once its
+sampling error is added (best-bin estimation).
+
+Two documented bounds on what is fitted: about ``FIT_POSITIVES`` labelled positives and about
+``FIT_UNLABELLED`` unlabelled rows, those whose hash is below a threshold that follows from
+their count, so choosing them moves no text. Scoring covers every row. Only text is a
+feature: shares of character classes and of repetition, and hashed two-byte counts.
 
 Null and empty texts are scored by the model's own value for no text; repeated rows and
 equal texts have equal scores; labels of unknown documents are ignored; several labels of
-one document count as its largest; other columns pass through ``score`` unless named as an
-output; an empty table gives no rows; without positives to learn from, scores are the prior.
+one document count as its largest; one row of a doc_id is a positive, one of each distinct
+(doc_id, text) is unlabelled; other columns pass through ``score`` unless named as an
+output; an empty table gives no rows; without positives or unlabelled rows every score is
+the prior, 0.5 where nothing tells it.
 """
 
 from __future__ import annotations
@@ -28,9 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from satchel.llm.shared import append_columns, arrow_rows, byte_pieces
+from satchel.llm.shared import append_columns, arrow_rows, byte_pieces, free_name, written
 
-FIT_ROWS = 8_000
+FIT_POSITIVES = 8_000
+FIT_UNLABELLED = 16_000
 HASHED = 256
 PIECE = 1 << 20
 DENSE = 24
@@ -96,50 +105,120 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Model:
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def losses(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic loss of scores ``z`` if they should be positive, and if negative."""
+    return np.logaddexp(0, -z), np.logaddexp(0, z)
+
+
+def risk_parts(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk: of positives as such, and of negatives, which is what
+    unlabelled rows as negatives exceed positives as negatives by."""
+    as_positive, as_negative = losses(zp)
+    return prior * as_positive.mean(), losses(zu)[1].mean() - prior * as_negative.mean()
+
+
+def step_gradients(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the non-negative risk in each score: the whole risk's while its second part isn't
+    below zero, else that of the second part with its sign turned."""
+    sp, su = sigmoid(zp), sigmoid(zu)
+    if risk_parts(zp, zu, prior)[1] >= 0:
+        return -prior / len(zp) * np.ones_like(sp), su / len(zu)
+    return prior * sp / len(zp), -su / len(zu)
+
+
+def adam(gradient, n: int, steps: int, rate: float) -> np.ndarray:
+    """Parameters by Adam from zeros, averaged over the later half of ``steps``."""
+    x, m, v, mean = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    for t in range(1, steps + 1):
+        g = gradient(x)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if 2 * t > steps:
+            mean += (x - mean) / (t - steps // 2)
+    return mean
+
+
+def standard(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    both = np.concatenate(parts).astype(np.float64)
+    mean, scale = both.mean(0), both.std(0) + 1e-3
+    return mean, scale, [np.clip((p - mean) / scale, -8, 8) for p in parts]
+
+
+def draw(rng: np.random.Generator, x: np.ndarray, most: int = 1024) -> np.ndarray:
+    return x[rng.integers(0, len(x), min(most, len(x)))]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 2000, rate: float = 0.01, decay: float = 1e-3, seed: int = 0) -> Model:
     """Minimise the non-negative risk with the logistic loss by Adam over random batches."""
     if not len(positive) or not len(unlabelled):
         return Model(prior)
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((v - mean) / scale, -8, 8).astype(np.float64) for v in (positive, unlabelled))
+    mean, scale, (p, u) = standard(positive, unlabelled)
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), min(1024, len(p)))], u[rng.integers(0, len(u), min(1024, len(u)))]
-        sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
-        as_negative = -np.log(np.maximum(1 - su, 1e-15)).mean() - prior * -np.log(np.maximum(1 - sp, 1e-15)).mean()
-        # gradients in z: of the loss as positive s - 1, as negative s
-        gu, gp = su / len(su), -prior * sp / len(sp)
-        if as_negative >= 0:
-            dp, du = prior * (sp - 1) / len(sp) + gp, gu
-        else:
-            dp, du = -gp, -gu
-        g = np.append(xp.T @ dp + xu.T @ du + decay * w, dp.sum() + du.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return Model(prior, mean.astype(np.float64), scale.astype(np.float64), w, float(b))
+
+    def gradient(x: np.ndarray) -> np.ndarray:
+        xp, xu = draw(rng, p), draw(rng, u)
+        gp, gu = step_gradients(xp @ x[:-1] + x[-1], xu @ x[:-1] + x[-1], prior)
+        return np.append(xp.T @ gp + xu.T @ gu + decay * x[:-1], gp.sum() + gu.sum())
+
+    x = adam(gradient, p.shape[1] + 1, steps, rate)
+    return Model(prior, mean, scale, x[:-1], float(x[-1]))
+
+
+def best_bin(sp: np.ndarray, su: np.ndarray, slack: float = 0.01, delta: float = 0.1) -> float:
+    """The class prior from scores of positives and unlabelled rows (see above)."""
+    cut = np.unique(sp)
+    qp = 1 - np.searchsorted(np.sort(sp), cut) / len(sp)
+    qu = 1 - np.searchsorted(np.sort(su), cut) / len(su)
+    error = sum(np.sqrt(np.log(4 / delta) / (2 * len(s))) for s in (sp, su))
+    k = int(np.argmin((qu + (1 + slack) * error) / qp))
+    return float(min(1.0, qu[k] / qp[k]))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5, steps: int = 400, seed: int = 0) -> float:
+    """The share of positives among unlabelled rows; 0.5 with fewer than two of either."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    _, _, (p, u) = standard(positive, unlabelled)
+    rng, sp, su = np.random.default_rng(seed), np.empty(len(p)), np.empty(len(u))
+    for fold in range(folds):
+        mp, mu = np.arange(len(p)) % folds == fold, np.arange(len(u)) % folds == fold
+        tp, tu = p[~mp], u[~mu]
+
+        def gradient(x: np.ndarray, tp=tp, tu=tu) -> np.ndarray:
+            xp, xu = draw(rng, tp), draw(rng, tu)
+            gp, gu = (sigmoid(xp @ x[:-1] + x[-1]) - 1) / len(xp), sigmoid(xu @ x[:-1] + x[-1]) / len(xu)
+            return np.append(xp.T @ gp + xu.T @ gu + 1e-2 * x[:-1], gp.sum() + gu.sum())
+
+        x = adam(gradient, p.shape[1] + 1, steps, 0.01)
+        sp[mp], su[mu] = p[mp] @ x[:-1] + x[-1], u[mu] @ x[:-1] + x[-1]
+    return best_bin(sp, su)
 
 
 def held_out(doc_id) -> F.col:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def chosen(df: DataFrame, most: int, *of: str) -> DataFrame:
+    """The rows of ``df`` whose hash of ``of`` is below a threshold that about ``most`` rows pass;
+    all if there are no more."""
+    n = df.count()
+    place = F.xxhash64(F.lit("fit"), *of) / 2.0**64 + 0.5
+    return df if n <= most else df.where(place < most / n)
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), from rows that
     are not held out."""
-    order = F.xxhash64(F.lit("fit"), "doc_id")
-    known = labels.where(F.col("quality").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    prior = known.agg(F.avg("quality")).first()[0]
-    if prior is None:
-        return Model(0.5)
-    ids = known.where("quality = 1").orderBy(order, "doc_id").limit(fit_rows).select("doc_id")
-    open_docs = docs.select("doc_id", "text").where(~held_out("doc_id"))
-    positive = open_docs.join(F.broadcast(ids), "doc_id").select("text")
-    unlabelled = open_docs.orderBy(order, "doc_id").limit(fit_rows).select("text")
+    ids = labels.where((F.col("quality") >= 1) & ~held_out("doc_id")).select("doc_id").distinct()
+    ids = written(chosen(ids, positives, "doc_id"), "positive_ids")
+    open_docs = docs.select("doc_id", "text").where(~F.coalesce(held_out("doc_id"), F.lit(False)))
+    text = F.coalesce("text", F.lit(""))
+    positive = open_docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(text).alias("text"))
+    some = chosen(open_docs, unlabelled, "doc_id", "text").select("doc_id", text.alias("text")).distinct()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,10 +226,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
 
     def gathered(df: DataFrame) -> np.ndarray:
-        found = sorted(bytes(r.x) for r in arrow_rows(df, rows, "x binary").collect())
+        found = sorted(bytes(r.x) for r in arrow_rows(df.select("text"), rows, "x binary").collect())
         return np.frombuffer(b"".join(found), np.float32).reshape(-1, DENSE + HASHED)
 
-    return fit(gathered(positive), gathered(unlabelled), float(prior))
+    p, u = gathered(positive), gathered(some)
+    rng = np.random.default_rng(0)
+    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
+    return fit(p, u, estimate_prior(p, u))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -161,6 +243,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 THRESHOLD = 0.3
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, unchanged."""
+    name = free_name(docs, "score")
+    return score(docs, model, out=name).where(F.col(name) >= threshold).select(*docs.columns)
+
+
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document's score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

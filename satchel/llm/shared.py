@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 import satchel
 from satchel.session import shared_folder, written
 
-__all__ = ["append_columns", "arrow_groups", "arrow_rows", "bounded", "byte_pieces", "mix64", "ship", "shared_folder", "split_join", "written"]
+__all__ = ["append_columns", "arrow_groups", "arrow_rows", "bounded", "byte_pieces", "free_name", "mix64", "ship", "shared_folder", "split_join", "written"]
 
 _shipped: set[str] = set()
 #: The most that is broadcast, in bytes of rows.
@@ -69,6 +69,14 @@ def split_join(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("k_", k).join(per_key.withColumn("k_", k).drop(key), "k_").drop("k_")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` plus ``fields``, which ``fn`` computes from Arrow arrays of ``inputs``, a batch
     at a time. A column of ``df`` that has the name of a new one is replaced."""

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from satchel.llm import bpe, chat, decontaminate, fmdedup, media, neardup, quality, repeats, sharding, suffixdedup, tokenstore
+from satchel.llm import bpe, chat, decontaminate, fmdedup, media, neardup, repeats, sharding, suffixdedup, tokenstore
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -213,16 +213,6 @@ def test_chat(spark):
     assert made.where("conv_id = 3").count() == 3
 
 
-def test_quality_held_out(spark):
-    out = quality.quality_query(spark, "/root/testdata/sf0.01")
-    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
-    j = out.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
-    assert (j.predicted == j.quality).mean() > 0.85
-    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    scores = [r.score for r in quality.score(empty, quality.Model(0.7)).collect()]
-    assert scores == [0.7, 0.7]
-
-
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
