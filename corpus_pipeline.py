@@ -12,7 +12,7 @@ from satchel.llm.shared import written
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of at least 0.3)."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, out="score_").where(F.col("score_") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
