@@ -8,12 +8,15 @@ shingle stands in the window gives the only place the window could start in the
 (positional bound), which must leave room for the window (length bound); the words
 there are then compared one by one. Windows of one word use the word itself.
 
-Null and empty texts have no words and no windows; equal windows of several items, and
-items repeated, all count; repeated document rows are kept apart; other columns pass
-through ``decontaminate`` whole; empty tables give no hits.
+Documents are scanned twice: to count the benchmark's shingles, which only leaves sums, and
+to find the rarest of each window, which leaves those places. Only texts with a candidate
+are moved. Work is done once per distinct text and per distinct window; items come in at the
+end, once per distinct set of windows that a text holds.
 
-The benchmark's shingles are broadcast only if there are at most ``BROADCAST_ROWS``, else
-joined by shuffle; documents never leave their rows except for those with a candidate.
+Null and empty texts have no words and no windows; equal windows of several items, and
+items repeated, all count; repeated document rows are kept apart; columns of any name pass
+through ``decontaminate`` whole; empty tables give no hits. What is broadcast is bounded in
+bytes (``bounded``); beyond it joins are shuffled.
 """
 
 from __future__ import annotations
@@ -21,13 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm.shared import written
+from satchel.llm.repeats import distinct_texts, keyed
+from satchel.llm.shared import bounded, written
 
 #: Fixed separators: every ASCII character but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIZE = 10
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -38,7 +41,7 @@ def windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     """One row per distinct window of an item: item_id, window array<string>."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
-    return w.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.slice("w", i, size)))).alias("window"))
+    return w.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.slice("w", i, size)))).alias("window")).distinct()
 
 
 def tokens(w: Column, single: bool) -> Column:
@@ -50,58 +53,71 @@ def tokens(w: Column, single: bool) -> Column:
     return F.concat(pairs, F.transform(w, lambda a, i: F.struct(i.alias("pos"), F.xxhash64(a).alias("token"))))
 
 
-def fits(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def token_counts(split: DataFrame, listed: DataFrame, single: bool) -> DataFrame:
+    """(token, df): how often each token of ``listed`` occurs in ``split`` (w)."""
+    pool = written(listed.select("token").distinct(), "pool")
+    every = split.select(F.explode(tokens(F.col("w"), single)).alias("t")).select("t.token")
+    counted = lambda df: df.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    small = bounded(pool, 16, otherwise=None)
+    return counted(every).join(pool, "token", "left_semi") if small is None else counted(every.join(small, "token", "left_semi"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, row: str = "row", size: int = SIZE) -> DataFrame:
-    """Per document row with a hit: ``row``, found array<struct<item_id, start, n>> of exact
-    window occurrences, start counted in words from 0. ``docs`` has ``row`` and ``text``."""
-    win = written(windows(items, size).withColumn("wid", F.xxhash64(F.to_json("window"))), "windows")
-    each = win.select("wid", "window").dropDuplicates(["wid"])
+def occurrences(texts: DataFrame, items: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """(found, windows): per text (key) with a hit found array<struct<start, n, wid>>, the exact
+    occurrences of windows, start counted in words from 0; and (wid, item_id) of all windows."""
+    win = written(windows(items, size), "windows")
+    each = written(win.select("window").distinct().select(F.monotonically_increasing_id().alias("wid"), "window"), "distinct_windows")
     single = not each.where(F.size("window") == 1).isEmpty()
     listed = each.select("wid", F.size("window").alias("n"), F.explode(tokens(F.col("window"), single)).alias("t")).select("wid", "n", "t.*")
     listed = listed.where((F.col("n") > 1) | (F.col("pos") == 0))
-    pool = fits(listed.select("token").distinct())
-    split = docs.select(row, words(F.col("text")).alias("w"))
-    at = split.select(row, F.explode(tokens(F.col("w"), single)).alias("t")).select(row, "t.*").join(pool, "token", "left_semi")
-    at = written(at, "tokens")
-    common = at.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rarest = listed.join(common, "token").groupBy("wid").agg(F.min(F.struct("df", "token", "pos")).alias("t"), F.first("n").alias("n"))
+    split = texts.select("key", words(F.col("text")).alias("w"))
+    common = written(token_counts(split, listed, single), "token_counts")
     # a window one of whose shingles occurs nowhere can't occur
-    whole = listed.join(common.select("token"), "token", "left_anti").select("wid").distinct()
-    prefix = written(rarest.join(whole, "wid", "left_anti").select("wid", "n", F.col("t.token").alias("token"), F.col("t.pos").alias("off")), "prefix")
-    starts = at.join(fits(prefix), "token").where(F.col("pos") >= F.col("off")).select(row, "wid", (F.col("pos") - F.col("off")).alias("start")).distinct()
-    by_row = starts.join(fits(win), "wid").groupBy(row).agg(F.collect_list(F.struct("item_id", "start", "window")).alias("cand"))
-    there = docs.select(row, "text").join(by_row, row).select(row, words(F.col("text")).alias("w"), "cand")
+    ranked = listed.join(common, "token", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "pos")).alias("t"), F.first("n").alias("n"))
+    prefix = written(ranked.where("t.df > 0").select("wid", "n", F.col("t.token").alias("token"), F.col("t.pos").alias("off")), "prefix")
+    at = split.select("key", F.size("w").alias("n_words"), F.explode(tokens(F.col("w"), single)).alias("t")).select("key", "n_words", "t.*")
+    start = F.col("pos") - F.col("off")
+    places = written(at.join(bounded(prefix, 40), "token").where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("key", "wid", start.alias("start")), "places")
+    by_text = places.join(bounded(each, 48 + F.length(F.concat_ws(" ", "window"))), "wid").groupBy("key").agg(F.collect_list(F.struct("start", "wid", "window")).alias("cand"))
+    wanted = bounded(places.select("key").distinct(), 24, otherwise=None)
+    moved = texts if wanted is None else texts.join(wanted, "key", "left_semi")
+    there = moved.join(by_text, "key").select("key", words(F.col("text")).alias("w"), "cand")
     exact = F.filter("cand", lambda c: F.slice("w", c["start"] + 1, F.size(c["window"])) == c["window"])
-    return there.select(row, F.transform(exact, lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"), F.size(c["window"]).alias("n"))).alias("found")).where(F.size("found") > 0)
+    found = there.select("key", F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(c["window"]).alias("n"), c["wid"].alias("wid"))).alias("found")).where(F.size("found") > 0)
+    return written(found, "found"), each.join(win, "window").select("wid", "item_id")
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` plus (rows of one text share their hits) n_words, n_hit (words inside any occurrence), n_items, items_sha256 and
-    contaminated. A column of ``docs`` named as one of these or ``row`` is replaced."""
-    new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    keep = [c for c in docs.columns if c not in (*new, "row")]
-    docs = docs.select(*keep, F.md5(F.coalesce("text", F.lit(""))).alias("row"))
-    counted = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long"))
-    found = occurrences(docs.select("row", "text"), items, "row", size)
+def marked(rows: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """``keyed`` rows with n_hit (words inside any occurrence) and ids, the sorted item_ids as
+    strings; null where nothing occurs."""
+    _, texts = distinct_texts(rows)
+    found, held = occurrences(texts, items, size)
     covered = F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
-    ids = F.array_sort(F.array_distinct(F.transform("found", lambda c: c["item_id"].cast("string"))))
-    per = found.groupBy("row").agg(F.max("found").alias("found")).select("row", F.size(covered).cast("long").alias("n_hit"), ids.alias("ids"))
-    none = F.array().cast("array<string>")
-    return counted.join(per, "row", "left").select(
-        *keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(F.coalesce("ids", none)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("ids", none), ","), 256).alias("items_sha256"),
+    per = written(found.select("key", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("found", lambda c: c["wid"]))).alias("wids")), "hits")
+    sets = per.select("wids").distinct()
+    ids = sets.select("wids", F.explode("wids").alias("wid")).join(held, "wid").groupBy("wids").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("ids"))
+    each = written(per.join(ids, "wids").select("key", "n_hit", "ids"), "hit_items")
+    return rows.join(bounded(each, 48 + F.length(F.concat_ws(",", "ids"))), "key", "left")
+
+
+OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def hits(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """``docs`` plus n_words, n_hit (words inside any occurrence), n_items, items_sha256 and
+    contaminated, which replace columns of these names; a null item_id counts as ''."""
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    return marked(keyed(docs), items, size).select(
+        *(F.col("row").getField(c).alias(c) for c in docs.columns if c not in OUTPUTS),
+        F.size(words(F.col("text"))).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` that share no window with any item, unchanged."""
-    marked = hits(docs, items, size)
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    return marked(keyed(docs), items, size).where("n_hit IS NULL").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from satchel.llm import fmdedup, suffixdedup
+from satchel.llm import decontaminate, fmdedup, neardup, quality, suffixdedup
 
 NAMES = ["doc_id", "row", "key", "k_", "_md5", "_kept", "kept", "windows", "copied", "h", "times", "seg", "sid", "n_removed", "th", "md5", "node", "digest", "component", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "score", "score_", "wid", "token", "n", "held_out"]
 TEXT = " ".join(f"word{k}" for k in range(60))
@@ -28,3 +28,15 @@ def test_repeat_removers(clashing):
     assert text[0] == "" and text[1] == " more" and text[2] is None and text[4] == "other text"
     text = same_but_text(clashing, fmdedup.deduplicated(clashing))
     assert text[0] == "" and text[1] == "more" and text[3] == ""
+
+
+def test_filters(spark, clashing):
+    items = spark.createDataFrame([("x", "word3 word4 word5 word6 word7 word8 word9 word10 word11 word12")], "item_id string, text string")
+    text = same_but_text(clashing, decontaminate.decontaminate(clashing, items))
+    assert set(text) == {2, 3, 4, 5}
+    out = decontaminate.hits(clashing, items)
+    assert {r.doc_id: r.n_hit for r in out.collect()} == {0: 10, 1: 10, 2: 0, 3: 0, 4: 0, 5: 0} and out.first().row is not None
+    text = same_but_text(clashing, quality.accepted(clashing, quality.Model(0.7)))
+    assert len(text) == 6
+    text = same_but_text(clashing, neardup.kept_documents(clashing))
+    assert set(text) == {0, 2, 3, 4}
