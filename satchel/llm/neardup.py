@@ -1,23 +1,27 @@
 """MinHash near-dedup with odd sketches.
 
 A document's set is its distinct word shingles (``width`` words, A-Z lower-cased; a shorter
-text is one shingle). Equal sets are one class. A class has SAMPLES MinHash values; BANDS
-groups of them are hashed, and classes that share a band are candidates: a pair of
-similarity 0.8 shares none with a chance of three in a million. All samples are folded into
-an odd sketch, a bitmap in which each sample flips one bit; the population count of the XOR
-of two sketches estimates their similarity far above chance, and candidates estimated under
-LOWEST (five deviations below 0.8) are let go. What remains linked by estimates are
-clusters; inside each, links are confirmed on the full sets, and components of the
-confirmed links are the result.
-
-Buckets and clusters of more than ``BLOCK`` classes are split into blocks; every pair of
-blocks is a task's group, so each pair of a bucket is compared somewhere, but a group only
-hands on a spanning forest of its links, never all pairs.
-
-Null and empty texts have no shingles, link to nothing and are kept. doc_ids are
-taken to be unique but for repeated rows; a null doc_id is the least long. Repeated rows and
-equal texts are linked. Other columns pass
-through ``kept_documents``; an empty table gives no rows.
+text is one shingle), as 64-bit hashes of the shingles' words. Equal sets are one class. A
+class has SAMPLES MinHash values; BANDS groups of them are hashed, and classes that share a
+band are candidates: a pair of similarity 0.8 shares none with a chance of three in a
+million. All samples are folded into an odd sketch, a bitmap in which each sample flips one
+bit; the population count of the XOR of two sketches estimates their similarity far above
+chance, and candidates estimated under LOWEST (five deviations below 0.8) are let go. What
+remains linked by estimates are clusters; inside each, links are confirmed on the full sets,
+and components of the confirmed links are the result.
+
+Buckets of more than ``block`` classes are split into blocks; every pair of blocks is a
+task's group, so each pair of a bucket is compared somewhere, but a group only hands on a
+spanning forest of its links, never all pairs. Clusters whose sets fit in BLOCK_BYTES are
+confirmed in one group. In larger ones the links of the estimates are confirmed first, one
+by one, which is linear; only where they leave a cluster in several parts are its sets
+compared in pairs of blocks of BLOCK_BYTES. Groups are packed by bytes.
+
+Null and empty texts have no shingles, link to nothing and are kept. doc_ids need not be
+unique: classes have numbers of their own, and a component's id is the least doc_id of its
+rows; a null doc_id is the least long. Repeated rows and equal texts are linked;
+``kept_documents`` keeps one row of each component, of rows repeated under one doc_id too.
+Columns of any name pass through it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.llm.components import components
 from satchel.llm.fmdedup import words_as_symbols
-from satchel.llm.shared import arrow_groups, arrow_rows, byte_pieces, mix64, written
+from satchel.llm.shared import arrow_groups, arrow_rows, bounded, byte_pieces, mix64, written
 
 ROWS, BANDS = 5, 32
 SAMPLES = ROWS * BANDS
@@ -40,8 +44,10 @@ SKETCH_BITS = 1024
 LOWEST = 0.64
 PERCENT = 80
 BLOCK = 2048
-PACK_ROWS = 20_000
-PIECE = 1 << 20
+#: Bytes of sets that are confirmed side by side, and of small groups that share a task's call.
+BLOCK_BYTES = 8 << 20
+PACK_BYTES = 1 << 20
+PIECE = 1 << 18
 #: Lower case for the bytes of A-Z alone.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -191,45 +197,86 @@ def _links(compare: Callable[[list[bytes]], list[tuple[int, int]]]):
     return run
 
 
-def links(members: DataFrame, group: str, compare: Callable, block: int) -> DataFrame:
-    """Forests of links inside each ``group`` of ``members`` (group, node, n: size of the group,
-    value)."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    paired = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def links(members: DataFrame, group: str, blocks: Column, width: Column | int, compare: Callable) -> DataFrame:
+    """Forests of links inside each ``group`` of ``members`` (group, node, value), which is split
+    into ``blocks``; ``width`` is the size of a value in bytes."""
+    n = F.greatest(blocks.cast("int"), F.lit(1))
+    paired = members.withColumn("own", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     dealt = paired.select(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "value")
-    rows = members.agg(F.sum(F.ceil(F.col("n") / block))).first()[0] or 0
-    packs = max(1, -(-int(rows) // PACK_ROWS))
+    size = members.agg(F.sum(n * (F.lit(width) if isinstance(width, int) else width))).first()[0] or 0
+    packs = max(1, -(-int(size) // PACK_BYTES))
     return arrow_groups(dealt.withColumn("pack", F.pmod(F.xxhash64(F.lit(7), "g"), F.lit(packs))), "pack", _links(compare), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs`` (doc_id long, text): doc_id, n_shingles and component_id, the least
-    doc_id of its component."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        good = [bool(by_set([x.as_py(), y.as_py()])) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def confirmed(estimated: DataFrame, clusters: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
+    """Links (a, b) of ``clusters`` (node, cluster) that hold on the full ``sets`` (node, cluster,
+    value); ``estimated`` are the links (a, b) by which the clusters were found."""
+    sizes = written(sets.groupBy("cluster").agg(F.sum(F.length("value")).alias("bytes")), "cluster_sizes")
+    small = sizes.where(F.col("bytes") <= block_bytes).select("cluster")
+    found = links(sets.join(small, "cluster"), "cluster", F.lit(1), F.length("value"), by_set)
+    large = written(sizes.where(F.col("bytes") > block_bytes), "large_clusters")
+    if large.isEmpty():
+        return found
+    inside = sets.join(large.select("cluster"), "cluster", "left_semi")
+    ends = estimated.join(clusters.join(large.select("cluster"), "cluster", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+    pairs = ends.join(inside.select(F.col("node").alias("a"), F.col("value").alias("x")), "a").join(inside.select(F.col("node").alias("b"), F.col("value").alias("y")), "b")
+    sure = written(arrow_rows(pairs.select("a", "b", "x", "y"), _confirmed, "a long, b long"), "confirmed")
+    part = components(sure)
+    parts = inside.select("node", "cluster").join(part, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    several = written(parts.groupBy("cluster").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("cluster").join(large, "cluster"), "open_clusters")
+    rest = links(inside.join(several, "cluster"), "cluster", F.ceil(F.col("bytes") / block_bytes), F.length("value"), by_set)
+    return found.unionByName(sure).unionByName(rest)
+
+
+def grouped(docs: DataFrame, width: int = 5, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs`` (doc_id long, text): doc_id, th (its text's hash), n_shingles and
+    first, the least (doc_id, th) of its component; null without words."""
+    rows = known(docs)
     each = written(arrow_rows(rows, _described(width), "doc_id long, th long, n_shingles long, digest binary, bands array<long>, sketch binary"), "signatures")
-    classes = written(
-        each.where("digest IS NOT NULL").groupBy("digest", "bands", "sketch").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("digest", "bands", "sketch", F.col("r.doc_id").alias("node"), F.col("r.th").alias("th")), "classes"
-    )
+    distinct = each.where("digest IS NOT NULL").groupBy("digest", "bands", "sketch").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+    classes = written(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "bands", "sketch", "r"), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     candidates = written(banded.join(shared, "band").join(classes.select("node", F.col("sketch").alias("value")), "node"), "candidates")
-    clusters = written(components(links(candidates, "band", by_sketch, block)), "clusters")
-    inside = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    chosen = inside.withColumnRenamed("component", "cluster").join(classes.select("node", "th"), "node")
-    texts = rows.join(chosen, [rows.doc_id == chosen.node, rows.th == chosen.th]).select("node", "cluster", "text")
+    estimated = written(links(candidates, "band", F.ceil(F.col("n") / block), SKETCH_BITS // 8, by_sketch), "estimated")
+    tree = written(components(estimated), "clusters")
+    clusters = written(tree.select("node", F.col("component").alias("cluster")).unionByName(tree.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()), "members")
+    chosen = clusters.join(classes.select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th")), "node")
+    texts = rows.join(bounded(chosen, 48), ["doc_id", "th"]).select("node", "cluster", "text")
     sets = written(arrow_rows(texts, _sets(width), "node long, cluster long, value binary").dropDuplicates(["node", "cluster"]), "sets")
-    members = sets.join(sizes.withColumnRenamed("component", "cluster"), "cluster")
-    found = components(links(members, "cluster", by_set, block))
-    named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return each.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = components(confirmed(estimated, clusters, sets, block_bytes))
+    of = classes.select("digest", "node", "r").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = of.select("digest", "component").join(of.groupBy("component").agg(F.min("r").alias("first")), "component").select("digest", "first")
+    return each.select("doc_id", "th", "n_shingles", "digest").join(named, "digest", "left").drop("digest")
+
+
+def known(docs: DataFrame) -> DataFrame:
+    """doc_id (null: the least long), text (null: empty) and th, its hash."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs`` (doc_id long, text): doc_id, n_shingles and component_id, the least
+    doc_id of its component."""
+    return grouped(docs, width, block, block_bytes).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def kept_documents(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, other columns) whose doc_id is their component's."""
-    gone = near_duplicates(docs.select("doc_id", "text"), width).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` (doc_id, text, other columns) of each component; all rows without words."""
+    names = F.struct(*docs.columns).alias("row")
+    rows = docs.select(names, F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    told = written(grouped(docs.select("doc_id", "text"), width).where("first IS NOT NULL").groupBy("doc_id", "th").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 OR first.doc_id <> doc_id OR first.th <> th"), "told")
+    own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.th") == F.col("th"))
+    single = rows.join(bounded(told.select("doc_id", "th"), 32), ["doc_id", "th"], "left_anti")
+    repeated = rows.join(bounded(told.where(own).select("doc_id", "th"), 32), ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.first("row").alias("row"))
+    return single.select("row").unionByName(repeated.select("row")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:

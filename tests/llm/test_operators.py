@@ -82,8 +82,8 @@ def test_deduplicated_text_is_whole_characters(docs):
     assert out[0] is None and out[3] == "Short" and out[5] == "" and docs.columns == suffixdedup.deduplicated(docs).columns
 
 
-@pytest.mark.parametrize(("width", "block"), [(4, 2048), (5, 3)])
-def test_near_duplicates(docs, width, block):
+@pytest.mark.parametrize(("width", "block", "block_bytes"), [(4, 2048, 8 << 20), (5, 3, 4000), (4, 2, 1)])
+def test_near_duplicates(docs, width, block, block_bytes):
     sets = []
     for i, t in corpus():
         w = WORDS.findall((t or "").translate(LOW))
@@ -95,7 +95,7 @@ def test_near_duplicates(docs, width, block):
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 x, y = find(i), find(j)
                 least[max(x, y)] = min(x, y)
-    got = neardup.near_duplicates(docs.select("doc_id", "text"), width, block).collect()
+    got = neardup.near_duplicates(docs.select("doc_id", "text"), width, block, block_bytes).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), find(i)) for i, s in sets)
 
 
