@@ -1,6 +1,7 @@
 """Response pages into items. Each parser takes pages (page_id, body, context) and returns one
-row per item; ``outcomes`` has one row per page. Bodies are dropped as soon as they are
-parsed; a body that is no JSON fails its page and no other."""
+row per item; ``parse_pages`` chooses it by provider and kind of page and has one outcome per
+page, with the cursor of the next one. Bodies are dropped as soon as they are parsed; a body
+that is no JSON, an unknown provider or an unknown kind fails its page and no other."""
 
 from __future__ import annotations
 
@@ -173,74 +174,185 @@ def facebook(pages: DataFrame) -> DataFrame:
     ))
 
 
-def _age_ms(chunk: Column) -> Column:
-    t = F.regexp_extract(chunk, r'<span class="age" title="([^"]+)"', 1)
-    epoch = F.regexp_extract(t, r" (\d{9,})$", 1)
-    iso = F.when((t != "") & ~t.endswith("Z"), F.concat(t, F.lit("Z"))).otherwise(t)
-    return F.coalesce(epoch.try_cast("long") * 1000, F.unix_millis(F.try_to_timestamp(iso)), F.lit(0))
+#: Class names of the parts of a Hacker News page (fixed values).
+ROW, COMMENT, TITLE, SCORE, USER, SITE, AGE, BODY, MORE = "athing", "comtr", "titleline", "score", "hnuser", "sitestr", "age", "commtext", "morelink"
+ORIGIN = "https://news.ycombinator.com"
 
 
-def _chunks(pages: DataFrame, kind: str) -> DataFrame:
-    parts = F.split("body", rf"""<tr class=['"]athing(?: {kind})?['"] id=['"]""")
-    rows = pages.select("page_id", F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pos", "c"))
-    return rows.withColumn("id", F.regexp_extract("c", r"^(\d+)", 1)).where("id <> ''")
+def element(html: Column, tag: str, css: str | None = None) -> Column:
+    """(attrs, inner) of the first ``tag`` in ``html``, or the first that has class ``css``: the
+    text of its attributes, and what stands before the next end of such a tag. Both are empty
+    if there is none."""
+    has = "" if css is None else rf"(?=[^>]*\bclass=['\"](?:[^'\"]*\s)?{css}(?:\s[^'\"]*)?['\"])"
+    pattern = rf"(?s)<{tag}\b{has}([^>]*)>(.*?)</{tag}>"
+    return F.struct(F.regexp_extract(html, pattern, 1).alias("attrs"), F.regexp_extract(html, pattern, 2).alias("inner"))
+
+
+def attribute(attrs: Column, name: str) -> Column:
+    """The value of an attribute, entities as they are; empty if there is none."""
+    double, single = (F.regexp_extract(attrs, rf"\b{name}={q}([^{q}]*){q}", 1) for q in "\"'")
+    return X.or_else(double, single)
+
+
+def text_nodes(html: Column) -> Column:
+    """The texts between tags, hard spaces as spaces."""
+    return F.transform(F.regexp_extract_all(html, F.lit(">([^<>]+)<"), F.lit(1)), lambda t: F.replace(t, F.lit("&nbsp;"), F.lit(" ")))
+
+
+def age_ms(chunk: Column) -> Column:
+    """The time in the title of an age: its number of seconds, else its date in UTC, else 0."""
+    stamp = F.split(attribute(element(chunk, "span", AGE)["attrs"], "title"), " ")
+    date, seconds = F.get(stamp, F.lit(0)), F.try_element_at(stamp, F.lit(2))
+    utc = F.when(F.endswith(date, F.lit("Z")) | (date == ""), date).otherwise(F.concat(date, F.lit("Z")))
+    return F.coalesce(F.when(F.length(seconds) > 8, seconds.try_cast("long")) * 1000, F.unix_millis(F.try_to_timestamp(utc)), F.lit(0))
+
+
+def _rows(pages: DataFrame, comments: bool) -> DataFrame:
+    """(page_id, pos, c, id): the table rows of a page that are entries of the wanted kind."""
+    cut = F.split("body", rf"(?=<tr\b[^>]*\bclass=['\"]{ROW}\b)")
+    rows = pages.select("page_id", F.posexplode(cut).alias("pos", "c")).withColumn("attrs", F.regexp_extract("c", r"^<tr\b([^>]*)>", 1))
+    is_comment = F.array_contains(F.split(attribute(F.col("attrs"), "class"), " "), COMMENT)
+    rows = rows.withColumn("id", F.regexp_extract(attribute(F.col("attrs"), "id"), r"^\d+", 0)).where("id <> ''")
+    return rows.where(is_comment if comments else ~is_comment)
+
+
+def _entry_url(number: Column) -> Column:
+    return F.concat(F.lit(f"{ORIGIN}/item?id="), number)
 
 
 def hackernews_stories(pages: DataFrame) -> DataFrame:
     """Upvoted stories of an HTML page; a row without a title link is left out."""
-    link = r'(?s)<span class="titleline"><a href="([^"]+)"[^>]*>(.*?)</a>'
-    rows = _chunks(pages, "submission").where(F.col("c").rlike(link))
+    rows = _rows(pages, comments=False)
     c = F.col("c")
-    points, comments = X.int_after(c, r'<span class="score"[^>]*>([\d,]+)\s*point'), X.int_after(c, r">([\d,]+)(?:&nbsp;|\s)comments?<")
+    rows = rows.withColumn("link", element(element(c, "span", TITLE)["inner"], "a")).where(attribute(F.col("link.attrs"), "href") != "")
+    points = X.int_after(element(c, "span", SCORE)["inner"], r"^\s*([\d,]+)\s+point")
+    counted = F.get(F.filter(text_nodes(c), lambda t: t.rlike(r"^[\d,]+ comments?$")), F.lit(0))
+    comments = X.int_after(F.coalesce(counted, F.lit("")), r"^([\d,]+)")
+    stats = F.create_map(F.lit("points"), F.concat(points.cast("string"), F.lit(" points")), F.lit("comments"), F.concat(comments.cast("string"), F.lit(" comments")))
     return rows.select("page_id", "pos", *item_columns(
-        external_id=F.col("id"), title=X.strip_tags(F.regexp_extract(c, link, 2)), poster_handle=X.strip_tags(F.regexp_extract(c, r'(?s)class="hnuser"[^>]*>(.*?)</a>', 1)),
-        publication=F.regexp_extract(c, r'<span class="sitestr">([^<]*)</span>', 1), url=F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("id")), published_at=_age_ms(c), kind=F.lit("story"),
-        collection=F.array(F.lit("upvoted")), stats=F.create_map(F.lit("points"), F.concat(points.cast("string"), F.lit(" points")), F.lit("comments"), F.concat(comments.cast("string"), F.lit(" comments"))),
+        external_id=F.col("id"), title=X.strip_tags(F.col("link.inner")), poster_handle=X.strip_tags(element(c, "a", USER)["inner"]), publication=element(c, "span", SITE)["inner"],
+        url=_entry_url(F.col("id")), published_at=age_ms(c), kind=F.lit("story"), collection=F.array(F.lit("upvoted")), stats=stats,
     ))
 
 
 def hackernews_comments(pages: DataFrame) -> DataFrame:
     """Upvoted comments of an HTML page; only rows that hold a comment's text."""
-    on = r'(?s)on:\s*<a href="item\?id=\d+[^"]*"(?:\s+title="([^"]*)")?[^>]*>(.*?)</a>'
-    rows = _chunks(pages, "comtr").where(F.contains("c", F.lit('<div class="commtext')))
     c = F.col("c")
-    story = F.coalesce(F.nullif(X.decode_entities(F.regexp_extract(c, on, 1)), F.lit("")), X.strip_tags(F.regexp_extract(c, on, 2)))
-    body = F.regexp_extract(c, r'(?s)<div class="commtext[^"]*">(.*?)</div>', 1)
-    lines = F.regexp_replace(F.regexp_replace(body, "<p>|<br[^>]*>", "\n"), "<[^>]+>", "")
+    rows = _rows(pages, comments=True).withColumn("body", element(c, "div", BODY)).where(F.contains(F.col("c"), F.lit(f'class="{BODY}')))
+    parent = element(F.regexp_extract(c, r"(?s)\bon:\s*(<a\b.*)", 1), "a")
+    of_entry = F.startswith(attribute(parent["attrs"], "href"), F.lit("item?id="))
+    story = F.when(of_entry, X.or_else(X.decode_entities(attribute(parent["attrs"], "title")), X.strip_tags(parent["inner"]))).otherwise("")
+    lines = F.regexp_replace(F.col("body.inner"), r"<(?:p|br\b[^>]*)>", "\n")
     return rows.select("page_id", "pos", *item_columns(
-        external_id=F.col("id"), poster_handle=X.strip_tags(F.regexp_extract(c, r'(?s)class="hnuser"[^>]*>(.*?)</a>', 1)), publication=F.when(story != "", F.concat(F.lit("on: "), story)).otherwise(""),
-        summary=X.trim_all(X.decode_entities(lines)), url=F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("id")), published_at=_age_ms(c), kind=F.lit("comment"), collection=F.array(F.lit("upvoted")),
+        external_id=F.col("id"), poster_handle=X.strip_tags(element(c, "a", USER)["inner"]), publication=F.when(story != "", F.concat(F.lit("on: "), story)).otherwise(""),
+        summary=X.strip_tags(lines), url=_entry_url(F.col("id")), published_at=age_ms(c), kind=F.lit("comment"), collection=F.array(F.lit("upvoted")),
     ))
 
 
 def next_page(html: Column, base: Column) -> Column:
     """The link to the next page against the page's own URL; null if there is none."""
-    link = X.decode_entities(F.regexp_extract(html, r"""<a href=['"]([^'"]+)['"][^>]*class=['"]morelink['"]""", 1))
+    link = X.decode_entities(attribute(F.regexp_extract(html, rf"<a\b([^>]*\bclass=['\"]{MORE}['\"][^>]*)>", 1), "href"))
     origin, path = F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1), F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
     full = F.when(link.rlike(r"^\w+://"), link).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).when(F.startswith(link, F.lit("?")), F.concat(path, link)).otherwise(F.concat(folder, link))
     return F.when(link != "", full)
 
 
-_parsers: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "instagram": instagram, "substack": substack, "twitter": twitter, "linkedin": linkedin, "facebook": facebook, "hackernews": hackernews_stories,
+def no_items(pages: DataFrame) -> DataFrame:
+    """Pages that hold names, such as those of collections, but nothing saved."""
+    return pages.limit(0).select("page_id", F.lit(0).alias("pos"), *item_columns())
+
+
+# the next page
+
+def _given(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _instagram_next(pages: DataFrame) -> DataFrame:
+    j = F.from_json("body", "more_available boolean, next_max_id string")
+    return pages.select("page_id", F.when(j["more_available"], _given(j["next_max_id"])).alias("cursor"), F.lit(True).alias("more"))
+
+
+def _substack_next(pages: DataFrame) -> DataFrame:
+    j = F.from_json("body", "items array<string>, nextCursor string, result struct<nextCursor: string>")
+    return pages.select("page_id", _given(F.when(j["items"].isNotNull(), j["nextCursor"]).otherwise(j["result"]["nextCursor"])).alias("cursor"), F.lit(None).cast("boolean").alias("more"))
+
+
+def _twitter_next(pages: DataFrame) -> DataFrame:
+    kind = "data struct<bookmark_timeline_v2: struct<timeline: struct<instructions: array<struct<type: string, entries: array<struct<content: struct<entryType: string, cursorType: string, value: string>>>>>>>>"
+    steps = F.from_json("body", kind)["data"]["bookmark_timeline_v2"]["timeline"]["instructions"]
+    entries = F.get(F.filter(steps, lambda i: i["type"] == "TimelineAddEntries"), F.lit(0))["entries"]
+    ends = F.filter(entries, lambda e: (e["content"]["entryType"] == "TimelineTimelineCursor") & (e["content"]["cursorType"] == "Bottom"))
+    return pages.select("page_id", _given(F.try_element_at(ends, F.lit(-1))["content"]["value"]).alias("cursor"), F.lit(None).cast("boolean").alias("more"))
+
+
+def _linkedin_next(pages: DataFrame) -> DataFrame:
+    token = F.get_json_object("body", "$.data.data.searchDashClustersByAll.metadata.paginationToken")
+    return pages.select("page_id", _given(token).alias("cursor"), F.lit(None).cast("boolean").alias("more"))
+
+
+def _facebook_next(pages: DataFrame) -> DataFrame:
+    info = F.from_json("body", "page_info struct<end_cursor: string, has_next_page: boolean>")["page_info"]
+    return pages.select("page_id", _given(info["end_cursor"]).alias("cursor"), F.coalesce(info["has_next_page"], F.lit(False)).alias("more"))
+
+
+def _hackernews_next(pages: DataFrame) -> DataFrame:
+    base = X.or_else(F.get_json_object("context", "$.url"), F.lit(ORIGIN))
+    return pages.select("page_id", next_page(F.col("body"), base).alias("cursor"), F.lit(True).alias("more"))
+
+
+def no_cursor(pages: DataFrame) -> DataFrame:
+    """Pages after which none follows."""
+    return pages.select("page_id", F.lit(None).cast("string").alias("cursor"), F.lit(True).alias("more"))
+
+
+#: Services that page by offset: a page with items has a next one, with or without a cursor.
+BY_OFFSET = ["linkedin"]
+#: Kinds of pages that are known at all (fixed values); ``items`` stands for a service's main kind.
+KINDS = ["items", "stories", "comments", "collections", "playlists", "connection"]
+
+Parser = Callable[[DataFrame], DataFrame]
+#: Parser and next-page function by provider and kind; kind null serves every known kind that
+#: has no entry of its own.
+_parsers: dict[tuple[str, str | None], tuple[Parser, Parser]] = {
+    ("instagram", None): (instagram, _instagram_next), ("instagram", "collections"): (no_items, _instagram_next), ("substack", None): (substack, _substack_next),
+    ("twitter", None): (twitter, _twitter_next), ("linkedin", None): (linkedin, _linkedin_next), ("facebook", None): (facebook, _facebook_next),
+    ("hackernews", None): (hackernews_stories, _hackernews_next), ("hackernews", "comments"): (hackernews_comments, _hackernews_next),
 }
 
 
-def register_parser(provider: str, parser: Callable[[DataFrame], DataFrame]) -> None:
-    """Add a service, or replace its parser."""
-    _parsers[provider] = parser
+def register_parser(provider: str, parser: Parser, kind: str | None = None, next_of: Parser = no_cursor) -> None:
+    """Add a service, or replace its parser, for one kind of page or all; ``next_of`` gives
+    (page_id, cursor, more): where the next page is, and whether there is one (null: if this
+    one has items)."""
+    _parsers[provider, kind] = (parser, next_of)
 
 
 def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, outcomes) of ``pages`` (page_id, provider, body, context): items of all known
-    providers, and per page the number of items and an error, if there is one."""
-    out = None
-    for provider, parser in _parsers.items():
-        own = parser(pages.where(F.col("provider") == provider)).withColumn("provider", F.lit(provider))
-        out = own if out is None else out.unionByName(own)
-    counts = out.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_items"))
+    """(items, outcomes) of ``pages`` (page_id, provider, body, context and, optionally, kind):
+    items of all known providers, and per page the number of items, an error if there is one,
+    the cursor of the next page and whether one follows."""
+    kind = F.coalesce("kind", F.lit("items")) if "kind" in pages.columns else F.lit("items")
+    of = pages.withColumn("kind_", kind)
+    providers = sorted({p for p, _ in _parsers})
+    known = F.col("kind_").isin(*KINDS, *(k for _, k in _parsers if k))
     html = F.col("provider") == "hackernews"
     bad = ~html & F.try_parse_json("body").isNull()
-    error = F.when(~F.col("provider").isin(*_parsers), F.concat(F.lit("No parser for "), F.col("provider"))).when(bad, "body is not JSON")
-    return out, pages.select("page_id", "provider", error.alias("error")).join(counts, "page_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    error = (
+        F.when(F.col("provider").isNull() | ~F.col("provider").isin(*providers), F.concat(F.lit("No parser for "), F.coalesce("provider", F.lit("null"))))
+        .when(~known, F.concat(F.lit("No parser for pages of kind "), F.col("kind_"))).when(bad, "body is not JSON")
+    )
+    of = of.withColumn("error_", error)
+    items = nexts = None
+    for (provider, own_kind), (parser, next_of) in _parsers.items():
+        others = [k for p, k in _parsers if p == provider and k]
+        mine = F.col("kind_") == own_kind if own_kind else ~F.col("kind_").isin(*others) if others else F.lit(True)
+        own = of.where((F.col("provider") == provider) & mine & F.col("error_").isNull())
+        found, after = parser(own).withColumn("provider", F.lit(provider)), next_of(own)
+        items, nexts = (found, after) if items is None else (items.unionByName(found), nexts.unionByName(after))
+    counts = items.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_items"))
+    out = of.select("page_id", "provider", F.col("error_").alias("error")).join(counts, "page_id", "left").join(nexts, "page_id", "left")
+    n = F.coalesce("n_items", F.lit(0))
+    follows = F.col("error").isNull() & F.coalesce("more", n > 0) & (F.col("cursor").isNotNull() | F.col("provider").isin(*BY_OFFSET))
+    return items, out.select("page_id", "provider", "error", n.alias("n_items"), "cursor", F.coalesce(follows, F.lit(False)).alias("has_next"))

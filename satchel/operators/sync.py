@@ -69,13 +69,17 @@ def raw_select(pages: DataFrame, status: list[str] | None = None, provider: str
 
 
 def mark_pages(pages: DataFrame, outcomes: DataFrame, now_ms: int) -> DataFrame:
-    """``pages`` with the result of ``outcomes`` (page_id, error): ingested with its time, or
-    failed with its error; other pages stay."""
-    o = outcomes.select(F.col("page_id").alias("o_"), F.col("error").alias("e_"))
-    j = pages.join(o, pages.page_id == o.o_, "left")
-    got = F.col("o_").isNotNull()
-    status = F.when(got & F.col("e_").isNull(), "ingested").when(got, "failed").otherwise(F.col("status"))
-    return j.select("page_id", "provider", status.alias("status"), F.when(got & F.col("e_").isNull(), F.lit(now_ms)).alias("ingested_at"), F.when(got, F.col("e_")).alias("error"))
+    """``pages`` with the result of ``outcomes`` (page_id, error): ingested with its time and no
+    error, or failed with its error and no time; other pages, and all other columns, stay."""
+    o = outcomes.select("page_id", F.col("error").alias("e_"), F.lit(True).alias("got_"))
+    got, good = F.col("got_").isNotNull(), F.col("e_").isNull()
+    old = lambda c, t: F.col(c) if c in pages.columns else F.lit(None).cast(t)
+    changes = {
+        "status": F.when(got, F.when(good, "ingested").otherwise("failed")).otherwise(F.col("status")),
+        "ingested_at": F.when(got, F.when(good, F.lit(now_ms))).otherwise(old("ingested_at", "long")),
+        "error": F.when(got, F.col("e_")).otherwise(old("error", "string")),
+    }
+    return pages.join(o, "page_id", "left").withColumns(changes).drop("e_", "got_")
 
 
 def archive_ids(pages: DataFrame, fetched_before: int | None = None) -> DataFrame:

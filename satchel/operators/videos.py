@@ -84,4 +84,9 @@ def offered(lists: DataFrame, pages: DataFrame) -> DataFrame:
     return own.unionByName(later)
 
 
-P.register_parser("youtube", youtube)
+def _next(pages: DataFrame) -> DataFrame:
+    return cursors(pages).select("page_id", "cursor", F.lit(True).alias("more"))
+
+
+P.register_parser("youtube", youtube, next_of=_next)
+P.register_parser("youtube", P.no_items, "playlists")

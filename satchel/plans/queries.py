@@ -215,7 +215,15 @@ CASE WHEN page_id % 2 = 0 AND page_id % 5 <> 0 THEN {NOW} END AS ingested_at, CA
 def m11_mark_pages(spark, d):
     w = A.walks(spark, d)
     outcomes = w.where("page_id % 2 = 0").select("page_id", F.when(F.col("page_id") % 5 == 0, "bad body").alias("error"))
-    return I.mark_pages(w, outcomes, NOW)
+    return I.mark_pages(w, outcomes, NOW).select("page_id", "provider", "status", "ingested_at", "error")
+
+
+@query(f"""SELECT page_id, walk, length(body) AS chars, CASE WHEN page_id % 2 = 1 THEN status WHEN page_id % 5 = 0 THEN 'failed' ELSE 'ingested' END AS status,
+CASE WHEN page_id % 2 = 1 THEN page_id WHEN page_id % 5 <> 0 THEN {NOW} END AS ingested_at, CASE WHEN page_id % 2 = 1 THEN 'old' WHEN page_id % 5 = 0 THEN 'bad body' END AS error FROM walks""", "walks")
+def m11_marks_keep_the_rest(spark, d):
+    w = A.walks(spark, d).withColumn("ingested_at", F.col("page_id")).withColumn("error", F.lit("old"))
+    outcomes = w.where("page_id % 2 = 0").select("page_id", F.when(F.col("page_id") % 5 == 0, "bad body").alias("error"))
+    return I.mark_pages(w, outcomes, NOW).select("page_id", "walk", F.length("body").alias("chars"), "status", "ingested_at", "error")
 
 
 # row state

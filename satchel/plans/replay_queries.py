@@ -199,7 +199,7 @@ def x3_age(spark, d):
     k = F.col("seq") % 3
     span = lambda t: F.concat(F.lit('<span class="age" title="'), t, F.lit('">1 day ago</span>'))
     chunk = F.when(k == 0, span(F.concat(F.lit("2026-07-06T13:28:57 "), F.floor(F.col("at_ms") / 1000).cast("string")))).when(k == 1, span(F.lit("2026-07-06T13:28:57"))).otherwise(span(F.lit("soon")))
-    return A.state(spark, d).select("seq", P._age_ms(chunk).alias("ms"))
+    return A.state(spark, d).select("seq", P.age_ms(chunk).alias("ms"))
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 50 < 20 THEN concat('wide', doc_id) ELSE concat('first', doc_id) END AS url FROM documents")

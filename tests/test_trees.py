@@ -49,4 +49,4 @@ def test_broken_video_pages_have_no_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "{", "{}"), (3, "[]", "{}")], "page_id long, body string, context string")
     assert D.youtube(pages).count() == 0
     assert [tuple(r) for r in D.cursors(pages).orderBy("page_id").collect()] == [(1, None, False), (2, None, False), (3, None, False)]
-    assert "youtube" in P._parsers
+    assert ("youtube", None) in P._parsers
