@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from satchel.operators import parsing as P
 from satchel.operators import state as M
 from satchel.operators import sync as I
+from satchel.operators import videos  # noqa: F401  (adds its parser)
 
 #: Places in a page that an arrival number leaves room for.
 PLACES = 1_000_000

@@ -123,18 +123,19 @@ def resume_points(pages: DataFrame) -> DataFrame:
     return last.select("walk", F.when(~F.col("ended") & ~F.col("broken"), F.col("cursor")).alias("cursor"))
 
 
-def pickup_keys(arrivals: DataFrame, known: DataFrame) -> DataFrame:
+def pickup_keys(arrivals: DataFrame, known: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(provider, external_id, sort_key) of new rows: the anchor of the run less the new rows
     before it in the run. ``arrivals`` is (provider, account, kind, run, anchor, page_id, pos,
     external_id); new is what comes first by page and is not in ``known``. Pages are run up
-    first, so that a long run is no single task."""
+    first, so that a long run is no single task. ``keep`` names more columns of the arrivals."""
     first = Window.partitionBy("provider", "external_id").orderBy("page_id", "pos")
     new = arrivals.withColumn("n_", F.row_number().over(first)).where("n_ = 1").drop("n_").join(known.select("provider", "external_id"), ["provider", "external_id"], "left_anti")
     per = new.groupBy("provider", "account", "kind", "run", "page_id").agg(F.count(F.lit(1)).alias("c"))
     earlier = Window.partitionBy("provider", "account", "kind", "run").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
     before = per.select("page_id", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     inside = new.withColumn("at", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1)
-    return inside.join(before, "page_id").select("provider", "external_id", (F.col("anchor") - F.col("before") - F.col("at")).alias("sort_key"))
+    more = [c for c in keep or [] if c != "provider"]
+    return inside.join(before, "page_id").select("provider", "external_id", *more, (F.col("anchor") - F.col("before") - F.col("at")).alias("sort_key"))
 
 
 def reset_for_replay(items: DataFrame, pages: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satchel.operators import replay as Y
+from satchel.operators import state as M
+from satchel.operators import sync as I
+
+WALK = ["provider", "account", "kind"]
+
 
 def merge_stream(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], start: DataFrame, folder: str) -> DataFrame:
     """The table after ``step(table, batch)`` for every batch that is there. Each batch writes the
@@ -41,3 +47,40 @@ def first_of(table: DataFrame, batch: DataFrame, keys: list[str], order: list[st
 def followed_by(step: Callable[[DataFrame, DataFrame], DataFrame], after: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A merge step whose merged table goes through ``after``, such as embedding the backlog."""
     return lambda table, batch: after(step(table, batch))
+
+
+def merge_pages(stream: DataFrame, items: DataFrame, now_ms: int, folder: str) -> DataFrame:
+    """The item table after every page of ``stream`` (page_id, provider, account, kind, page,
+    fetched_at, body, context) that is there: each batch is parsed and merged before the next,
+    and new rows get the keys that one job over all pages would give, falling from the time of
+    their run's first page, whichever batch had it. ``folder`` holds, by batch number, the
+    table's versions, the pages' metadata and how many new rows each run has had, so a batch
+    that is run again gives the same; pages of a walk must arrive in order."""
+    spark = items.sparkSession
+
+    def each(batch: DataFrame, n: int) -> None:
+        own = batch.sparkSession
+        read = lambda name, schema: own.read.schema(schema).parquet(*(f"{folder}/{name}/{k}" for k in range(n)))
+        old = own.read.schema(items.schema).parquet(f"{folder}/v/{n - 1}") if n else items
+        meta = batch.select("page_id", *WALK, "page", "fetched_at")
+        seen = read("meta", meta.schema).unionByName(meta) if n else meta
+        rows, _ = Y.arrivals(batch)
+        runs = I.open_runs(seen).select("page_id", F.col("run").alias("run_"), F.col("anchor").alias("anchor_"))
+        rows = rows.join(runs, "page_id").withColumns({"run": F.col("run_"), "anchor": F.col("anchor_")}).drop("run_", "anchor_").withColumn("kind_of_item", F.col("kind"))
+        placed = rows.withColumn("kind", F.col("page_kind"))
+        keys = I.pickup_keys(placed, old.select("provider", "external_id").distinct(), keep=[*WALK, "run"])
+        counts = keys.groupBy(*WALK, "run").agg(F.count(F.lit(1)).alias("n"))
+        if n:
+            before = read("new", counts.schema).groupBy(*WALK, "run").agg(F.sum("n").alias("earlier"))
+            keys = keys.join(before, [*WALK, "run"], "left").withColumn("sort_key", F.col("sort_key") - F.coalesce("earlier", F.lit(0)))
+        merged = M.upsert(old, rows.drop("run", "anchor", "page_kind", "page_id", "pos", "kind_of_item"), now_ms)
+        new = keys.select("provider", "external_id", F.col("sort_key").alias("new_key"))
+        merged.join(new, ["provider", "external_id"], "left").withColumn("sort_key", F.coalesce("sort_key", "new_key")).select(*items.columns).write.mode("overwrite").parquet(f"{folder}/v/{n}")
+        counts.write.mode("overwrite").parquet(f"{folder}/new/{n}")
+        meta.write.mode("overwrite").parquet(f"{folder}/meta/{n}")
+        own.range(n, n + 1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/latest")
+
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    n = spark.read.parquet(f"{folder}/latest").first()[0]
+    return spark.read.schema(items.schema).parquet(f"{folder}/v/{n}")
