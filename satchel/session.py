@@ -36,12 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+#: Rows of a file of a table whose number of rows is known to be small.
+FILE_ROWS = 20_000
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later steps start
-    from files, so a lost executor costs one stage and nothing is computed twice."""
+    from files, so a lost executor costs one stage and nothing is computed twice. Where it is
+    known to have at most ``rows`` rows, it goes to no more files than FILE_ROWS asks for."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.write
+    out = (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write
     if partition_by:
         out = out.partitionBy(partition_by)
     out.parquet(path)
