@@ -22,13 +22,14 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): every node of ``links`` (a, b) that is not the least of its component,
+    """``links`` must be a stored table. (node, component): every node of ``links`` (a, b) that is not the least of its component,
     with the least. Rounds grow with the logarithm of the longest path; each is a written
     table, so lineage stays short. Self-links are ignored; no links, no rows."""
-    now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
+    n = links.count()
+    now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links", rows=n)
     state = None
     while True:
-        now = written(_stars(_stars(now, True), False), "stars")
+        now = written(_stars(_stars(now, True), False), "stars", rows=n)
         new = now.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == tuple(new):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

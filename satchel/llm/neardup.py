@@ -217,19 +217,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(estimated: DataFrame, clusters: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
     """Links (a, b) of ``clusters`` (node, cluster) that hold on the full ``sets`` (node, cluster,
     value); ``estimated`` are the links (a, b) by which the clusters were found."""
-    sizes = written(sets.groupBy("cluster").agg(F.sum(F.length("value")).alias("bytes")), "cluster_sizes")
+    n = sets.count()
+    sizes = written(sets.groupBy("cluster").agg(F.sum(F.length("value")).alias("bytes")), "cluster_sizes", rows=n)
     small = sizes.where(F.col("bytes") <= block_bytes).select("cluster")
     found = links(sets.join(small, "cluster"), "cluster", F.lit(1), F.length("value"), by_set)
-    large = written(sizes.where(F.col("bytes") > block_bytes), "large_clusters")
+    large = sizes.where(F.col("bytes") > block_bytes)
     if large.isEmpty():
         return found
     inside = sets.join(large.select("cluster"), "cluster", "left_semi")
     ends = estimated.join(clusters.join(large.select("cluster"), "cluster", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
     pairs = ends.join(inside.select(F.col("node").alias("a"), F.col("value").alias("x")), "a").join(inside.select(F.col("node").alias("b"), F.col("value").alias("y")), "b")
-    sure = written(arrow_rows(pairs.select("a", "b", "x", "y"), _confirmed, "a long, b long"), "confirmed")
+    sure = written(arrow_rows(pairs.select("a", "b", "x", "y"), _confirmed, "a long, b long"), "confirmed", rows=estimated.count())
     part = components(sure)
     parts = inside.select("node", "cluster").join(part, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    several = written(parts.groupBy("cluster").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("cluster").join(large, "cluster"), "open_clusters")
+    several = written(parts.groupBy("cluster").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("cluster").join(large, "cluster"), "open_clusters", rows=n)
     rest = links(inside.join(several, "cluster"), "cluster", F.ceil(F.col("bytes") / block_bytes), F.length("value"), by_set)
     return found.unionByName(sure).unionByName(rest)
 
@@ -240,17 +241,18 @@ def grouped(docs: DataFrame, width: int = 5, block: int = BLOCK, block_bytes: in
     rows = known(docs)
     each = written(arrow_rows(rows, _described(width), "doc_id long, th long, n_shingles long, digest binary, bands array<long>, sketch binary"), "signatures")
     distinct = each.where("digest IS NOT NULL").groupBy("digest", "bands", "sketch").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    classes = written(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "bands", "sketch", "r"), "classes")
+    classes = written(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "bands", "sketch", "r"), "classes", rows=each.count())
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    candidates = written(banded.join(shared, "band").join(classes.select("node", F.col("sketch").alias("value")), "node"), "candidates")
-    estimated = written(links(candidates, "band", F.ceil(F.col("n") / block), SKETCH_BITS // 8, by_sketch), "estimated")
-    tree = written(components(estimated), "clusters")
-    clusters = written(tree.select("node", F.col("component").alias("cluster")).unionByName(tree.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()), "members")
+    candidates = written(banded.join(shared, "band").join(classes.select("node", F.col("sketch").alias("value")), "node"), "candidates", rows=BANDS * classes.count())
+    estimated = written(links(candidates, "band", F.ceil(F.col("n") / block), SKETCH_BITS // 8, by_sketch), "estimated", rows=candidates.count())
+    n = 2 * estimated.count()
+    tree = components(estimated)
+    clusters = written(tree.select("node", F.col("component").alias("cluster")).unionByName(tree.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()), "members", rows=n)
     chosen = clusters.join(classes.select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th")), "node")
     texts = rows.join(bounded(chosen, 48), ["doc_id", "th"]).select("node", "cluster", "text")
-    sets = written(arrow_rows(texts, _sets(width), "node long, cluster long, value binary").dropDuplicates(["node", "cluster"]), "sets")
-    found = components(confirmed(estimated, clusters, sets, block_bytes))
+    sets = written(arrow_rows(texts, _sets(width), "node long, cluster long, value binary").dropDuplicates(["node", "cluster"]), "sets", rows=10 * n)
+    found = components(written(confirmed(estimated, clusters, sets, block_bytes), "true_links", rows=n))
     of = classes.select("digest", "node", "r").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = of.select("digest", "component").join(of.groupBy("component").agg(F.min("r").alias("first")), "component").select("digest", "first")
     return each.select("doc_id", "th", "n_shingles", "digest").join(named, "digest", "left").drop("digest")

@@ -305,10 +305,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(copied, texts). copied: keys of texts that several rows hold; texts: (key, text), each
     once. Rows of one digest are grouped by their text, so copies are equal byte by byte."""
-    several = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key"), "several")
+    n = rows.count()
+    several = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key"), "several", rows=n)
     name = F.hex("key").alias("k_")
     same = rows.select("key", "text", name).join(bounded(several.select(name), 40), "k_", "left_semi").groupBy("key", "text").agg(F.count(F.lit(1)).alias("copies"))
-    same = written(same, "copied")
+    same = written(same, "copied", rows=4 * several.count())
     if same.count() != several.count():
         raise RuntimeError("two different texts have one digest")
     single = rows.select("key", "text").join(bounded(several, 24), "key", "left_anti")
@@ -358,7 +359,7 @@ def removed(docs: DataFrame, kind: Kind, keep: Callable, limit: int = LIMIT) ->
     tells which symbols go."""
     rows = keyed(docs)
     copied, covered = repeated_windows(rows, kind, limit)
-    covered = written(covered.join(bounded(copied, 24), "key", "left_anti"), "covered")
+    covered = written(covered.join(bounded(copied, 24), "key", "left_anti"), "covered", rows=4 * rows.count())
     none = F.lit(None).cast("array<struct<start:int,stop:int>>")
     marked = rows.join(bounded(copied.withColumn("copied", F.lit(True)), 24), "key", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     keys = bounded(covered.select("key"), 24, otherwise=None)
