@@ -6,7 +6,8 @@ all documents; an occurrence of a window holds each of its shingles, so it is en
 on the rarest one: with full containment the necessary prefix is one token. Where that
 shingle stands in the window gives the only place the window could start in the document
 (positional bound), which must leave room for the window (length bound); the words
-there are then compared one by one. Windows of one word use the word itself.
+there are then compared one by one. Windows of one word use the word itself. Candidates are
+sought in lower-cased text, which is quicker and only coarser than A-Z alone.
 
 Documents are scanned twice: to count the benchmark's shingles, which only leaves sums, and
 to find the rarest of each window, which leaves those places. Only texts with a candidate
@@ -29,6 +30,8 @@ from satchel.llm.shared import bounded, written
 
 #: Fixed separators: every ASCII character but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are in lower case.
+SEPARATORS_OF_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIZE = 10
 
@@ -44,19 +47,35 @@ def windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return w.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.slice("w", i, size)))).alias("window")).distinct()
 
 
-def tokens(w: Column, single: bool) -> Column:
-    """(pos, token) of every pair of adjacent words and, if ``single``, of every word; pos
-    counts from 0."""
-    pairs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, i: F.struct(i.alias("pos"), F.xxhash64(F.element_at(w, i + 1), b).alias("token")))
-    if not single:
-        return pairs
-    return F.concat(pairs, F.transform(w, lambda a, i: F.struct(i.alias("pos"), F.xxhash64(a).alias("token"))))
+def coarse(text: Column) -> Column:
+    """Words in lower case beyond A-Z too, for the search of candidates only: words that are
+    equal by ``words`` are equal here. (Sigma's lower case would depend on what follows.)"""
+    return F.array_remove(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u03a3"), F.lit("\u03c3"))), SEPARATORS), "")
+
+
+def n_words(text: Column) -> Column:
+    """The number of ``words``: parts between separators but for an empty first or last one."""
+    parts = F.split(F.coalesce(text, F.lit("")), SEPARATORS_OF_CASED)
+    empty = lambda part: F.when(part == "", 1).otherwise(0)
+    return (F.size(parts) - empty(F.get(parts, F.lit(0))) - F.when(F.size(parts) > 1, empty(F.element_at(parts, -1))).otherwise(0)).cast("long")
+
+
+def shingles(split: DataFrame, single: bool) -> DataFrame:
+    """``split`` (w, other columns) with pos and token of every pair of adjacent words and, if
+    ``single``, of every word; pos counts from 0. Without w."""
+    rest = [c for c in split.columns if c != "w"]
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = split.select(*rest, F.posexplode(F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"))).alias("pos", "p"))
+    out = pairs.select(*rest, "pos", F.xxhash64("p.a", "p.b").alias("token"))
+    if single:
+        out = out.unionByName(split.select(*rest, F.posexplode("w").alias("pos", "a")).select(*rest, "pos", F.xxhash64("a").alias("token")))
+    return out
 
 
 def token_counts(split: DataFrame, listed: DataFrame, single: bool) -> DataFrame:
     """(token, df): how often each token of ``listed`` occurs in ``split`` (w)."""
     pool = written(listed.select("token").distinct(), "pool")
-    every = split.select(F.explode(tokens(F.col("w"), single)).alias("t")).select("t.token")
+    every = shingles(split.select("w"), single).select("token")
     counted = lambda df: df.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     small = bounded(pool, 16, otherwise=None)
     return counted(every).join(pool, "token", "left_semi") if small is None else counted(every.join(small, "token", "left_semi"))
@@ -68,14 +87,14 @@ def occurrences(texts: DataFrame, items: DataFrame, size: int = SIZE) -> tuple[D
     win = written(windows(items, size), "windows")
     each = written(win.select("window").distinct().select(F.monotonically_increasing_id().alias("wid"), "window"), "distinct_windows")
     single = not each.where(F.size("window") == 1).isEmpty()
-    listed = each.select("wid", F.size("window").alias("n"), F.explode(tokens(F.col("window"), single)).alias("t")).select("wid", "n", "t.*")
+    listed = shingles(each.select("wid", F.size("window").alias("n"), coarse(F.concat_ws(" ", "window")).alias("w")), single)
     listed = listed.where((F.col("n") > 1) | (F.col("pos") == 0))
-    split = texts.select("key", words(F.col("text")).alias("w"))
+    split = texts.select("key", coarse(F.col("text")).alias("w"))
     common = written(token_counts(split, listed, single), "token_counts")
     # a window one of whose shingles occurs nowhere can't occur
     ranked = listed.join(common, "token", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "pos")).alias("t"), F.first("n").alias("n"))
     prefix = written(ranked.where("t.df > 0").select("wid", "n", F.col("t.token").alias("token"), F.col("t.pos").alias("off")), "prefix")
-    at = split.select("key", F.size("w").alias("n_words"), F.explode(tokens(F.col("w"), single)).alias("t")).select("key", "n_words", "t.*")
+    at = shingles(split.withColumn("n_words", F.size("w")), single)
     start = F.col("pos") - F.col("off")
     places = written(at.join(bounded(prefix, 40), "token").where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("key", "wid", start.alias("start")), "places")
     by_text = places.join(bounded(each, 48 + F.length(F.concat_ws(" ", "window"))), "wid").groupBy("key").agg(F.collect_list(F.struct("start", "wid", "window")).alias("cand"))
@@ -109,7 +128,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return marked(keyed(docs), items, size).select(
         *(F.col("row").getField(c).alias(c) for c in docs.columns if c not in OUTPUTS),
-        F.size(words(F.col("text"))).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        n_words(F.col("text")).alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )

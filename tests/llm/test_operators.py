@@ -117,7 +117,9 @@ def test_odd_sketch_estimates(spark):
 
 def test_decontamination(spark, docs):
     long = corpus()[5][1].split()
-    items = [(1, " ".join(long[20:45])), (10, "Short"), (2, None), (3, " .,"), (4, " ".join(long[20:45])), (7, "a B. c!"), (8, "nowhere to be found in any of these at all ever")]
+    items = [(1, " ".join(long[20:45])), (10, "Short"), (2, None), (3, " .,"), (4, " ".join(long[20:45])), (7, "a B. c!"), (8, "nowhere to be found in any of these at all ever"), (9, "Ékç ΑΣ ÀB")]
+    odd = [(700, "x ékç ΑΣ Àb"), (701, "y Ékç ΑΣ ÀB z"), (702, ". Ékç  ΑΣ'ÀB"), (703, "...."), (704, "ΑΣ"), (705, "A b-C")]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "k", "other") for i, t in odd], docs.schema))
     got = decontaminate.hits(docs, spark.createDataFrame(items, "item_id long, text string"))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
@@ -125,7 +127,7 @@ def test_decontamination(spark, docs):
         w = word.findall((t or "").translate(LOW))
         windows[i] = {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
     want = []
-    for i, t in corpus():
+    for i, t in corpus() + odd:
         w = word.findall((t or "").translate(LOW))
         hit, ids = set(), set()
         for item, ws in windows.items():
