@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.plans import archive_queries, page_queries, replay_queries  # noqa: F401  (add their queries)
+from satchel.plans import archive_queries, page_queries, replay_queries, table_queries  # noqa: F401  (add their queries)
 from satchel.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

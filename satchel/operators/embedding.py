@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from satchel.functions import text as X
 from satchel.operators.listing import pending_embeddings
 from satchel.operators.state import store_embeddings
 from satchel.operators.textsearch import spread
@@ -26,17 +28,15 @@ def register_embedder(model: str, embed: Callable[[list[str]], np.ndarray]) -> N
 def token_hash(texts: list[str], dim: int = 64) -> np.ndarray:
     """Counts of word hashes in ``dim`` buckets, at length 1; a text without words is the first
     unit vector."""
-    import re
-
-    out = np.zeros((len(texts), dim))
-    for row, text in zip(out, texts, strict=True):
-        for word in re.findall("[a-z0-9_]+", text.lower(), re.ASCII):
-            h = 0
-            for c in word.encode():
-                h = (h * 31 + c) % 2**32
-            row[h % dim] += 1
-        if not row.any():
-            row[0] = 1
+    words = [re.findall("[a-z0-9_]+", t.lower(), re.ASCII) for t in texts]
+    each, back = np.unique(np.array([w for ws in words for w in ws], dtype=object).astype("S"), return_inverse=True)
+    letters = each.view(np.uint8).reshape(len(each), -1) if len(each) else np.zeros((0, 0), np.uint8)
+    h = np.zeros(len(each), np.uint64)
+    for column in letters.T:  # all distinct words side by side, a letter at a time
+        h = np.where(column > 0, (h * np.uint64(31) + column) & np.uint64(0xFFFFFFFF), h)
+    owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+    out = np.bincount(owner * dim + (h % np.uint64(dim)).astype(np.int64)[back.reshape(-1)], minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
+    out[~out.any(1), 0] = 1
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -67,3 +67,20 @@ def query_text(query: Column, model: str) -> Column:
         if model.startswith(family):
             return F.concat(F.lit(prefix), query)
     return query
+
+
+#: Collection names that say nothing of a row's topic (fixed values).
+STOP_LABELS = ["upvoted", "watch later", "posts", "saved", "all bookmarks"]
+
+
+def row_text(items: DataFrame) -> DataFrame:
+    """(id, provider, text): what of a row is embedded."""
+    labels = F.array_join(F.filter("collection", lambda n: ~F.lower(F.trim(n)).isin(STOP_LABELS)), ", ")
+    joined = X.trim_all(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in (F.col("title"), F.col("publication"), F.col("summary"), labels))))
+    return items.select("id", "provider", F.substring(F.coalesce(F.nullif(joined, F.lit("")), F.nullif(X.trim_all(F.col("url")), F.lit("")), F.lit("Saved item")), 1, 1000).alias("text"))
+
+
+def text_profile(texts: DataFrame) -> DataFrame:
+    """Per provider of ``row_text``: rows, mean length, short ones and those without any text."""
+    n = F.length("text")
+    return texts.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 4).alias("mean_chars"), F.count_if(n < 40).alias("short"), F.count_if(F.col("text") == "Saved item").alias("empty"))

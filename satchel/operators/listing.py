@@ -78,6 +78,28 @@ def embedding_stats(items: DataFrame, model: str) -> DataFrame:
     return got.withColumn("backlog", F.col("total") - F.col("embedded"))
 
 
-def pending_embeddings(items: DataFrame, model: str) -> DataFrame:
-    """Live rows without a vector of this model and recipe."""
-    return visible(items).where(F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(model))
+def pending_embeddings(items: DataFrame, model: str, limit: int | None = None) -> DataFrame:
+    """Live rows without a vector of this model and recipe; with ``limit`` the newest ids first."""
+    pending = visible(items).where(F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(model))
+    return pending if limit is None else pending.orderBy(F.col("id").desc()).limit(limit)
+
+
+#: Names that readers of items know the columns by (fixed values).
+READ_AS = {
+    "external_id": "externalId", "poster_name": "posterName", "poster_handle": "posterHandle", "poster_bio": "posterBio",
+    "bookmarked_at": "bookmarkedAt", "published_at": "publishedAt", "created_at": "createdAt", "deleted_at": "deletedAt", "starred_at": "starredAt",
+}
+JSON_COLUMNS = {"collection": "array<string>", "stats": "map<string,string>"}
+
+
+def as_read(items: DataFrame) -> DataFrame:
+    """Items as readers get them: columns renamed, JSON texts decoded, without the vector, its
+    model and the pickup key."""
+    kinds = dict(items.dtypes)
+    out = []
+    for c in items.columns:
+        if c in ("embedding", "embedding_model", "sort_key"):
+            continue
+        value = F.from_json(c, JSON_COLUMNS[c]) if c in JSON_COLUMNS and kinds[c] == "string" else F.col(c)
+        out.append(value.alias(READ_AS.get(c, c)))
+    return items.select(*out)

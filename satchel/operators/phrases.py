@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satchel.operators.textsearch import widened
+
 
 def phrase_hits(index: DataFrame, parts: DataFrame) -> DataFrame:
     """(query_id, part, id, uses) for ``parts`` (query_id, part, terms, field, prefix, first):
@@ -13,8 +15,8 @@ def phrase_hits(index: DataFrame, parts: DataFrame) -> DataFrame:
     is any; with ``prefix`` the last term may go on; with ``first`` the phrase opens its column.
     One word is a phrase of one; an empty phrase finds nothing."""
     words = parts.select("query_id", "part", F.size("terms").alias("n"), F.col("field").alias("only"), "prefix", "first", F.posexplode("terms").alias("k", "word"))
-    same = F.when(F.col("prefix") & (F.col("k") == F.col("n") - 1), F.startswith("term", "word")).otherwise(F.col("term") == F.col("word"))
-    found = index.join(words, (F.substring("term", 1, 1) == F.substring("word", 1, 1)) & same & (F.col("only").isNull() | (F.col("only") == F.col("field"))))
+    words = words.withColumn("prefix", F.col("prefix") & (F.col("k") == F.col("n") - 1))
+    found = index.join(widened(index, words), "term").where(F.col("only").isNull() | (F.col("only") == F.col("field")))
     starts = found.select("query_id", "part", "n", "first", "id", "field", F.explode(F.transform("places", lambda p: p - F.col("k"))).alias("start"))
     whole = starts.groupBy("query_id", "part", "n", "first", "id", "field", "start").agg(F.count(F.lit(1)).alias("got")).where("got = n AND (NOT first OR start = 0)")
     return whole.groupBy("query_id", "part", "id").agg(F.count(F.lit(1)).alias("uses"))

@@ -16,6 +16,59 @@ def schema_changed(before: DataFrame, after: DataFrame) -> bool:
     return [(f.name, f.dataType, f.nullable) for f in before.schema] != [(f.name, f.dataType, f.nullable) for f in after.schema]
 
 
+def inventory(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(table, before_rows, after_rows) of two snapshots; null where a table is missing."""
+    out = None
+    for name in sorted(before.keys() | after.keys()):
+        sides = [s[name].agg(F.count(F.lit(1)).alias(c)) if name in s else None for s, c in ((before, "before_rows"), (after, "after_rows"))]
+        there = next(s for s in sides if s is not None)
+        row = sides[0].join(sides[1], F.lit(True)) if None not in sides else there
+        row = row.select(F.lit(name).alias("table"), *(F.col(c) if c in row.columns else F.lit(None).cast("long").alias(c) for c in ("before_rows", "after_rows")))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def schema_difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(column, before, after, before_cells, after_cells, changed) of every column of either
+    side, in the order of ``before``: its place and type, or null, and how many values it has."""
+    names = [*before.columns, *(c for c in after.columns if c not in before.columns)]
+    told = lambda df, c: f"{df.columns.index(c)} {df.schema[c].dataType.simpleString()}" if c in df.columns else None
+    cells = lambda df, side: df.agg(*(F.count(F.col(c) if c in df.columns else F.lit(None)).alias(f"{side}{i}") for i, c in enumerate(names)))
+    both = cells(before, "b").join(cells(after, "a"), F.lit(True))
+    rows = []
+    for i, c in enumerate(names):
+        x, y = told(before, c), told(after, c)
+        changed = x != y or before.schema[c].nullable != after.schema[c].nullable
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(x).cast("string").alias("before"), F.lit(y).cast("string").alias("after"), F.col(f"b{i}").alias("before_cells"), F.col(f"a{i}").alias("after_cells"), F.lit(changed).alias("changed")))
+    return both.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def unique_keys(before: DataFrame, after: DataFrame, candidates: list[list[str]]) -> DataFrame:
+    """(key, before_unique, after_unique) of ``candidates``: whether no side repeats or lacks one."""
+    out = None
+    for key in candidates:
+        sides = []
+        for df in (before, after):
+            per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).select("c", F.greatest(*(F.col(k).isNull() for k in key), F.lit(False)).alias("null_"))
+            sides.append(per.agg(~F.coalesce(F.bool_or((F.col("c") > 1) | F.col("null_")), F.lit(False))))
+        row = sides[0].toDF("before_unique").join(sides[1].toDF("after_unique"), F.lit(True)).select(F.lit(",".join(key)).alias("key"), "before_unique", "after_unique")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def chosen_key(before: DataFrame, after: DataFrame, explicit: list[str] | None = None, primary: list[str] | None = None, unique: dict[str, list[str]] | None = None) -> list[str] | None:
+    """The key to compare by: the ``explicit`` one, whose columns both sides must have, else the
+    ``primary`` one, else the first of the ``unique`` ones by name that both sides have."""
+    shared = set(common_columns(before, after))
+    if explicit:
+        if lacking := [c for c in explicit if c not in shared]:
+            raise ValueError(f"no such key column on both sides: {', '.join(lacking)}")
+        return explicit
+    if primary and shared.issuperset(primary):
+        return primary
+    return next((k for _, k in sorted((unique or {}).items()) if shared.issuperset(k)), None)
+
+
 def row_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return before.agg(n.alias("before_rows")).join(after.agg(n.alias("after_rows")), F.lit(True))

@@ -54,15 +54,39 @@ def plain_terms(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "k", F.explode(tokens(F.col("word"))).alias("term"), (F.col("k") == F.col("n") - 1).alias("prefix"))
 
 
+def prefix_lengths(terms: DataFrame, word: str = "term") -> list[int]:
+    """The distinct lengths of prefix terms: a few numbers, however many queries there are."""
+    return sorted(r[0] for r in terms.where("prefix").select(F.length(word)).distinct().collect())
+
+
+def heads(word: Column, lengths: list[int]) -> Column:
+    """(cut, head) of a word: itself with cut 0, and its first letters at each length, so that
+    exact terms and prefixes both meet it by equality."""
+    own = F.struct(F.lit(0).alias("cut"), word.alias("head"))
+    return F.array(own, *(F.struct(F.lit(n).alias("cut"), F.substring(word, 1, n).alias("head")) for n in lengths))
+
+
+def widened(index: DataFrame, words: DataFrame, word: str = "word") -> DataFrame:
+    """``words`` (word, prefix, ...) with ``term``: itself, or every term of ``index`` that goes
+    on from a prefix. Prefixes meet the distinct terms only."""
+    exact = words.where("NOT prefix").withColumn("term", F.col(word))
+    prefixes = words.where("prefix")
+    lengths = prefix_lengths(words, word)
+    if not lengths:
+        return exact
+    vocabulary = index.select("term").distinct().select("term", F.explode(heads(F.col("term"), lengths)).alias("h")).where("h.cut > 0")
+    met = vocabulary.select("term", F.col("h.cut").alias("cut"), F.col("h.head").alias("head"))
+    asked = prefixes.withColumn("cut", F.length(word)).withColumn("head", F.col(word))
+    return exact.unionByName(asked.join(met, ["cut", "head"]).select(*exact.columns))
+
+
 def bm25(index: DataFrame, n_items: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, id, score): rows with every term of the query, best first by higher score.
     ``n_items`` is one row with n, all rows of the table, those without tokens included."""
     tf = index.groupBy("id", "term").agg(F.sum(F.size("places")).alias("tf"))
     lengths = doc_stats(index)
     totals = lengths.agg(F.sum("length").alias("tokens")).join(n_items, F.lit(True)).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
-    vocabulary = tf.select("term").distinct()
-    widened = terms.where("prefix").withColumnRenamed("term", "p").join(vocabulary, F.substring("p", 1, 1) == F.substring("term", 1, 1)).where(F.col("term").startswith(F.col("p"))).select("query_id", "k", "term")
-    wanted = terms.where("NOT prefix").select("query_id", "k", "term").unionByName(widened).distinct()
+    wanted = widened(index, terms.withColumnRenamed("term", "word")).select("query_id", "k", "term").distinct()
     hits = tf.join(wanted, "term").groupBy("query_id", "k", "id").agg(F.sum("tf").alias("tf"))
     return _scores(hits.join(lengths, "id"), terms, totals)
 
@@ -80,10 +104,9 @@ def scanned_scores(items: DataFrame, terms: DataFrame) -> DataFrame:
     as_text = [F.to_json(c) if c == "collection" else F.col(c) for c in COLUMNS if c in items.columns]
     rows = spread(items.select("id", *(c for c in COLUMNS if c in items.columns))).select("id", F.flatten(F.array(*map(tokens, as_text))).alias("words"))
     totals = rows.agg(F.sum(F.size("words").cast("double")).alias("t"), F.count(F.lit(1)).alias("n")).select("n", (F.col("t") / F.col("n")).alias("avgdl"))
-    each = rows.select("id", F.size("words").alias("length"), F.explode("words").alias("word"))
-    asked = terms.distinct()
-    match = (F.substring("word", 1, 1) == F.substring("term", 1, 1)) & F.when(F.col("prefix"), F.startswith("word", "term")).otherwise(F.col("word") == F.col("term"))
-    hits = each.join(asked, match).groupBy("query_id", "k", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    each = rows.select("id", F.size("words").alias("length"), F.explode("words").alias("word")).select("id", "length", F.explode(heads(F.col("word"), prefix_lengths(terms))).alias("h")).select("id", "length", "h.*")
+    asked = terms.distinct().select("query_id", "k", F.when(F.col("prefix"), F.length("term")).otherwise(0).alias("cut"), F.col("term").alias("head"))
+    hits = each.join(asked, ["cut", "head"]).groupBy("query_id", "k", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
     return _scores(hits, terms, totals)
 
 
@@ -97,17 +120,20 @@ def _scores(hits: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("got")).join(needed, "query_id").where("got = needed").select("query_id", "id", "score")
 
 
-def search(items: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
+def search(items: DataFrame, queries: DataFrame, limit: int = 200, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank, score) of ``queries`` (query_id, query and, optionally, provider; null
     is any) over live rows, starred ones if flagged. Plain text is ranked by score, with the
     statistics of the whole table; text in the operator syntax is served by ``substring_search``
     and a blank or flags-only query by the newest LIST_LIMIT rows whatever ``limit`` is, both
-    without a score. Scores are rounded, ties go by id."""
+    without a score. Scores are rounded, ties go by id. ``index`` are stored ``postings`` of
+    ``items``; without them the table is scanned once for the whole batch."""
     given = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), (F.col("provider") if "provider" in queries.columns else F.lit(None).cast("string")).alias("wanted"))
     flagged = query_flags(given)
     blank = X.trim_all(F.col("text")) == ""
     plain = flagged.where(~blank & ~F.col("operators"))
-    scored = scanned_scores(items, plain_terms(plain)).withColumn("score", F.round("score", 6))
+    terms = plain_terms(plain)
+    found = scanned_scores(items, terms) if index is None else bm25(index, items.agg(F.count(F.lit(1)).alias("n")), terms)
+    scored = found.withColumn("score", F.round("score", 6))
     live = items.select("id", "starred_at", "deleted_at", "provider").where("deleted_at IS NULL")
     allowed = scored.join(live, "id").join(plain.select("query_id", "starred", "wanted"), "query_id").where(_ALLOWED)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from satchel import adapters as A
 from satchel.functions import report as R
 from satchel.functions import text as X
+from satchel.operators import embedding as E
 from satchel.operators import listing as L
 from satchel.operators import parsing as P
 from satchel.operators import snapshots as D
@@ -454,15 +455,7 @@ def q3_agreement(spark, d):
 
 
 _ROWTEXT = "CASE WHEN trim(concat_ws(chr(10), nullif(title, ''), nullif(publication, ''), nullif(summary, ''), CASE WHEN label <> 'upvoted' THEN label END), ' ' || chr(10) || chr(9) || chr(13)) <> '' THEN trim(concat_ws(chr(10), nullif(title, ''), nullif(publication, ''), nullif(summary, ''), CASE WHEN label <> 'upvoted' THEN label END), ' ' || chr(10) || chr(9) || chr(13)) WHEN trim(url) <> '' THEN trim(url) ELSE 'Saved item' END"
-#: Collection names that say nothing of a row's topic (fixed values).
-STOP_LABELS = ["upvoted", "watch later", "posts", "saved", "all bookmarks"]
-
-
-def row_text(items: DataFrame) -> DataFrame:
-    """(id, provider, text): what of a row is embedded."""
-    labels = F.array_join(F.filter("collection", lambda n: ~F.lower(F.trim(n)).isin(STOP_LABELS)), ", ")
-    joined = X.trim_all(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in (F.col("title"), F.col("publication"), F.col("summary"), labels))))
-    return items.select("id", "provider", F.substring(F.coalesce(F.nullif(joined, F.lit("")), F.nullif(X.trim_all(F.col("url")), F.lit("")), F.lit("Saved item")), 1, 1000).alias("text"))
+row_text = E.row_text
 
 
 @query(f"SELECT id, provider, substr({_ROWTEXT}, 1, 1000) AS text FROM items", "items")
@@ -472,8 +465,7 @@ def e1_row_text(spark, d):
 
 @query(f"SELECT provider, count(*) AS n, round(avg(length(t)), 4) AS mean_chars, count(*) FILTER (length(t) < 40) AS short, count(*) FILTER (t = 'Saved item') AS empty FROM (SELECT provider, substr({_ROWTEXT}, 1, 1000) AS t FROM items) GROUP BY provider", "items")
 def q1_text_profile(spark, d):
-    n = F.length("text")
-    return row_text(A.items(spark, d)).groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 4).alias("mean_chars"), F.count_if(n < 40).alias("short"), F.count_if(F.col("text") == "Saved item").alias("empty"))
+    return E.text_profile(E.row_text(A.items(spark, d)))
 
 
 # snapshots
