@@ -60,20 +60,27 @@ def nearest_image(candidates: Column, target: int = 100) -> Column:
     return F.coalesce(F.get(F.array_sort(scored), F.lit(0))["url"], F.lit(""))
 
 
+#: First path segments that are no profiles (fixed values).
+NO_PROFILES = ["groups", "watch", "profile.php", "permalink.php", "story.php"]
+#: Units of a relative age (fixed values).
+AGE = r"(?i)(\d+)\s+(second|minute|hour|day|week|month|year)s?\s+ago"
+#: Short links left at the end of a text (a fixed pattern of the service's own).
+LEFT_LINKS = r"(?:\s*https://t\.co/\w+)+$"
+
+
 def profile_handle(url: Column) -> Column:
     """First path segment of a profile URL on the service's own host, decoded."""
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     first = F.coalesce(F.get(F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda s: s != ""), F.lit(0)), F.lit(""))
-    reserved = ["groups", "watch", "profile.php", "permalink.php", "story.php"]
     decoded = F.coalesce(F.try_url_decode(F.replace(first, F.lit("+"), F.lit("%2B"))), F.lit(""))
-    return F.when(host.rlike(r"^(www\.)?facebook\.com$") & ~first.isin(reserved), decoded).otherwise("")
+    return F.when(host.rlike(r"^(www\.)?facebook\.com$") & ~first.isin(NO_PROFILES), decoded).otherwise("")
 
 
 def published_estimate(age: Column, fetched: Column) -> Column:
     """Midnight (ms) of the day a relative age points to from ``fetched`` (timestamp); months
     and years overflow into the next month where the day does not exist."""
-    n = F.regexp_extract(age, r"(?i)(\d+)\s+(second|minute|hour|day|week|month|year)s?\s+ago", 1).try_cast("int")
-    unit = F.lower(F.regexp_extract(age, r"(?i)(\d+)\s+(second|minute|hour|day|week|month|year)s?\s+ago", 2))
+    n = F.regexp_extract(age, AGE, 1).try_cast("int")
+    unit = F.lower(F.regexp_extract(age, AGE, 2))
     day = F.to_date(fetched)
     back = lambda months: F.date_add(F.add_months(F.trunc(day, "MM"), -months), F.dayofmonth(day) - 1)
     seconds = F.unix_seconds(fetched) - n * F.when(unit == "second", 1).when(unit == "minute", 60).otherwise(3600)
@@ -98,4 +105,4 @@ def expand_links(text: Column, urls: Column) -> Column:
     """Short links replaced by their targets (url, expanded_url) in order, trailing ones dropped."""
     pairs = F.filter(F.coalesce(urls, F.array().cast("array<struct<url:string,expanded_url:string>>")), lambda u: (F.coalesce(u["url"], F.lit("")) != "") & (F.coalesce(u["expanded_url"], F.lit("")) != ""))
     full = F.aggregate(pairs, text, lambda t, u: F.replace(t, u["url"], u["expanded_url"]))
-    return trim_all(F.regexp_replace(full, r"(?:\s*https://t\.co/\w+)+$", ""))
+    return trim_all(F.regexp_replace(full, LEFT_LINKS, ""))

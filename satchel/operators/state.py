@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 KEY = ["provider", "account", "external_id"]
 REPLACED = ["url", "title", "publication", "summary", "image", "kind", "duration", "poster_name", "poster_handle", "poster_bio", "stats"]
 TEXT_OF_VECTOR = ["title", "publication", "summary"]
+#: Rows of a bucket whose sums are run up before rows are.
+BUCKET = 4096
 #: Columns whose absent value is an empty text; zero stands for none in the numbers.
 BLANK = ["url", "title", "publication", "summary", "image", "kind", "poster_name", "poster_handle", "poster_bio"]
 ZERO_IS_NONE = ["duration", "bookmarked_at", "published_at"]
@@ -55,12 +57,14 @@ def upsert(items: DataFrame, batch: DataFrame, now_ms: int, sort_key_start: int
     both = both.join(known, ["provider", "external_id"], "left")
     touched = F.col("first_seq").isNotNull()
     fresh = F.col("stored").isNull()
-    ranked = both.where(fresh).select(*KEY, "first_seq", F.col("known").isNull().cast("long").alias("uses"))
-    # several accounts of one new id: the first to arrive counts as new
-    firsts = Window.partitionBy("provider", "external_id").orderBy("first_seq")
-    ranked = ranked.withColumn("uses", F.when(F.row_number().over(firsts) == 1, F.col("uses")).otherwise(F.lit(0)))
-    before = running(ranked, "first_seq", "uses")
-    both = both.join(before.select(*KEY, "before"), KEY, "left")
+    if sort_key_start is not None:
+        ranked = both.where(fresh).select(*KEY, "first_seq", F.col("known").isNull().cast("long").alias("uses"))
+        # several accounts of one new id: the first to arrive counts as new
+        firsts = Window.partitionBy("provider", "external_id").orderBy("first_seq")
+        ranked = ranked.withColumn("uses", F.when(F.row_number().over(firsts) == 1, F.col("uses")).otherwise(F.lit(0)))
+        low, high, n = batch.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+        width = max(1, -(-(high - low + 1) * BUCKET // n)) if n else 1
+        both = both.join(running(ranked, "first_seq", "uses", width).select(*KEY, "before"), KEY, "left")
     keep_vector = F.col("text_min").eqNullSafe(F.col("text_max")) & F.col("text_max").eqNullSafe(F.struct(*(F.col(f"old_{c}").alias(c) for c in TEXT_OF_VECTOR)))
     out = [F.col(c) for c in KEY]
     for c in items.columns:
@@ -85,9 +89,10 @@ def upsert(items: DataFrame, batch: DataFrame, now_ms: int, sort_key_start: int
     return both.select(*out)
 
 
-def running(rows: DataFrame, order: str, value: str, width: int = 4096) -> DataFrame:
+def running(rows: DataFrame, order: str, value: str, width: int = BUCKET) -> DataFrame:
     """``rows`` with ``before``: the sum of ``value`` over rows earlier by ``order``. Sums of
-    buckets of ``width`` are run up first, so no task sees all rows."""
+    buckets of ``width`` (chosen so that one holds about BUCKET rows) are run up first, so no
+    task sees all rows."""
     b = rows.withColumn("b_", F.floor(F.col(order) / width))
     sums = b.groupBy("b_").agg(F.sum(value).alias("s"))
     base = sums.select("b_", F.coalesce(F.sum("s").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -40,14 +40,24 @@ def page_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("run", "list", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "external_id"))), lambda x: x["external_id"]).alias("external_ids"))
 
 
+#: Page numbers of a range in which openings are counted first.
+PAGE_RANGE = 1 << 16
+
+
 def open_runs(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, provider, account, kind, page, fetched_at, ...) with the number of its
     run in its walk and the run's anchor: page 0, or a walk's first page, opens a run. Only
-    page metadata is needed."""
-    w = Window.partitionBy("provider", "account", "kind").orderBy("page_id")
-    opened = pages.withColumn("run", F.sum((F.col("page") == 0).cast("int")).over(w))
-    anchor = Window.partitionBy("provider", "account", "kind", "run").orderBy("page_id")
-    return opened.withColumn("anchor", F.first("fetched_at").over(anchor))
+    page metadata is needed. Openings are counted by ranges of pages first, so a long walk is
+    no single task; a page_id stands for one page of its walk."""
+    walk = ["provider", "account", "kind"]
+    opens = (F.col("page") == 0).cast("long")
+    ranged = pages.withColumn("r_", F.floor(F.col("page_id") / PAGE_RANGE))
+    earlier = Window.partitionBy(*walk).orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy(*walk, "r_").agg(F.sum(opens).alias("o_")).select(*walk, "r_", F.coalesce(F.sum("o_").over(earlier), F.lit(0)).alias("b_"))
+    inside = Window.partitionBy(*walk, "r_").orderBy("page_id")
+    numbered = ranged.withColumn("i_", F.sum(opens).over(inside)).join(base, [*walk, "r_"]).withColumn("run", (F.col("b_") + F.col("i_")).cast("int"))
+    anchors = numbered.groupBy(*walk, "run").agg(F.min_by("fetched_at", "page_id").alias("anchor"))
+    return numbered.join(anchors, [*walk, "run"]).select(*pages.columns, "run", "anchor")
 
 
 def run_report(pages: DataFrame) -> DataFrame:

@@ -345,10 +345,12 @@ def s2_s10_search(spark, d):
     return S.search(A.items(spark, d), asked(spark))
 
 
-@query(f"""WITH {_Q} SELECT query_id::BIGINT AS query_id, query LIKE '%is:starred%' AS starred, trim(replace(query, 'is:starred', ' ')) AS text FROM qs, (SELECT count(*) AS n FROM items) WHERE n > 0""", "items")
+@query("""SELECT conv_id * 1000 + turn AS query_id, turn % 4 < 2 AS starred, trim(CASE WHEN turn % 4 = 2 THEN concat('is:starredx ', coalesce(text, '')) ELSE coalesce(text, '') END) AS text FROM conversations""")
 def s4_flags(spark, d):
-    some = A.items(spark, d).limit(1).select(F.lit(1).alias("x"))
-    return S.query_flags(asked(spark)).join(some, F.lit(True)).select("query_id", "starred", "text")
+    k, text = F.col("turn") % 4, F.coalesce("text", F.lit(""))
+    asked_text = F.when(k == 0, F.concat(F.lit("is:starred "), text)).when(k == 1, F.concat(text, F.lit(" IS:STARRED"))).when(k == 2, F.concat(F.lit("is:starredx "), text)).otherwise(text)
+    q = A.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), asked_text.alias("query"))
+    return S.query_flags(q).select("query_id", "starred", "text")
 
 
 @query("""SELECT id AS query_id, id % 4 < 2 AS starred, trim(CASE WHEN id % 4 = 2 THEN concat('is:starredx ', summary) ELSE summary END) AS text FROM items""", "items")
@@ -589,13 +591,13 @@ def _escaped(text):
 
 
 def whole_texts(f, *texts: tuple[str, str]) -> None:
-    """Register ``f`` over bodies that carry each document's whole text, under its name with
-    _whole; in its SQL the first of each pair of ``texts`` becomes the second."""
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = functools.partial(f, whole=True)
-    SQL[name] = SQL[f.__name__]
+    """Let ``f`` run over bodies that carry each document's whole text, under its own name and
+    with _whole; in its SQL the first of each pair of ``texts`` becomes the second."""
     for old, new in texts:
-        SQL[name] = SQL[name].replace(old, new)
+        SQL[f.__name__] = SQL[f.__name__].replace(old, new)
+    for name in (f.__name__, f"{f.__name__}_whole"):
+        QUERIES[name] = functools.partial(f, whole=True)
+        SQL[name] = SQL[f.__name__]
 
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
