@@ -38,10 +38,10 @@ _LONGEST = """list_sort(list_transform(list_distinct(list_filter(string_split_re
 _ROWS_Q = f"""qs(query_id, query) AS (SELECT id, concat(CASE WHEN id % 100 = 0 THEN 'is:starred ' ELSE '' END, l[1].w, ' ', l[2].w) FROM (SELECT id, {_LONGEST} AS l FROM items WHERE id % 50 = 0) WHERE len(l) > 1)"""
 
 
-def rows_as_queries(items):
+def rows_as_queries(items, every=50):
     words = F.array_distinct(F.filter(F.split("summary", r"\s+"), lambda w: w.rlike("^[a-z]+$")))
     best = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    q = items.where("id % 50 = 0").select(F.col("id").alias("query_id"), best.alias("l")).where(F.size("l") > 1)
+    q = items.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), best.alias("l")).where(F.size("l") > 1)
     return q.select("query_id", F.concat(F.when(F.col("query_id") % 100 == 0, "is:starred ").otherwise(""), F.get("l", F.lit(0))["w"], F.lit(" "), F.get("l", F.lit(1))["w"]).alias("query"))
 
 
