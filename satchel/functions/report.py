@@ -31,12 +31,16 @@ def poster_text(name: Column, handle: Column) -> Column:
     return F.when((n != "") & (h != ""), F.concat(n, F.lit(" (@"), h, F.lit(")"))).when(n != "", n).when(h != "", F.concat(F.lit("@"), h)).otherwise("")
 
 
+#: From where an age is told in the next unit, and days of a month and a year (fixed values).
+DAYS_TO, WEEKS_TO, MONTHS_TO, MONTH, YEAR = 14, 8, 12, 30.4375, 365.25
+
+
 def relative_date(ts: Column, now: Column) -> Column:
     days = F.greatest(F.lit(0), F.floor((now - ts) / DAY_MS))
     rounded = lambda x: F.floor(days / x + 0.5)
     ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
-    weeks, months, years = rounded(7), rounded(30.4375), rounded(365.25)
-    text = F.when(days < 1, "today").when(days < 14, ago(days, "day")).when(weeks < 8, ago(weeks, "week")).when(months < 12, ago(months, "month")).otherwise(ago(years, "year"))
+    weeks, months, years = rounded(7), rounded(MONTH), rounded(YEAR)
+    text = F.when(days < 1, "today").when(days < DAYS_TO, ago(days, "day")).when(weeks < WEEKS_TO, ago(weeks, "week")).when(months < MONTHS_TO, ago(months, "month")).otherwise(ago(years, "year"))
     return F.when(ts.isNull() | (ts == 0), "").otherwise(text)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from satchel.functions import text as X
+from satchel.session import in_blocks
 
 COLUMNS = ["title", "publication", "summary", "collection", "kind", "poster_name", "poster_handle"]
 #: Latin letters with marks and their plain forms (fixed values, same length).
@@ -160,12 +163,14 @@ def ascii_lower(c: Column) -> Column:
 def substring_search(items: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
     """The fallback for text that is no query: a pattern match over six columns (% and _ are
     wildcards, ASCII case is ignored), newest first; starred rows or those of one provider if
-    ``queries`` has ``starred`` and ``wanted``."""
+    ``queries`` has ``starred`` and ``wanted``. Queries are broadcast in blocks of bounded size."""
     fields = [F.to_json(c) if c == "collection" else F.coalesce(F.col(c), F.lit("")) for c in COLUMNS if c in items.columns and c != "kind"]
     hay = items.where("deleted_at IS NULL").select("id", "provider", "starred_at", F.coalesce("sort_key", "created_at").alias("key"), F.array(*(ascii_lower(f) for f in fields)).alias("hay"))
     needle = F.concat(F.lit("%"), F.replace(ascii_lower(F.col("text")), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     which = [F.col("starred") if "starred" in queries.columns else F.lit(False).alias("starred"), F.col("wanted") if "wanted" in queries.columns else F.lit(None).cast("string").alias("wanted")]
-    hits = hay.join(F.broadcast(queries.select("query_id", needle.alias("needle"), *which)), F.exists("hay", lambda h: F.like(h, F.col("needle"))) & F.expr(_ALLOWED))
+    asked = queries.select("query_id", needle.alias("needle"), *which)
+    match = F.exists("hay", lambda h: F.like(h, F.col("needle"))) & F.expr(_ALLOWED)
+    hits = reduce(DataFrame.unionByName, (hay.join(F.broadcast(part), match) for part in in_blocks(asked, 64 + F.length("needle"), "query_id")))
     best = Window.partitionBy("query_id").orderBy(F.col("key").desc(), "id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "id", "rank")
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.session import in_blocks
+
 #: Similarity bands by model prefix: factor of the top, least floor, greatest floor.
 BANDS = {"": (0.5, 0.2, 0.35), "local:bge-": (0.8, 0.55, 0.6)}
 BLOCK = 2048
@@ -112,10 +115,22 @@ def target_ranks(rows: DataFrame, queries: DataFrame, targets: DataFrame) -> Dat
     of = lambda a: F.round(dot(F.col("qv"), a), 6)
     aim = q.join(targets, "query_id").join(rows.select("id", F.col("vector").alias("tv"), F.col("model").alias("tm")), "id").where("qm = tm")
     aim = aim.select("query_id", F.col("id").alias("target"), "qv", "qm", "exclude", of(F.col("tv")).alias("goal"))
-    pairs = rows.join(aim, (F.col("model") == F.col("qm")) & ~F.col("id").eqNullSafe(F.col("exclude")))
-    scored = pairs.select("query_id", "target", "goal", "id", of(F.col("vector")).alias("c"))
+    same = (F.col("model") == F.col("qm")) & ~F.col("id").eqNullSafe(F.col("exclude"))
     above = (F.col("c") > F.col("goal")) | ((F.col("c") == F.col("goal")) & (F.col("id") < F.col("target")))
-    return scored.groupBy("query_id", F.col("target").alias("id"), F.col("goal").alias("similarity")).agg((F.count_if(above) + 1).alias("rank"))
+    out = []
+    for part in in_blocks(aim, 64 + 8 * F.size("qv"), "query_id"):  # all rows share a few models, so no shuffle by model
+        scored = rows.join(F.broadcast(part), same).select("query_id", "target", "goal", "id", of(F.col("vector")).alias("c"))
+        out.append(scored.groupBy("query_id", F.col("target").alias("id"), F.col("goal").alias("similarity")).agg((F.count_if(above) + 1).alias("rank")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def random_pairs(vectors: DataFrame, sample: DataFrame) -> DataFrame:
+    """Rows, mean similarity and mean of the best similarity of ``vectors`` (id, vector) against
+    the few of ``sample``, each row's own left out."""
+    few = sample.agg(F.collect_list(F.struct("id", "vector")).alias("s"))
+    sims = vectors.join(F.broadcast(few), F.lit(True)).select(F.transform(F.filter("s", lambda x: x["id"] != F.col("id")), lambda x: F.round(dot(F.col("vector"), x["vector"]), 6)).alias("c"))
+    mean = F.aggregate("c", F.lit(0.0), lambda a, x: a + x) / F.size("c")
+    return sims.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(mean), 5).alias("mean_similarity"), F.round(F.avg(F.array_max("c")), 5).alias("mean_of_max"))
 
 
 def label_ranks(rows: DataFrame, asked: DataFrame) -> DataFrame:

@@ -236,11 +236,8 @@ def v6_all_neighbours(spark, d):
 c AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], sv), 6) AS c FROM embeddings, s WHERE vec_id <> sid)
 SELECT count(*) AS n, round(avg(m), 5) AS mean_similarity, round(avg(x), 5) AS mean_of_max FROM (SELECT vec_id, avg(c) AS m, max(c) AS x FROM c GROUP BY vec_id)""")
 def q4_random_pairs(spark, d):
-    e = A.table(spark, d, "embeddings").select("vec_id", "embedding")
-    sample = e.orderBy(F.col("vec_id") * 7919 % 100003, "vec_id").limit(200).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("s"))
-    sims = e.join(F.broadcast(sample), F.lit(True)).select(F.transform(F.filter("s", lambda x: x["vec_id"] != F.col("vec_id")), lambda x: F.round(V.dot(F.col("embedding"), x["embedding"]), 6)).alias("c"))
-    mean = F.aggregate("c", F.lit(0.0), lambda a, x: a + x) / F.size("c")
-    return sims.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(mean), 5).alias("mean_similarity"), F.round(F.avg(F.array_max("c")), 5).alias("mean_of_max"))
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return V.random_pairs(e, e.orderBy(F.col("id") * 7919 % 100003, "id").limit(200))
 
 
 @query("""WITH t AS (SELECT q.vec_id AS query_id, round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS c, i.vec_id AS id FROM embeddings q JOIN embeddings i ON i.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),

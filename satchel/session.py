@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The most that is broadcast, in bytes of rows.
+BROADCAST_BYTES = 16 << 20
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -51,3 +55,18 @@ def written(df: DataFrame, name: str, partition_by: str | None = None, rows: int
         out = out.partitionBy(partition_by)
     out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, width: int | Column, otherwise: str | None = "join") -> DataFrame | None:
+    """``df`` marked for broadcast if its rows, of ``width`` bytes, are BROADCAST_BYTES at most.
+    If not, ``df`` itself, to be joined by a shuffle, or None if ``otherwise`` is None."""
+    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df if otherwise else None
+
+
+def in_blocks(df: DataFrame, width: int | Column, key: str) -> list[DataFrame]:
+    """``df`` in parts of at most about BROADCAST_BYTES each, dealt by ``key``, for joins without
+    an equality in which every row of the other side meets every row of this one."""
+    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+    n = max(1, -(-int(size) // BROADCAST_BYTES))
+    return [df] if n == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
