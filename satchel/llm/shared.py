@@ -10,18 +10,16 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import satchel
-from satchel.session import shared_folder, written
+from satchel.session import bounded, shared_folder, written
 
 __all__ = ["append_columns", "arrow_groups", "arrow_rows", "bounded", "byte_pieces", "free_name", "mix64", "ship", "shared_folder", "split_join", "written"]
 
 _shipped: set[str] = set()
-#: The most that is broadcast, in bytes of rows.
-BROADCAST_BYTES = 16 << 20
 #: Rows and bytes of an Arrow batch, so that a few long texts don't fill a worker.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
@@ -42,13 +40,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def bounded(df: DataFrame, width: int | Column, otherwise: str | None = "join") -> DataFrame | None:
-    """``df`` marked for broadcast if its rows, of ``width`` bytes, are BROADCAST_BYTES at most.
-    If not, ``df`` itself, to be joined by a shuffle, or None if ``otherwise`` is None."""
-    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df if otherwise else None
-
-
 def arrow_rows(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
     """``df`` through ``fn`` (record batches to record batches), within its partitions."""
     ship(df.sparkSession)
