@@ -201,6 +201,7 @@ def test_sharding(spark, docs):
         slot = int(hashlib.md5(json.dumps([str(r.doc_id)], separators=(",", ":")).encode()).hexdigest()[:15], 16) % slots
         assert (r.slot, r.shard) == (slot, names[owner[slot]])
     assert sharding.lookup_table(spark, [], 7).count() == 0
+    assert sharding.place(docs.limit(0), ["doc_id"], sharding.lookup_table(spark, names, slots), slots).count() == 0
 
 
 def test_chat(spark):
