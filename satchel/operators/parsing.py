@@ -329,10 +329,11 @@ def register_parser(provider: str, parser: Parser, kind: str | None = None, next
     _parsers[provider, kind] = (parser, next_of)
 
 
-def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_pages(pages: DataFrame, stored: Callable[[DataFrame], DataFrame] = lambda items: items) -> tuple[DataFrame, DataFrame]:
     """(items, outcomes) of ``pages`` (page_id, provider, body, context and, optionally, kind):
     items of all known providers, and per page the number of items, an error if there is one,
-    the cursor of the next page and whether one follows."""
+    the cursor of the next page and whether one follows. ``stored`` may write the items down,
+    so that what uses them, the outcomes too, doesn't parse again."""
     kind = F.coalesce("kind", F.lit("items")) if "kind" in pages.columns else F.lit("items")
     of = pages.withColumn("kind_", kind)
     providers = sorted({p for p, _ in _parsers})
@@ -351,6 +352,7 @@ def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = of.where((F.col("provider") == provider) & mine & F.col("error_").isNull())
         found, after = parser(own).withColumn("provider", F.lit(provider)), next_of(own)
         items, nexts = (found, after) if items is None else (items.unionByName(found), nexts.unionByName(after))
+    items = stored(items)
     counts = items.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_items"))
     out = of.select("page_id", "provider", F.col("error_").alias("error")).join(counts, "page_id", "left").join(nexts, "page_id", "left")
     n = F.coalesce("n_items", F.lit(0))

@@ -9,6 +9,7 @@ from satchel.operators import parsing as P
 from satchel.operators import state as M
 from satchel.operators import sync as I
 from satchel.operators import videos  # noqa: F401  (adds its parser)
+from satchel.session import written
 
 #: Places in a page that an arrival number leaves room for.
 PLACES = 1_000_000
@@ -23,7 +24,7 @@ def arrivals(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items with their page's account, kind, run and anchor, in order ``seq``; outcomes) of
     ``pages`` (page_id, provider, account, kind, page, fetched_at, body, context). A run's
     anchor is its first page's time, whether that page could be parsed or not."""
-    items, outcomes = P.parse_pages(pages)
+    items, outcomes = P.parse_pages(pages, lambda parsed: written(parsed, "parsed"))
     runs = I.open_runs(pages.drop("body", "context")).select("page_id", "account", F.col("kind").alias("page_kind"), "run", "anchor")
     return items.join(runs, "page_id").withColumn("seq", F.col("page_id") * PLACES + F.col("pos")), outcomes
 
