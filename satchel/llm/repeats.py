@@ -309,7 +309,7 @@ def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key"), "several", rows=n)
     name = F.hex("key").alias("k_")
     same = rows.select("key", "text", name).join(bounded(several.select(name), 40), "k_", "left_semi").groupBy("key", "text").agg(F.count(F.lit(1)).alias("copies"))
-    same = written(same, "copied", rows=4 * several.count())
+    same = written(same, "copied", rows=20 * several.count())
     if same.count() != several.count():
         raise RuntimeError("two different texts have one digest")
     single = rows.select("key", "text").join(bounded(several, 24), "key", "left_anti")
