@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from satchel.llm import bpe, chat, decontaminate, fmdedup, media, neardup, quality, sharding, suffixdedup, tokenstore
+from satchel.llm import bpe, chat, decontaminate, fmdedup, jaccard, media, neardup, quality, sharding, suffixdedup, tokenstore
 
 QUERIES = {
     "op1_suffix_array_dedup": suffixdedup.suffix_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.chat_query,
     "op9_minhash_near_dedup": neardup.near_query,
     "op10_decontamination": decontaminate.decontamination_query,
+    "op13_ngram_jaccard_join": jaccard.jaccard_query,
 }
 
 SQL = {
