@@ -2,12 +2,15 @@
 
 A document's set is its distinct word shingles (``width`` words, A-Z lower-cased; a shorter
 text is one shingle), as 64-bit hashes. Equal sets are one class. Tokens of the sets are put
-in one order for all classes, rare ones first. Two sets of similarity ``PERCENT`` or more
-share t tokens at least (t: that share of the larger set, rounded up), so whatever l is, they
-share l tokens of their l-prefixes, the first n - t + l of their n tokens. Each class takes
-the l at which its prefix should cost least: longer prefixes meet more postings, but each
-further token that must be shared leaves fewer candidates to verify. A pair is a candidate if
-its prefixes share as many tokens as the smaller of its two l asks for.
+in one order for all classes, rare ones first. If two sets must share t tokens, then whatever
+l is, they share l tokens of their l-prefixes, the first n - t + l of their n tokens. A set
+that links with one of at most its size shares PERCENT of its own tokens at least; one that
+links with a set of at least its size shares 2 * PERCENT / (100 + PERCENT) of them. So a class
+has two prefixes: a long one, in which it looks for smaller partners, and the front of it, by
+which it is found by larger ones. Each class takes the l at which its prefix should cost
+least: longer prefixes meet more postings, but each further token that must be shared leaves
+fewer candidates to verify. A pair is a candidate if the long prefix of the larger set and
+the front of the smaller one share as many tokens as the smaller of the two l asks for.
 
 * Counts. Documents are dealt to packets. A packet sends each of its tokens once to the
   token's bucket, as 32 bits beside the bucket's number, with the number of its holders in
@@ -16,11 +19,13 @@ its prefixes share as many tokens as the smaller of its two l asks for.
   shared, so a class with more than n - t of them has no partner and is done. Different
   tokens that agree in bucket and 32 bits only count as shared; if one class has two such,
   its t falls by one, so no pair is lost.
-* Candidates, without all pairs of a group. Of the classes that share a token, each is paired
-  with the first one only (a hub). Pairs that share enough are verified on the full sets; the
-  links found put nearly all of a group of near copies into one component in linear time.
-  Then components are paired where they share enough tokens by the union of their prefixes,
-  and the sets of both are verified against each other until one link is found.
+* Candidates, without all pairs of a group. Of the classes that share a token one is the hub:
+  first the one with the fewest tokens of its own, which is close to most in a group of near
+  copies, in later rounds another one. Each class is verified on the full sets against the
+  few hubs of other components that it shares most tokens with. This is linear and puts
+  nearly all of a group of near copies into one component. Then components are paired where
+  they share enough tokens by the union of their prefixes, and the sets of both are verified
+  against each other until one link is found.
 
 A pair of linked classes is either in one component after the first step or in two that the
 second step pairs, so components are those of all links. Groups are dealt by bytes: large
@@ -37,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from satchel.llm.components import components
@@ -54,6 +59,9 @@ LONGEST = 16
 #: Cost of verifying a candidate in postings met: a fixed part and one a token of its set.
 VERIFY, VERIFY_TOKEN = 4.0, 0.25
 BLOCK_BYTES, PACK_BYTES = 8 << 20, 1 << 20
+#: Rounds of hubs at most (the second and third only while links are found), and hubs that a
+#: class is verified against in each.
+ROUNDS, HUBS = 3, 3
 
 
 def needed(n: np.ndarray | int):
@@ -61,6 +69,11 @@ def needed(n: np.ndarray | int):
     return -(-n * PERCENT // 100)
 
 
+def needed_by_smaller(n: np.ndarray | int):
+    """Tokens that a set of ``n`` shares with any set of its size or more that it links with."""
+    return -(-2 * n * PERCENT // (100 + PERCENT))
+
+
 def digest_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -181,7 +194,7 @@ def _prefixes(table: pa.Table) -> pa.Table:
         codes.append(code[: len(one)])
         m_keys.append(several.astype(np.uint64) | high)
         m_codes.append(code[len(one) :])
-    fields = [("digest", pa.binary()), ("n", pa.int64()), ("ell", pa.int32()), ("tokens", pa.list_(pa.int64()))]
+    fields = [("digest", pa.binary()), ("n", pa.int64()), ("ell", pa.int32()), ("front", pa.int32()), ("alone", pa.int64()), ("tokens", pa.list_(pa.int64()))]
     if not keys:
         return pa.table({f: pa.array([], t) for f, t in fields})
     listed, code_of = np.concatenate(m_keys), np.concatenate(m_codes)
@@ -191,7 +204,7 @@ def _prefixes(table: pa.Table) -> pa.Table:
     code = np.concatenate([*codes, code_of[by][np.searchsorted(listed[by], multi_key)]])
     shared = np.bincount(doc, minlength=len(sizes))
     alone = distinct - shared
-    spare = sizes - needed(sizes)
+    spare, spare_front = sizes - needed(sizes), sizes - needed_by_smaller(sizes)
     open_ = (alone <= spare) & (shared > 0)
     mine = open_[doc]
     key, doc, code = key[mine], doc[mine], code[mine]
@@ -199,20 +212,24 @@ def _prefixes(table: pa.Table) -> pa.Table:
     key, doc, code = key[order], doc[order], code[order]
     at = np.searchsorted(doc, np.arange(len(sizes) + 1))
     met = np.concatenate([[0.0], np.cumsum(2.0 ** (code / 8.0) - 1)])
-    # the l of least cost; l can't exceed what must be shared, less tokens that fell together
+    # the l of least cost, of the front where there is one; l can't exceed what must be shared,
+    # less tokens that fell together
+    found_by = alone <= spare_front
+    costly = np.where(found_by, spare_front, spare)
     most = np.maximum(1, needed(sizes) - (sizes - distinct))
     best, ell = np.full(len(sizes), np.inf), np.ones(len(sizes), np.int32)
     for k in range(1, LONGEST + 1):
-        length = np.minimum(np.maximum(spare + k - alone, 0), shared)
+        length = np.minimum(np.maximum(costly + k - alone, 0), shared)
         postings = met[np.minimum(at[:-1] + length, at[1:])] - met[at[:-1]]
         cost = np.where(k <= most, postings * (1 + (VERIFY + VERIFY_TOKEN * sizes) / k), np.inf)
         ell = np.where(cost < best, k, ell)
         best = np.minimum(cost, best)
     rows = np.flatnonzero(open_)
     length = np.minimum(spare + ell - alone, shared)[rows]
+    front = np.where(found_by, np.minimum(spare_front + ell - alone, shared), 0)[rows]
     token = key.view(np.int64)
     return pa.table({
-        "digest": pa.array([digests[16 * k : 16 * k + 16] for k in rows.tolist()], pa.binary()), "n": pa.array(sizes[rows], pa.int64()), "ell": pa.array(ell[rows], pa.int32()),
+        "digest": pa.array([digests[16 * k : 16 * k + 16] for k in rows.tolist()], pa.binary()), "n": pa.array(sizes[rows], pa.int64()), "ell": pa.array(ell[rows], pa.int32()), "front": pa.array(front, pa.int32()), "alone": pa.array(alone[rows], pa.int64()),
         "tokens": pa.array([token[at[k] : at[k] + m] for k, m in zip(rows.tolist(), length.tolist(), strict=True)], pa.list_(pa.int64())),
     })
 
@@ -228,63 +245,69 @@ def _sets(width: int):
     return run
 
 
-def _verified(all_links: bool):
-    """Of each group g the links between its two sides: all of them, or the first one found."""
-
-    def run(table: pa.Table) -> pa.Table:
-        group, side, node = (table.column(c).to_numpy() for c in ("g", "side", "node"))
-        order = np.lexsort((node, side, group))
-        group, side, node = group[order], side[order], node[order]
-        value = table.column("value").take(pa.array(order)).to_pylist()
-        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
-        a, b = [], []
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            cut = i + int(np.searchsorted(side[i:j], 1))
-            if i < cut < j:
-                for k, m in linked([np.frombuffer(v, np.uint64) for v in value[i:cut]], [np.frombuffer(v, np.uint64) for v in value[cut:j]]):
-                    a.append(node[i + k])
-                    b.append(node[cut + m])
-                    if not all_links:
-                        break
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def linked(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Places (in ``left``, in ``right``) of sets of similarity PERCENT or more."""
+def _verified(table: pa.Table) -> pa.Table:
+    """Of each group g a link of its left side to each part of its right side that has one."""
+    group, part, node = (table.column(c).to_numpy() for c in ("g", "part", "node"))
+    right = table.column("right").to_numpy(zero_copy_only=False)
+    order = np.lexsort((node, part, right, group))
+    group, part, node, right = group[order], part[order], node[order], right[order]
+    value = table.column("value").take(pa.array(order)).to_pylist()
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
+    a, b = [], []
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        cut = i + int(np.searchsorted(right[i:j], True))
+        if i < cut < j:
+            for k, m in linked([np.frombuffer(v, np.uint64) for v in value[i:cut]], [np.frombuffer(v, np.uint64) for v in value[cut:j]], part[cut:j]):
+                a.append(node[i + k])
+                b.append(node[cut + m])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places (in ``left``, in ``right``) of sets of similarity PERCENT or more, one at least for
+    each part of ``right`` that has any; parts found are not compared again."""
     n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     unique, ids = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    at, starts = np.cumsum([0, *n]), np.cumsum(m) - m
-    theirs, flag = ids[at[-1] :], np.zeros(len(unique), bool)
+    at, at_right = np.cumsum([0, *n]), np.cumsum([0, *m])
+    ids, others = ids[: at[-1]], ids[at[-1] :]
+    flag, open_ = np.zeros(len(unique), bool), np.arange(len(right))
     for k in range(len(left)):
+        if k == 0 or len(open_) < len(theirs):
+            theirs = open_
+            tokens = np.concatenate([others[at_right[t] : at_right[t + 1]] for t in theirs.tolist()])
+            starts = np.cumsum(m[theirs]) - m[theirs]
         mine = ids[at[k] : at[k + 1]]
         flag[mine] = True
-        both = np.add.reduceat(flag[theirs].astype(np.int64), starts)
+        both = np.add.reduceat(flag[tokens].astype(np.int64), starts)
         flag[mine] = False
-        for found in np.flatnonzero(100 * both >= PERCENT * (n[k] + m - both)).tolist():
-            yield k, found
+        found = theirs[100 * both >= PERCENT * (n[k] + m[theirs] - both)]
+        yield from ((k, t) for t in found.tolist())
+        open_ = theirs[~np.isin(part[theirs], part[found])] if len(found) else theirs
+        if not len(open_):
+            break
 
 
-def verified(left: DataFrame, right: DataFrame, sets: DataFrame, all_links: bool, block_bytes: int) -> DataFrame:
-    """Links (a, b) on full ``sets`` (node, value) between ``left`` and ``right`` (p, node) of one
-    p. Sides of more than ``block_bytes`` are cut into blocks by hash of the node."""
+def verified(left: DataFrame, right: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
+    """Links (a, b) on full ``sets`` (node, value) from ``left`` (p, node) to each part of
+    ``right`` (p, node, part) of the same p that has any. Sides of more than ``block_bytes`` are
+    cut into blocks by hash of the node."""
     size = sets.select("node", F.length("value").alias("bytes"))
-    sides = written(left.select("p", F.lit(0).alias("side"), "node").unionByName(right.select("p", F.lit(1).alias("side"), "node")).join(size, "node"), "sides")
-    blocks = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, F.col("bytes"))) / block_bytes).cast("int")
-    cut = sides.groupBy("p").agg(blocks(0).alias("n0"), blocks(1).alias("n1"))
-    here, there = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
-    dealt = split_join(sides, cut, "p").withColumn("i", F.pmod(F.xxhash64("node"), here)).withColumn("j", F.explode(F.sequence(F.lit(0), there - 1)))
-    first = F.col("side") == 0
-    groups = written(dealt.select(F.xxhash64("p", F.when(first, F.col("i")).otherwise(F.col("j")), F.when(first, F.col("j")).otherwise(F.col("i"))).alias("g"), "side", "node", "bytes"), "groups")
+    sides = left.select("p", F.lit(False).alias("right"), "node", F.lit(0).cast("long").alias("part")).unionByName(right.select("p", F.lit(True).alias("right"), "node", "part"))
+    sides = written(sides.join(size, "node"), "sides")
+    blocks = lambda of: F.ceil(F.sum(F.when(of, F.col("bytes"))) / block_bytes).cast("int")
+    cut = sides.groupBy("p").agg(blocks(~F.col("right")).alias("n0"), blocks(F.col("right")).alias("n1"))
+    here, there = F.when(F.col("right"), F.col("n1")).otherwise(F.col("n0")), F.when(F.col("right"), F.col("n0")).otherwise(F.col("n1"))
+    dealt = split_join(sides, cut, "p").withColumn("i", F.pmod(F.xxhash64("node"), here).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), there - 1)))
+    own = F.when(F.col("right"), F.xxhash64("p", "j", "i")).otherwise(F.xxhash64("p", "i", "j"))
+    groups = written(dealt.select(own.alias("g"), "right", "node", "part", "bytes"), "groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     packs = max(1, -(-int(total) // PACK_BYTES))
     moved = groups.drop("bytes").join(sets.select("node", "value"), "node").withColumn("pack", F.pmod(F.xxhash64(F.lit(7), "g"), F.lit(packs)))
-    return written(arrow_groups(moved, "pack", _verified(all_links), "a long, b long"), "verified_links")
+    return written(arrow_groups(moved, "pack", _verified, "a long, b long"), "verified_links")
 
 
 def prefixes(rows: DataFrame, each: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(node, n, ell, tokens, r) of classes that may link with others; ``rows`` are ``known``
+    """(node, n, ell, front, alone, tokens, r) of classes that may link with others; ``rows`` are ``known``
     documents, ``each`` their digests, ``classes`` (digest, n_shingles, r, rows)."""
     tokens = classes.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-int(tokens) // BUCKET_TOKENS))
@@ -293,50 +316,60 @@ def prefixes(rows: DataFrame, each: DataFrame, classes: DataFrame, width: int) -
     texts = rows.join(bounded(written(copies, "copies"), 32), ["doc_id", "th"], "left_anti").select("text")
     dealt = arrow_rows(texts, _packets(width, buckets), PACKET)
     known_counts = arrow_groups(dealt, "bucket", _counted, PACKET)
-    found = arrow_groups(known_counts, "packet", _prefixes, "digest binary, n long, ell int, tokens array<long>")
+    found = arrow_groups(known_counts, "packet", _prefixes, "digest binary, n long, ell int, front int, alone long, tokens array<long>")
     listed = written(found, "prefixes")
-    one = listed.groupBy("digest").agg(F.first(F.struct("n", "ell", "tokens")).alias("x"))
+    one = listed.groupBy("digest").agg(F.first(F.struct("n", "ell", "front", "alone", "tokens")).alias("x"))
     return written(one.join(classes.select("digest", "r"), "digest").select(F.monotonically_increasing_id().alias("node"), "digest", "x.*", "r"), "suspects")
 
 
-def by_hub(suspects: DataFrame) -> DataFrame:
-    """Candidates (node, hub): of the classes that share a token each with the first one, where
-    the prefixes of both share enough tokens and their sizes allow a link."""
-    entries = suspects.select(F.explode("tokens").alias("token"), "node")
-    hubs = entries.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df")
-    pairs = split_join(entries, hubs, "token").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
-    of = suspects.select("node", "n", "ell")
-    both = pairs.join(of, "node").join(of.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("ell").alias("other")), "hub")
-    return both.where((F.col("shared") >= F.least("ell", "other")) & _sizes_allow("n", "n", "m", "m")).select("node", "hub")
+def by_hub(members: DataFrame, turn: int) -> DataFrame:
+    """Candidates (node, hub) of ``members`` (node, component, n, alone, tokens): each class with
+    the HUBS hubs of other components that it shares most tokens with and may link with by size."""
+    entries = members.select("node", "component", "n", "alone" if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("alone"), F.explode("tokens").alias("token"))
+    hubs = entries.groupBy("token").agg(F.min(F.struct("alone", "node", "component", "n")).alias("hub"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token", "hub")
+    met = split_join(entries.select("token", "node", "component", "n"), hubs, "token").where(F.col("component") != F.col("hub.component")).where(_sizes_allow("n", "n", "hub.n", "hub.n"))
+    pairs = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
+    best = Window.partitionBy("node").orderBy(F.col("shared").desc(), "hub")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS).select("node", "hub")
 
 
 def _sizes_allow(least: str, most: str, other_least: str, other_most: str) -> Column:
     return (100 * F.col(most) >= PERCENT * F.col(other_least)) & (100 * F.col(other_most) >= PERCENT * F.col(least))
 
 
-def across(suspects: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates, members): pairs (a, b) of components ``part`` (node, component) that share, by the
-    union of their prefixes, as many tokens as the least l of both asks for; (node, component)."""
-    of = written(suspects.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "component", "n", "ell", "tokens"), "parts")
-    bounds = of.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("ell").alias("ell"))
-    entries = written(of.select("component", F.explode("tokens").alias("token")).distinct(), "part_tokens")
-    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+def across(members: DataFrame) -> DataFrame:
+    """Candidates (a, b) of components of ``members`` (node, component, n, ell, front, tokens):
+    those that share, by the union of their prefixes, as many tokens as the least l of both
+    asks for; a is the one with more tokens in its sets."""
+    bounds = members.groupBy("component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("ell").alias("ell"), F.sum("n").alias("size"))
+    entries = members.select("component", "front", F.posexplode("tokens").alias("place", "token")).groupBy("token", "component").agg(F.max(F.col("place") < F.col("front")).alias("fore"))
+    entries = written(entries, "part_tokens")
+    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("fore").alias("fore")).where("df > 1 AND fore").select("token")
     shared = written(split_join(entries, several, "token"), "shared_tokens")
-    pairs = shared.select("token", F.col("component").alias("a")).join(shared.select("token", F.col("component").alias("b")), "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    found_by = shared.where("fore").select("token", F.col("component").alias("b"))
+    pairs = shared.select("token", F.col("component").alias("a")).join(found_by, "token").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     x = pairs.join(bounds.withColumnRenamed("component", "a"), "a")
-    y = bounds.select(F.col("component").alias("b"), F.col("least").alias("least_"), F.col("most").alias("most_"), F.col("ell").alias("ell_"))
-    met = x.join(y, "b").where((F.col("shared") >= F.least("ell", "ell_")) & _sizes_allow("least", "most", "least_", "most_"))
-    return met.select("a", "b"), of.select("node", "component")
+    y = bounds.select(F.col("component").alias("b"), *(F.col(c).alias(f"{c}_") for c in ("least", "most", "ell", "size")))
+    met = x.join(y, "b").where((F.col("shared") >= F.least("ell", "ell_")) & (F.col("most") >= F.col("least_")) & _sizes_allow("least", "most", "least_", "most_"))
+    one, other = F.struct("size", "a"), F.struct("size_", "b")
+    return met.select(F.when(one > other, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(one > other, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 def links(suspects: DataFrame, sets: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (a, b) whose components are those of all links among ``suspects``."""
-    pairs = written(by_hub(suspects), "hub_pairs")
-    at_hub = verified(pairs.select("hub", F.col("hub").alias("p")).distinct().select("p", F.col("hub").alias("node")), pairs.select(F.col("hub").alias("p"), "node"), sets, True, block_bytes)
-    met, of = across(suspects, components(at_hub))
-    met = written(met.withColumn("p", F.xxhash64("a", "b")), "part_pairs")
-    side = lambda c: met.select("p", F.col(c).alias("component")).join(of, "component").select("p", "node")
-    return at_hub.unionByName(verified(side("a"), side("b"), sets, False, block_bytes))
+    found, members = None, suspects.withColumn("component", F.col("node"))
+    for turn in range(ROUNDS):
+        pairs = written(by_hub(members, turn), "hub_pairs")
+        at_hub = verified(pairs.select(F.col("hub").alias("p"), F.col("hub").alias("node")).distinct(), pairs.select(F.col("hub").alias("p"), "node", F.col("node").alias("part")), sets, block_bytes)
+        if found is not None and at_hub.isEmpty():
+            break
+        found = at_hub if found is None else written(found.unionByName(at_hub), "found_links")
+        members = written(suspects.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node")), "parts")
+    met = written(across(members), "part_pairs")
+    of = members.select("component", "node")
+    left = met.select(F.col("a").alias("p")).distinct().join(of, F.col("p") == of.component).select("p", "node")
+    right = met.select(F.col("a").alias("p"), F.col("b").alias("component")).join(of, "component").select("p", "node", F.col("component").alias("part"))
+    return found.unionByName(verified(left, right, sets, block_bytes))
 
 
 def joined(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:

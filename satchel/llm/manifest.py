@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,6 @@ from pyspark.sql import functions as F
 from satchel.llm.shared import arrow_groups, arrow_rows, bounded, written
 
 FAN, LEVELS = 3, 8
-BLOCK = FAN**LEVELS
 
 
 def digest_of(text: str) -> str:
@@ -129,31 +129,35 @@ def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
     return kept.join(bounded(base, 40), ["tree", "part"]).withColumn("place", F.col("local") + F.col("base")).drop("part", "local", "base")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (tree, place, total, ...) with ``block`` and ``pack``: whole blocks, about BLOCK
-    rows together."""
-    n = nodes.count()
-    packs = max(1, -(-n // BLOCK))
-    return nodes.withColumn("block", F.floor(F.col("place") / BLOCK)).withColumn("pack", F.pmod(F.xxhash64("tree", "block"), F.lit(packs)))
+def in_packs(blocks: DataFrame, packs: int) -> DataFrame:
+    """``blocks`` (tree, block, ...) with ``pack``: whole blocks are dealt to so many packs."""
+    return blocks.withColumn("pack", F.pmod(F.xxhash64("tree", "block"), F.lit(packs)))
 
 
-def _each_block(table: pa.Table) -> Iterator[tuple[list[dict], Tree]]:
+def _blocks(nodes: DataFrame, levels: int) -> tuple[DataFrame, int]:
+    """``nodes`` (tree, place, total, ...) with ``block`` and ``pack``, and the number of packs,
+    each of about as many rows as a block."""
+    packs = max(1, -(-nodes.count() // FAN**LEVELS))
+    return in_packs(nodes.withColumn("block", F.floor(F.col("place") / FAN**levels)), packs), packs
+
+
+def _each_block(table: pa.Table, levels: int) -> Iterator[tuple[list[dict], Tree]]:
     """The blocks of a pack: their rows in order, and the tree over them."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["tree"], r["place"]))
     for first, end in _runs([(r["tree"], r["block"]) for r in rows]):
         block = rows[first:end]
-        yield block, Tree([r["digest"] for r in block], LEVELS if block[0]["total"] > BLOCK else None)
+        yield block, Tree([r["digest"] for r in block], levels if block[0]["total"] > FAN**levels else None)
 
 
-def _roots(table: pa.Table) -> pa.Table:
-    out = [(block[0]["tree"], block[0]["block"], tree.root[0], -(-block[0]["total"] // BLOCK)) for block, tree in _each_block(table)]
+def _roots(table: pa.Table, levels: int) -> pa.Table:
+    out = [(block[0]["tree"], block[0]["block"], tree.root[0], -(-block[0]["total"] // FAN**levels)) for block, tree in _each_block(table, levels)]
     return pa.table({n: pa.array(c, t) for n, c, t in zip(["tree", "place", "digest", "total"], zip(*out, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.int64()], strict=True)})
 
 
-def _ways(table: pa.Table) -> pa.Table:
+def _ways(table: pa.Table, levels: int) -> pa.Table:
     """Of each node its block's root and its way up there."""
     out = []
-    for block, tree in _each_block(table):
+    for block, tree in _each_block(table, levels):
         for k, r in enumerate(block):
             way = tree.beside(k)
             out.append((r["tree"], r["place"], r["block"], tree.root[0], [b for b, _ in way], [a for _, a in way]))
@@ -161,31 +165,31 @@ def _ways(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(["tree", "place", "block", "root", "before", "after"], zip(*out, strict=True), types, strict=True)})
 
 
-def ways_up(nodes: DataFrame) -> DataFrame:
+def ways_up(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(tree, place, root, before, after) of ``nodes`` (tree, place, total, digest): the root of
     their tree and the digests beside their way up to it."""
-    blocked = _blocks(nodes.select("tree", "place", "total", "digest"))
-    own = written(arrow_groups(blocked, "pack", _ways, "tree long, place long, block long, root string, before array<string>, after array<string>"), "ways")
-    if nodes.where(F.col("total") > BLOCK).isEmpty():
+    blocked, _ = _blocks(nodes.select("tree", "place", "total", "digest"), levels)
+    own = written(arrow_groups(blocked, "pack", partial(_ways, levels=levels), "tree long, place long, block long, root string, before array<string>, after array<string>"), "ways")
+    if nodes.where(F.col("total") > FAN**levels).isEmpty():
         return own.drop("block")
-    above = ways_up(block_roots(nodes)).select("tree", F.col("place").alias("block"), F.col("root").alias("top"), F.col("before").alias("b"), F.col("after").alias("a"))
+    above = ways_up(block_roots(nodes, levels), levels).select("tree", F.col("place").alias("block"), F.col("root").alias("top"), F.col("before").alias("b"), F.col("after").alias("a"))
     return own.join(above, ["tree", "block"]).select("tree", "place", F.col("top").alias("root"), F.concat("before", "b").alias("before"), F.concat("after", "a").alias("after"))
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(tree, place, digest, total): the roots of the blocks of ``nodes`` as nodes of the tree above."""
-    blocked = _blocks(nodes.select("tree", "place", "total", "digest"))
-    return written(arrow_groups(blocked, "pack", _roots, "tree long, place long, digest string, total long"), "block_roots")
+    blocked, _ = _blocks(nodes.select("tree", "place", "total", "digest"), levels)
+    return written(arrow_groups(blocked, "pack", partial(_roots, levels=levels), "tree long, place long, digest string, total long"), "block_roots")
 
 
-def _versions(table: pa.Table) -> pa.Table:
+def _versions(table: pa.Table, levels: int) -> pa.Table:
     """Leaves of whole blocks: each leaf's proof, and its version folded to the top. A row of
     the block itself (no digest) brings the block's way up."""
     is_way = pc.is_null(table.column("digest"))
     above = {(r["tree"], r["block"]): r for r in table.filter(is_way).select(["tree", "block", "root", "subroot", "before", "after"]).to_pylist()}
     leaves = table.filter(pc.invert(is_way)).drop_columns(["root", "subroot", "before", "after"])
     out = []
-    for block, tree in _each_block(leaves):
+    for block, tree in _each_block(leaves, levels):
         up = above[block[0]["tree"], block[0]["block"]]
         way = list(zip(up["before"], up["after"], strict=True))
         rest = "".join(b + a for b, a in way)
@@ -207,7 +211,7 @@ def leaf_of(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*(field(c) for c in fields)), 256)
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
     """id, leaf, subroot, root, proof, folded_root of ``rows`` (id long, grp string, digest string,
     changed string): ``digest`` is the row's leaf, ``changed`` the leaf of its tampered content,
     null where it has none."""
@@ -218,16 +222,15 @@ def manifest(rows: DataFrame) -> DataFrame:
     named = written(ordered.select(F.col("place").alias("tree"), "grp"), "group_numbers")
     own = rows.join(bounded(named, 32 + F.coalesce(F.length("grp"), F.lit(0))), rows.grp.eqNullSafe(named.grp)).select("tree", "id", "digest", "changed")
     leaves = placed(own, ["id", "digest"])
-    roots = block_roots(leaves)
-    ways = written(ways_up(roots), "ways_of_blocks")
+    roots = block_roots(leaves, levels)
+    ways = written(ways_up(roots, levels), "ways_of_blocks")
     subroots = ways.where("place = 0").select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("root").alias("digest"))
-    top = ways_up(subroots.withColumn("total", F.lit(named.count()).cast("long")))
+    top = ways_up(subroots.withColumn("total", F.lit(named.count()).cast("long")), levels)
     upper = top.select(F.col("place").alias("tree"), F.col("root").alias("r"), F.col("before").alias("b"), F.col("after").alias("a"))
     whole = ways.join(upper, "tree").select("tree", F.col("place").alias("block"), F.col("r").alias("root"), F.col("root").alias("subroot"), F.concat("before", "b").alias("before"), F.concat("after", "a").alias("after"))
-    blocked = _blocks(leaves)
-    packs = max(1, -(-leaves.count() // BLOCK))
-    members = blocked.unionByName(whole.withColumn("pack", F.pmod(F.xxhash64("tree", "block"), F.lit(packs))), allowMissingColumns=True)
-    return arrow_groups(members, "pack", _versions, "id long, leaf string, subroot string, root string, proof string, folded_root string")
+    blocked, packs = _blocks(leaves, levels)
+    members = blocked.unionByName(in_packs(whole, packs), allowMissingColumns=True)
+    return arrow_groups(members, "pack", partial(_versions, levels=levels), "id long, leaf string, subroot string, root string, proof string, folded_root string")
 
 
 def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
