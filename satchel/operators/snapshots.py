@@ -102,11 +102,11 @@ def missing_rows(before: DataFrame, after: DataFrame, key: list[str]) -> DataFra
 
 def changed_cells(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """(column, cells) with changed values among rows with equal keys, and ``*rows*`` for rows;
-    columns without changes are left out."""
+    columns without changes are left out. Without other columns than the key nothing can change."""
     cols = [c for c in common_columns(before, after) if c not in key]
     pairs = before.alias("b").join(after.alias("a"), _same_key(key))
     flags = pairs.select(*((~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}"))).cast("long").alias(c) for c in cols))
-    total = flags.withColumn("*rows*", F.greatest(*cols) if len(cols) > 1 else F.col(cols[0])).agg(*(F.sum(c).alias(c) for c in [*cols, "*rows*"]))
+    total = flags.withColumn("*rows*", F.greatest(*cols, F.lit(0).cast("long")) if cols else F.lit(0).cast("long")).agg(*(F.sum(c).alias(c) for c in [*cols, "*rows*"]))
     return total.unpivot([], [*cols, "*rows*"], "column", "cells").where("cells > 0")
 
 

@@ -29,14 +29,15 @@ def union_names(ordered: Column) -> Column:
     return F.filter(names, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)
 
 
-def collapse(batch: DataFrame) -> DataFrame:
+def collapse(batch: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A batch in arrival order ``seq``, one row a key: last values, last non-null times, all
-    collections in order, and whether every copy has the same vector text."""
+    collections in order, and whether every copy has the same vector text. ``by`` are columns
+    that follow from the key."""
     b = coerced(batch)
     last = [F.max_by(F.col(c), "seq").alias(c) for c in REPLACED if c in b.columns]
     times = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("bookmarked_at", "published_at") if c in b.columns]
     same = F.struct(*TEXT_OF_VECTOR)
-    return b.groupBy(*KEY).agg(
+    return b.groupBy(*(by or []), *KEY).agg(
         *last, *times, F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("copies"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "collection"))), lambda x: x["collection"])).alias("incoming"),
         F.min(same).alias("text_min"), F.max(same).alias("text_max"),
@@ -51,29 +52,61 @@ def upsert(items: DataFrame, batch: DataFrame, now_ms: int, sort_key_start: int
     ``sort_key_start`` in order of arrival; an id known under another account takes the next
     key without using it up."""
     new = collapse(batch)
-    old = items.select(*(F.col(c).alias(f"old_{c}") if c not in KEY else F.col(c) for c in items.columns)).withColumn("stored", F.lit(True))
-    both = old.join(new, KEY, "full_outer")
+    both = _stored(items, []).join(new, KEY, "full_outer")
     known = items.select("provider", "external_id").distinct().withColumn("known", F.lit(True))
     both = both.join(known, ["provider", "external_id"], "left")
-    touched = F.col("first_seq").isNotNull()
-    fresh = F.col("stored").isNull()
     if sort_key_start is not None:
-        ranked = both.where(fresh).select(*KEY, "first_seq", F.col("known").isNull().cast("long").alias("uses"))
-        # several accounts of one new id: the first to arrive counts as new
-        firsts = Window.partitionBy("provider", "external_id").orderBy("first_seq")
-        ranked = ranked.withColumn("uses", F.when(F.row_number().over(firsts) == 1, F.col("uses")).otherwise(F.lit(0)))
-        low, high, n = batch.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
-        width = max(1, -(-(high - low + 1) * BUCKET // n)) if n else 1
-        both = both.join(running(ranked, "first_seq", "uses", width).select(*KEY, "before"), KEY, "left")
+        both = both.join(_new_keys(both.where("stored IS NULL"), batch), KEY, "left")
+    return both.select(*_merged(items.columns, new.columns, now_ms, sort_key_start))
+
+
+def upsert_slots(items: DataFrame, batch: DataFrame, now_ms: int, sort_key_start: int | None = None) -> DataFrame:
+    """What ``upsert`` gives, for rows with a column ``slot`` on both sides that is the same for
+    all rows of one (provider, external_id). Stored rows and new ones take ways of their own,
+    each joined by slot and key, so a table dealt by slot isn't moved; the batch is."""
+    new = collapse(batch, ["slot"])
+    updated = _stored(items, ["slot"]).join(new, ["slot", *KEY], "left")
+    unstored = new.join(items.select("slot", *KEY), ["slot", *KEY], "left_anti")
+    known = items.select("slot", "provider", "external_id").distinct().withColumn("known", F.lit(True))
+    fresh = unstored.join(known, ["slot", "provider", "external_id"], "left")
+    blank = {f"old_{f.name}": F.lit(None).cast(f.dataType) for f in items.schema if f.name not in (*KEY, "slot")}
+    fresh = fresh.withColumns({**blank, "stored": F.lit(None).cast("boolean")})
+    if sort_key_start is not None:
+        updated = updated.withColumn("before", F.lit(None).cast("long"))
+        fresh = fresh.join(_new_keys(fresh, batch), KEY, "left")
+    out = _merged([c for c in items.columns if c != "slot"], new.columns, now_ms, sort_key_start)
+    return updated.select(*out, "slot").unionByName(fresh.select(*out, "slot"))
+
+
+def _stored(items: DataFrame, by: list[str]) -> DataFrame:
+    """``items`` as the old side of a merge."""
+    return items.select(*(F.col(c) if c in (*KEY, *by) else F.col(c).alias(f"old_{c}") for c in items.columns)).withColumn("stored", F.lit(True))
+
+
+def _new_keys(fresh: DataFrame, batch: DataFrame) -> DataFrame:
+    """(KEY, before): how many keys earlier new rows of the batch use up. Of several accounts of
+    one new id the first to arrive counts as new."""
+    ranked = fresh.select(*KEY, "first_seq", F.col("known").isNull().cast("long").alias("uses"))
+    firsts = Window.partitionBy("provider", "external_id").orderBy("first_seq")
+    ranked = ranked.withColumn("uses", F.when(F.row_number().over(firsts) == 1, F.col("uses")).otherwise(F.lit(0)))
+    low, high, n = batch.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    width = max(1, -(-(high - low + 1) * BUCKET // n)) if n else 1
+    return running(ranked, "first_seq", "uses", width).select(*KEY, "before")
+
+
+def _merged(columns: list[str], given: list[str], now_ms: int, sort_key_start: int | None) -> list[Column]:
+    """The columns of the merged table, from old_ columns, those ``given`` by the batch, and the
+    marks stored, first_seq and before."""
+    touched, fresh = F.col("first_seq").isNotNull(), F.col("stored").isNull()
     keep_vector = F.col("text_min").eqNullSafe(F.col("text_max")) & F.col("text_max").eqNullSafe(F.struct(*(F.col(f"old_{c}").alias(c) for c in TEXT_OF_VECTOR)))
     out = [F.col(c) for c in KEY]
-    for c in items.columns:
+    for c in columns:
         if c in KEY:
             continue
         o = F.col(f"old_{c}")
-        if c in REPLACED and c in new.columns:
+        if c in REPLACED and c in given:
             v = F.when(touched, F.col(c)).otherwise(o)
-        elif c in ("bookmarked_at", "published_at") and c in new.columns:
+        elif c in ("bookmarked_at", "published_at") and c in given:
             v = F.coalesce(F.col(c), o)
         elif c == "collection":
             v = F.when(touched, union_names(F.concat(F.coalesce(o, F.array().cast("array<string>")), F.coalesce("incoming", F.array().cast("array<string>"))))).otherwise(o)
@@ -86,7 +119,7 @@ def upsert(items: DataFrame, batch: DataFrame, now_ms: int, sort_key_start: int
         else:
             v = o
         out.append(v.alias(c))
-    return both.select(*out)
+    return out
 
 
 def running(rows: DataFrame, order: str, value: str, width: int = BUCKET) -> DataFrame:

@@ -16,9 +16,8 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 K1, B = 1.2, 0.75
-#: A query that uses the operator syntax: a quote, star, caret, brace or parenthesis, an
-#: upper-case operator word, or a column filter.
-OPERATORS = r"[\"*^{}()]|\b(AND|OR|NOT|NEAR)\b|\S:"
+#: A query that uses the operator syntax (fixed value).
+OPERATORS = r"""["():*^]|\b(AND|OR|NOT|NEAR)\b|\S:"""
 #: Rows of the list that a query without text degrades to.
 LIST_LIMIT = 1000
 #: Whether a row (provider, starred_at) may answer a query (starred, wanted: its provider).

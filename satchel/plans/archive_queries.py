@@ -9,12 +9,14 @@ from satchel.functions import text as X
 from satchel.operators import embedding as E
 from satchel.operators import parsing as P
 from satchel.operators import phrases as H
+from satchel.operators import state as M
 from satchel.operators import sync as I
 from satchel.operators import textsearch as S
 from satchel.operators import vectors as V
 from satchel.plans import queries as Q
 from satchel.plans.queries import NOW, query
 from satchel.session import shared_folder
+from satchel.sources.buckets import BucketTable
 from satchel.sources import tables as T
 from satchel.streaming import merge as G
 
@@ -194,6 +196,34 @@ def st2_stream_without_repeats(spark, d):
     return spark.read.schema(out.schema).parquet(path)
 
 
+# the item table in buckets
+
+_BY_BUCKET = [c for c in Q.UPSERTED if c != "sort_key"]
+
+
+def _bucket_table(spark, d):
+    items = A.items(spark, d).withColumn("bookmarked_at", F.lit(None).cast("long"))
+    return BucketTable(spark, _folder(spark, "buckets"), items.schema, 16).create(items)
+
+
+@query(Q._UPSERT, "items", "state")
+def m1_upsert_into_buckets(spark, d):
+    table = _bucket_table(spark, d)
+    table.merge(lambda old, new: M.upsert_slots(old, new, Q.NOW, Q.NOW), Q._batch(spark, d))
+    return Q.upserted(table.read())
+
+
+@query(f"SELECT {', '.join(_BY_BUCKET)} FROM ({Q._UPSERT})", "items", "state")
+def st1_stream_into_buckets(spark, d):
+    table, batch, path = _bucket_table(spark, d), Q._batch(spark, d), _folder(spark, "batches")
+    bounds = [0, *batch.approxQuantile("seq", [0.4, 0.7], 0.01), float("inf")]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        batch.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    G.merge_into(stream, table, lambda old, new: M.upsert_slots(old, new, Q.NOW), _folder(spark, "log"))
+    return Q.upserted(table.read()).select(*_BY_BUCKET)
+
+
 # embedding
 
 _HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 64"
@@ -201,7 +231,7 @@ _HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''),
 
 @query(rf"""WITH w AS (SELECT id, unnest(regexp_extract_all(lower(title), '[a-z0-9_]+')) AS w FROM items), b AS (SELECT id, {_HASH} AS bucket, count(*) AS n FROM w GROUP BY ALL),
 x AS (SELECT id, bucket, n FROM b UNION ALL SELECT id, 0, 1 FROM items WHERE id NOT IN (SELECT id FROM w))
-SELECT id, bucket::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 5) AS value FROM x""", "items")
+SELECT id, bucket::BIGINT AS bucket, round((n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE, 5) AS value FROM x""", "items")
 def e2_token_hash(spark, d):
     v = E.embedded(A.items(spark, d).select("id", F.col("title").alias("text")), "token-hash")
     return v.select("id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 5).alias("value"))
@@ -209,7 +239,7 @@ def e2_token_hash(spark, d):
 
 @query(rf"""WITH w AS (SELECT id, unnest(regexp_extract_all(lower(summary), '[a-z0-9_]+')) AS w FROM items), b AS (SELECT id, {_HASH} AS bucket, count(*) AS n FROM w GROUP BY ALL),
 x AS (SELECT id, bucket, n FROM b UNION ALL SELECT id, 0, 1 FROM items WHERE id NOT IN (SELECT id FROM w))
-SELECT id, bucket::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 5) AS value FROM x""", "items")
+SELECT id, bucket::BIGINT AS bucket, round((n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE, 5) AS value FROM x""", "items")
 def e2_token_hash_rows(spark, d):
     v = E.embedded(A.items(spark, d).select("id", F.col("summary").alias("text")), "token-hash")
     return v.select("id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 5).alias("value"))

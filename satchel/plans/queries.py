@@ -279,11 +279,17 @@ LEFT JOIN b ON b.provider = c.provider AND b.account = c.account AND b.external_
 LEFT JOIN coll ON coll.provider = coalesce(i.provider, c.provider) AND coll.account = coalesce(i.account, c.account) AND coll.external_id = coalesce(i.external_id, c.external_id)"""
 
 
+UPSERTED = ["provider", "account", "external_id", "url", "title", "duration", "bookmarked_at", "collection", "created_at", "sort_key", "starred_at", "deleted_at", "embedding_model"]
+
+
+def upserted(out: DataFrame) -> DataFrame:
+    return out.withColumn("collection", F.nullif(F.array_join("collection", "|"), F.lit(""))).withColumn("sort_key", F.col("sort_key").cast("long")).select(*UPSERTED)
+
+
 @query(_UPSERT, "items", "state")
 def m1_upsert(spark, d):
     items = A.items(spark, d).withColumn("bookmarked_at", F.lit(None).cast("long"))
-    out = M.upsert(items, _batch(spark, d), NOW, NOW)
-    return out.select("provider", "account", "external_id", "url", "title", "duration", "bookmarked_at", F.nullif(F.array_join("collection", "|"), F.lit("")).alias("collection"), "created_at", F.col("sort_key").cast("long").alias("sort_key"), "starred_at", "deleted_at", "embedding_model")
+    return upserted(M.upsert(items, _batch(spark, d), NOW, NOW))
 
 
 @query(f"""WITH {_BATCH}, ids AS (SELECT provider, external_id, count(*) AS n FROM batch GROUP BY ALL)

@@ -15,7 +15,7 @@ from satchel.sources import tables as T
 
 # search
 
-_OPERATORS = r"""regexp_matches(t, '["*^{}()]') OR regexp_matches(t, '(^|[^A-Za-z0-9_])(AND|OR|NOT|NEAR)($|[^A-Za-z0-9_])') OR regexp_matches(t, '\S:')"""
+_OPERATORS = r"""regexp_matches(t, '["():*^]') OR regexp_matches(t, '(^|[^A-Za-z0-9_])(AND|OR|NOT|NEAR)($|[^A-Za-z0-9_])') OR regexp_matches(t, '\S:')"""
 _PLAINED = "regexp_replace(summary, '[^\\x00-\\x7F]', '-', 'g')"
 
 

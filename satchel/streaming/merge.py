@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from satchel.operators import replay as Y
 from satchel.operators import state as M
 from satchel.operators import sync as I
+from satchel.sources.buckets import BucketTable
 
 WALK = ["provider", "account", "kind"]
 
@@ -32,6 +33,22 @@ def merge_stream(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataF
     return spark.read.schema(start.schema).parquet(f"{folder}/v{n}")
 
 
+def merge_into(stream: DataFrame, table: BucketTable, step: Callable[[DataFrame, DataFrame], DataFrame], log: str, keep: int = 2) -> BucketTable:
+    """``table`` after ``step(old, batch)`` for every batch that is there; a batch reads and
+    rewrites the buckets it touches, and ``keep`` versions stay (two at least: a batch that is
+    run twice starts from the version before its own). ``log`` is the checkpoint's folder."""
+    if keep < 2:
+        raise ValueError("the version before the last must stay")
+
+    def each(batch: DataFrame, n: int) -> None:
+        own = BucketTable(batch.sparkSession, table.folder, table.schema, table.slots)
+        own.merge(step, batch, n + 1)
+        own.expire(keep)
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return table
+
+
 def without_repeats(stream: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
     """One row per ``keys`` of rows at most ``late`` apart by ``at`` (a timestamp); state is let go
     as the watermark passes."""

@@ -60,3 +60,10 @@ def test_empty_vectors_and_blobs(spark):
     df = spark.createDataFrame([(1, [1.0, 2.5]), (2, None), (3, []), (4, [7.0])], "id int, v array<float>").coalesce(1)
     got = {r.id: (r.b and bytes(r.b), r.w) for r in df.select("id", T.blob_of_vector("v").alias("b")).withColumn("w", T.vector_of_blob("b")).collect()}
     assert got[1] == (np.array([1, 2.5], "<f4").tobytes(), [1.0, 2.5]) and got[2] == (None, None) and got[3][1] == [] and got[4][1] == [7.0]
+
+
+def test_changed_cells_without_other_columns(spark):
+    from satchel.operators import snapshots as D
+
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    assert D.changed_cells(df, df, ["k"]).collect() == []
