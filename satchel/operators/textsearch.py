@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from satchel.functions import text as X
-from satchel.session import in_blocks
+from satchel.session import in_blocks, written
 
 COLUMNS = ["title", "publication", "summary", "collection", "kind", "poster_name", "poster_handle"]
 #: Latin letters with marks and their plain forms (fixed values, same length).
@@ -29,13 +29,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), F.lit(TOKEN), F.lit(0))
 
 
+def _texts(items: DataFrame) -> dict[str, Column]:
+    """The indexed columns that ``items`` has, as text."""
+    return {c: (F.to_json(c) if c == "collection" else F.col(c)) for c in COLUMNS if c in items.columns}
+
+
+def places(items: DataFrame) -> DataFrame:
+    """(id, field, place, term): every token of the indexed columns, dealt by id."""
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), tokens(v).alias("terms")) for c, v in _texts(items).items()))
+    rows = spread(items.select("id", *(c for c in COLUMNS if c in items.columns))).select("id", F.explode(fields).alias("x"))
+    return rows.select("id", "x.field", F.posexplode("x.terms").alias("place", "term"))
+
+
 def postings(items: DataFrame) -> DataFrame:
     """(id, field, term, places): where each term stands in each indexed column. Deleted rows
     stay indexed. Missing columns are empty."""
-    as_text = {c: (F.to_json(c) if c == "collection" else F.col(c)) for c in COLUMNS if c in items.columns}
-    rows = spread(items.select("id", *as_text)).select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(v).alias("terms")) for c, v in as_text.items()))).alias("x"))
-    each = rows.select("id", "x.field", F.posexplode("x.terms").alias("place", "term"))
-    return each.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return places(items).groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def doc_stats(index: DataFrame) -> DataFrame:
@@ -48,14 +57,6 @@ def query_flags(queries: DataFrame) -> DataFrame:
     return queries.withColumn("starred", F.col("query").rlike(FLAG)).withColumn("text", F.trim(F.regexp_replace("query", FLAG, " "))).withColumn("operators", F.col("text").rlike(OPERATORS))
 
 
-def plain_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, k, term, prefix) of plain queries: every word is required, the last one is a
-    prefix; a word without a token is ignored."""
-    words = queries.select("query_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    each = words.select("query_id", F.size("w").alias("n"), F.posexplode("w").alias("k", "word"))
-    return each.select("query_id", "k", F.explode(tokens(F.col("word"))).alias("term"), (F.col("k") == F.col("n") - 1).alias("prefix"))
-
-
 def prefix_lengths(terms: DataFrame, word: str = "term") -> list[int]:
     """The distinct lengths of prefix terms: a few numbers, however many queries there are."""
     return sorted(r[0] for r in terms.where("prefix").select(F.length(word)).distinct().collect())
@@ -82,65 +83,102 @@ def widened(index: DataFrame, words: DataFrame, word: str = "word") -> DataFrame
     return exact.unionByName(asked.join(met, ["cut", "head"]).select(*exact.columns))
 
 
-def bm25(index: DataFrame, n_items: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id, score): rows with every term of the query, best first by higher score.
-    ``n_items`` is one row with n, all rows of the table, those without tokens included."""
-    tf = index.groupBy("id", "term").agg(F.sum(F.size("places")).alias("tf"))
-    lengths = doc_stats(index)
-    totals = lengths.agg(F.sum("length").alias("tokens")).join(n_items, F.lit(True)).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
-    wanted = widened(index, terms.withColumnRenamed("term", "word")).select("query_id", "k", "term").distinct()
-    hits = tf.join(wanted, "term").groupBy("query_id", "k", "id").agg(F.sum("tf").alias("tf"))
-    return _scores(hits.join(lengths, "id"), terms, totals)
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out evenly where it is read from fewer files than there are cores, as heavy
-    work on each row would run in a few tasks."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
-
-
-def scanned_scores(items: DataFrame, terms: DataFrame) -> DataFrame:
-    """What ``bm25`` gives, from ``items`` without an index: tokens that no query asks for go
-    before anything is shuffled. For a batch of queries; stored postings serve many batches."""
-    as_text = [F.to_json(c) if c == "collection" else F.col(c) for c in COLUMNS if c in items.columns]
-    rows = spread(items.select("id", *(c for c in COLUMNS if c in items.columns))).select("id", F.flatten(F.array(*map(tokens, as_text))).alias("words"))
-    totals = rows.agg(F.sum(F.size("words").cast("double")).alias("t"), F.count(F.lit(1)).alias("n")).select("n", (F.col("t") / F.col("n")).alias("avgdl"))
-    each = rows.select("id", F.size("words").alias("length"), F.explode("words").alias("word")).select("id", "length", F.explode(heads(F.col("word"), prefix_lengths(terms))).alias("h")).select("id", "length", "h.*")
-    asked = terms.distinct().select("query_id", "k", F.when(F.col("prefix"), F.length("term")).otherwise(0).alias("cut"), F.col("term").alias("head"))
-    hits = each.join(asked, ["cut", "head"]).groupBy("query_id", "k", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    return _scores(hits, terms, totals)
-
-
-def _scores(hits: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
-    """Scores of ``hits`` (query_id, k, id, length, tf) that have every word of their query."""
-    found = hits.groupBy("query_id", "k").agg(F.count(F.lit(1)).alias("df"))
-    needed = terms.groupBy("query_id").agg(F.countDistinct("k").alias("needed"))
+    """``df`` dealt out by id, so that what is made of a row, such as its postings, is grouped by
+    id without moving it again, and heavy work on rows read from a few files has all cores."""
+    return df.repartition("id")
+
+
+def asked_words(parts: DataFrame) -> DataFrame:
+    """(query_id, part, n, role, fields, first, k, word, prefix): the terms of ``parts``; the last
+    one of a part is a prefix where the part is."""
+    each = parts.select("query_id", "part", F.size("terms").alias("n"), "role", "fields", "first", "prefix", F.posexplode("terms").alias("k", "word"))
+    return each.withColumn("prefix", F.col("prefix") & (F.col("k") == F.col("n") - 1))
+
+
+#: The keys of a part's hits.
+_PART = ["query_id", "part", "role"]
+
+
+def found_in_items(items: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(singles, starts, lengths) of ``asked_words`` from one pass over the texts of ``items``:
+    where parts of one term stand and how often, where parts of several terms would start, and
+    (id, length) of all rows. Tokens that no query asks for go before anything is grouped."""
+    fields = [F.struct(F.lit(c).alias("field"), tokens(v).alias("terms")) for c, v in _texts(items).items()]
+    rows = spread(items.select("id", *(c for c in COLUMNS if c in items.columns))).select("id", F.array(*fields).alias("x"))
+    # a row's length goes along as a token of a column of its own
+    length = F.aggregate("x", F.lit(0), lambda n, x: n + F.size(x["terms"])).cast("string")
+    each = rows.select("id", F.explode(F.concat("x", F.array(F.struct(F.lit("#").alias("field"), F.array(length).alias("terms"))))).alias("x")).select("id", "x.field", F.posexplode("x.terms").alias("place", "term"))
+    own = F.array(F.struct(F.lit(-1).alias("cut"), F.lit("").alias("head")))
+    met = each.withColumn("h", F.explode(F.when(F.col("field") == "#", own).otherwise(heads(F.col("term"), prefix_lengths(words, "word")))))
+    cut, head = F.when(F.col("prefix"), F.length("word")).otherwise(0), F.col("word")
+    keys = words.select(cut.alias("c_"), head.alias("h_")).distinct().unionByName(words.sparkSession.range(1).select(F.lit(-1).alias("c_"), F.lit("").alias("h_")))
+    here = met.join(keys, (F.col("h.cut") == F.col("c_")) & (F.col("h.head") == F.col("h_")))
+    held = written(here.select("id", "field", "place", "c_", "h_", F.when(F.col("field") == "#", F.col("term").cast("int")).alias("length")), "asked_places")
+    lengths = held.where("c_ = -1").select("id", "length")
+    asked = words.withColumn("c_", cut).withColumn("h_", head)
+    at = held.where("c_ >= 0").drop("length")
+    per = at.groupBy("id", "field", "c_", "h_").agg(F.count(F.lit(1)).alias("uses"), F.min("place").alias("lead"))
+    singles = per.join(asked.where("n = 1"), ["c_", "h_"]).select(*_PART, "fields", "first", "id", "field", "uses", "lead")
+    starts = at.join(asked.where("n > 1"), ["c_", "h_"]).select(*_PART, "fields", "first", "n", "k", "id", "field", (F.col("place") - F.col("k")).alias("start"))
+    return singles, starts, lengths
+
+
+def found_in_index(index: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``found_in_items`` gives, from stored ``postings``."""
+    met = index.join(widened(index, words), "term")
+    singles = met.where("n = 1").groupBy(*_PART, "fields", "first", "id", "field").agg(F.sum(F.size("places")).alias("uses"), F.min(F.get("places", F.lit(0))).alias("lead"))
+    starts = met.where("n > 1").select(*_PART, "fields", "first", "n", "k", "id", "field", F.explode(F.transform("places", lambda p: p - F.col("k"))).alias("start"))
+    return singles, starts, doc_stats(index)
+
+
+def part_hits(singles: DataFrame, starts: DataFrame) -> DataFrame:
+    """(query_id, part, role, id, tf): rows in which the terms of a part stand side by side in one
+    of its columns, and how often."""
+    mine = F.col("fields").isNull() | F.array_contains("fields", F.col("field"))
+    one = singles.where(mine & (~F.col("first") | (F.col("lead") == 0))).select(*_PART, "id", F.when(F.col("first"), 1).otherwise(F.col("uses")).alias("tf"))
+    met = starts.where(mine & (~F.col("first") | (F.col("start") == 0))).groupBy(*_PART, "n", "id", "field", "start").agg(F.countDistinct("k").alias("got"))
+    return one.unionByName(met.where("got = n").select(*_PART, "id", F.lit(1).cast("long").alias("tf"))).groupBy(*_PART, "id").agg(F.sum("tf").alias("tf"))
+
+
+def scores(hits: DataFrame, lengths: DataFrame, n_items: DataFrame, parts: DataFrame) -> DataFrame:
+    """(query_id, id, score) of rows that have every part of role all, one of role any if there
+    are such, and none of role none. ``n_items`` is one row with n, all rows of the table."""
+    found = hits.where("role <> 'none'").groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("df"))
+    asked = parts.groupBy("query_id").agg(F.count_if(F.col("role") == "all").alias("n_all"), F.count_if(F.col("role") == "any").alias("n_any"))
+    totals = lengths.agg(F.sum(F.col("length").cast("double")).alias("t")).join(n_items, F.lit(True)).select("n", (F.col("t") / F.col("n")).alias("avgdl"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = hits.join(found, ["query_id", "k"]).join(F.broadcast(totals), F.lit(True))
-    return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("got")).join(needed, "query_id").where("got = needed").select("query_id", "id", "score")
+    scored = hits.join(found, ["query_id", "part"], "left").join(lengths, "id").join(F.broadcast(totals), F.lit(True))
+    is_a = lambda role: F.count_if(F.col("role") == role)
+    got = scored.groupBy("query_id", "id").agg(F.sum(F.when(F.col("role") != "none", part)).alias("score"), is_a("all").alias("g_all"), is_a("any").alias("g_any"), is_a("none").alias("g_none"))
+    return got.join(asked, "query_id").where("g_all = n_all AND (n_any = 0 OR g_any > 0) AND g_none = 0 AND g_all + g_any > 0").select("query_id", "id", "score")
 
 
 def search(items: DataFrame, queries: DataFrame, limit: int = 200, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank, score) of ``queries`` (query_id, query and, optionally, provider; null
-    is any) over live rows, starred ones if flagged. Plain text is ranked by score, with the
-    statistics of the whole table; text in the operator syntax is served by ``substring_search``
-    and a blank or flags-only query by the newest LIST_LIMIT rows whatever ``limit`` is, both
-    without a score. Scores are rounded, ties go by id. ``index`` are stored ``postings`` of
-    ``items``; without them the table is scanned once for the whole batch."""
+    is any) over live rows, starred ones if flagged. Plain text and lists of units in the
+    operator syntax (``querytext``) are ranked by score, with the statistics of the whole table;
+    other text in the operator syntax is served by ``substring_search`` and a blank or flags-only
+    query by the newest LIST_LIMIT rows whatever ``limit`` is, both without a score. Scores are
+    rounded, ties go by id. ``index`` are stored ``postings`` of ``items``; without them the
+    table's texts are read for the whole batch."""
+    from satchel.operators.querytext import exploded, with_parts
+
     given = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), (F.col("provider") if "provider" in queries.columns else F.lit(None).cast("string")).alias("wanted"))
     flagged = query_flags(given)
     blank = X.trim_all(F.col("text")) == ""
-    plain = flagged.where(~blank & ~F.col("operators"))
-    terms = plain_terms(plain)
-    found = scanned_scores(items, terms) if index is None else bm25(index, items.agg(F.count(F.lit(1)).alias("n")), terms)
-    scored = found.withColumn("score", F.round("score", 6))
+    asked = written(with_parts(flagged.where(~blank)), "asked")
+    parts = exploded(asked)
+    words = asked_words(parts)
+    singles, starts, lengths = found_in_items(items, words) if index is None else found_in_index(index, words)
+    hits = written(part_hits(singles, starts), "part_hits")
+    scored = scores(hits, lengths, items.agg(F.count(F.lit(1)).alias("n")), parts).withColumn("score", F.round("score", 6))
     live = items.select("id", "starred_at", "deleted_at", "provider").where("deleted_at IS NULL")
-    allowed = scored.join(live, "id").join(plain.select("query_id", "starred", "wanted"), "query_id").where(_ALLOWED)
+    allowed = scored.join(live, "id").join(asked.select("query_id", "starred", "wanted"), "query_id").where(_ALLOWED)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = allowed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "id", "rank", "score")
-    unscored = substring_search(items, flagged.where(~blank & F.col("operators")), limit).unionByName(_listed(items, flagged.where(blank)))
+    unscored = substring_search(items, asked.where("parts IS NULL"), limit).unionByName(_listed(items, flagged.where(blank)))
     return ranked.unionByName(unscored.withColumn("score", F.lit(None).cast("double")))
 
 

@@ -369,7 +369,7 @@ def s4_flags_rows(spark, d):
 #: Queries of all classes (query, provider, class, pattern of the fallback).
 MIXED = [
     ("the of", None, "plain", None), ("the of", "src8", "plain", None), ("is:starred the", None, "plain", None), ('["upvoted', None, "operators", '%["upvoted%'), ('["topic', "src8", "operators", '%["topic%'), ('is:starred ["topic', None, "operators", '%["topic%'),
-    ("the AND of", None, "operators", "%the and of%"), ("", None, "list", None), ("  ", "src8", "list", None), ("is:starred", None, "list", None), ("IS:STARRED ", "src8", "list", None),
+    ("the AND (of", None, "operators", "%the and (of%"), ("", None, "list", None), ("  ", "src8", "list", None), ("is:starred", None, "list", None), ("IS:STARRED ", "src8", "list", None),
 ]
 _LITERAL = lambda v: "NULL" if v is None else f"'{v}'"
 _MIXED_Q = "qs(query_id, query) AS (VALUES " + ", ".join(f"({k}, {_LITERAL(m[0])})" for k, m in enumerate(MIXED)) + ")"

@@ -51,6 +51,61 @@ def s2_every_fiftieth_row(spark, d):
     return S.search(items, rows_as_queries(items))
 
 
+# typed queries: a phrase, a prefix, a column, a word of two tokens, AND, OR, NOT, columns with a
+# phrase that goes on, an unknown column, a start mark, a column beside a plain word
+
+_PAIR = """list_filter(range(1, len(ws)), lambda i: regexp_full_match(ws[i], '[a-z]+') AND regexp_full_match(ws[i + 1], '[a-z]+'))"""
+_FORMS = ["concat('\"', a, ' ', b, '\"')", "concat(substr(a, 1, 3), '*')", "concat('title:', a)", "concat(a, '-', b)", "concat(a, ' AND ', l)", "concat(a, ' OR ', l)", "concat(l, ' NOT ', a)", "concat('{title summary} : \"', a, ' ', b, '\"*')", "concat('nosuch:', a)", "concat('^', a)", "concat('Kind:', kind, ' ', l)"]
+_PART_SQL = lambda c, part, terms, role="all", fields="NULL", prefix="false", first="false": f"SELECT id AS query_id, {part} AS part, '{role}' AS role, {terms} AS terms, {fields}::VARCHAR[] AS fields, {prefix} AS prefix, {first} AS first FROM base WHERE c = {c}"
+_PARTS_SQL = " UNION ALL ".join([
+    _PART_SQL(0, 0, "[a, b]"), _PART_SQL(1, 0, "[substr(a, 1, 3)]", prefix="true"), _PART_SQL(2, 0, "[a]", fields="['title']"), _PART_SQL(3, 0, "[a, b]", prefix="true"),
+    _PART_SQL(4, 0, "[a]"), _PART_SQL(4, 1, "[l]"), _PART_SQL(5, 0, "[a]", "any"), _PART_SQL(5, 1, "[l]", "any"), _PART_SQL(6, 0, "[l]"), _PART_SQL(6, 1, "[a]", "none"),
+    _PART_SQL(7, 0, "[a, b]", fields="['title', 'summary']", prefix="true"), _PART_SQL(9, 0, "[a]", first="true"), _PART_SQL(10, 0, "[kind]", fields="['kind']"), _PART_SQL(10, 1, "[l]"),
+])
+_TYPED = f"""WITH w AS (SELECT id, kind, string_split_regex(summary, '\s+') AS ws, {_LONGEST} AS longest FROM items WHERE id % 50 = 0),
+base AS (SELECT id, kind, (id // 50) % 11 AS c, ws[p[len(p) // 2 + 1]] AS a, ws[p[len(p) // 2 + 1] + 1] AS b, longest[1].w AS l FROM (SELECT *, {_PAIR} AS p FROM w) WHERE len(p) > 0),
+parts AS ({_PARTS_SQL}),
+tl AS (SELECT id, field, {Q._TOK} AS toks FROM (SELECT id, 'title' AS field, title AS t FROM items UNION ALL SELECT id, 'summary', summary FROM items UNION ALL SELECT id, 'collection', concat('["', label, '"]') FROM items UNION ALL SELECT id, 'kind', kind FROM items)),
+pp AS (SELECT id, field, unnest(toks) AS term, generate_subscripts(toks, 1) AS place FROM tl),
+occ AS (SELECT query_id, part, role, p.id, count(*)::DOUBLE AS tf FROM parts q JOIN pp p ON CASE WHEN len(terms) = 1 AND prefix THEN starts_with(p.term, terms[1]) ELSE p.term = terms[1] END JOIN tl t ON t.id = p.id AND t.field = p.field
+ WHERE (fields IS NULL OR list_contains(fields, p.field)) AND (NOT first OR place = 1) AND (len(terms) = 1 OR coalesce(CASE WHEN prefix THEN starts_with(toks[place + 1], terms[2]) ELSE toks[place + 1] = terms[2] END, false)) GROUP BY ALL),
+len_ AS (SELECT id, sum(len(toks)) AS length FROM tl GROUP BY id), tot AS (SELECT (SELECT count(*) FROM items) AS n, (SELECT sum(length) FROM len_) / (SELECT count(*) FROM items)::DOUBLE AS avgdl),
+df AS (SELECT query_id, part, count(*) AS df FROM occ GROUP BY ALL),
+sc AS (SELECT query_id, id, round(sum(CASE WHEN role <> 'none' THEN greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl)) END), 6) AS score, count(*) FILTER (role = 'all') AS g_all, count(*) FILTER (role = 'any') AS g_any, count(*) FILTER (role = 'none') AS g_none
+ FROM occ JOIN df USING (query_id, part) JOIN len_ USING (id), tot GROUP BY ALL),
+asked AS (SELECT query_id, count(*) FILTER (role = 'all') AS n_all, count(*) FILTER (role = 'any') AS n_any FROM parts GROUP BY ALL)
+SELECT query_id, id, rank, score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM sc JOIN asked USING (query_id) JOIN items i USING (id)
+ WHERE i.deleted_at IS NULL AND g_all = n_all AND (n_any = 0 OR g_any > 0) AND g_none = 0) WHERE rank <= 200
+UNION ALL SELECT query_id, id, rank, NULL FROM (SELECT b.id AS query_id, i.id, row_number() OVER (PARTITION BY b.id ORDER BY coalesce(i.sort_key, i.created_at) DESC, i.id) AS rank FROM base b JOIN items i ON b.c = 8 AND i.deleted_at IS NULL
+ AND (contains(lower(i.title), concat('nosuch:', b.a)) OR contains(lower(i.summary), concat('nosuch:', b.a)))) WHERE rank <= 200"""
+
+
+def typed_queries(items):
+    """A query of each form from the words of every fiftieth row."""
+    # exploded, so that a text is split once and not for each of its words
+    words = F.explode(F.array(F.split("summary", r"\s+")))
+    plain = lambda w: F.coalesce(w.rlike("^[a-z]+$"), F.lit(False))
+    at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda k: plain(F.get("ws", k)) & plain(F.get("ws", k + 1)))
+    longest = F.array_min(F.transform(F.filter("ws", lambda w: w.rlike("^[a-z]+$")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    rows = items.where("id % 50 = 0").select("id", "kind", words.alias("ws")).select("*", at.alias("p")).where(F.size("p") > 0)
+    k = F.get("p", F.floor(F.size("p") / 2).cast("int"))
+    base = rows.select("id", "kind", F.get("ws", k).alias("a"), F.get("ws", k + 1).alias("b"), longest["w"].alias("l"))
+    return base.select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.expr, _FORMS)), (F.floor(F.col("id") / 50) % 11 + 1).cast("int")).alias("query"))
+
+
+@query(_TYPED, "items")
+def s5_s8_typed_queries(spark, d):
+    items = A.items(spark, d)
+    return S.search(items, typed_queries(items))
+
+
+@query(_TYPED, "items")
+def s5_s8_typed_queries_by_postings(spark, d):
+    items, path = A.items(spark, d), _folder(spark, "postings")
+    S.postings(items).write.parquet(path)
+    return S.search(items, typed_queries(items), index=spark.read.parquet(path))
+
+
 _MODE = "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'vector' ELSE 'hybrid' END"
 
 
