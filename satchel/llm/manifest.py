@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +168,7 @@ def ways_up(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(tree, place, root, before, after) of ``nodes`` (tree, place, total, digest): the root of
     their tree and the digests beside their way up to it."""
     blocked, _ = _blocks(nodes.select("tree", "place", "total", "digest"), levels)
-    own = written(arrow_groups(blocked, "pack", partial(_ways, levels=levels), "tree long, place long, block long, root string, before array<string>, after array<string>"), "ways")
+    own = written(arrow_groups(blocked, "pack", lambda t: _ways(t, levels), "tree long, place long, block long, root string, before array<string>, after array<string>"), "ways")
     if nodes.where(F.col("total") > FAN**levels).isEmpty():
         return own.drop("block")
     above = ways_up(block_roots(nodes, levels), levels).select("tree", F.col("place").alias("block"), F.col("root").alias("top"), F.col("before").alias("b"), F.col("after").alias("a"))
@@ -179,7 +178,7 @@ def ways_up(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
 def block_roots(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(tree, place, digest, total): the roots of the blocks of ``nodes`` as nodes of the tree above."""
     blocked, _ = _blocks(nodes.select("tree", "place", "total", "digest"), levels)
-    return written(arrow_groups(blocked, "pack", partial(_roots, levels=levels), "tree long, place long, digest string, total long"), "block_roots")
+    return written(arrow_groups(blocked, "pack", lambda t: _roots(t, levels), "tree long, place long, digest string, total long"), "block_roots")
 
 
 def _versions(table: pa.Table, levels: int) -> pa.Table:
@@ -230,7 +229,7 @@ def manifest(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
     whole = ways.join(upper, "tree").select("tree", F.col("place").alias("block"), F.col("r").alias("root"), F.col("root").alias("subroot"), F.concat("before", "b").alias("before"), F.concat("after", "a").alias("after"))
     blocked, packs = _blocks(leaves, levels)
     members = blocked.unionByName(in_packs(whole, packs), allowMissingColumns=True)
-    return arrow_groups(members, "pack", partial(_versions, levels=levels), "id long, leaf string, subroot string, root string, proof string, folded_root string")
+    return arrow_groups(members, "pack", lambda t: _versions(t, levels), "id long, leaf string, subroot string, root string, proof string, folded_root string")
 
 
 def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
