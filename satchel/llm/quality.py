@@ -3,31 +3,37 @@
 Trusted positives are labelled documents of quality 1; unlabelled data is web text, whatever
 its labels; labels of negative rows are never read. A logistic model on features of the
 whole text minimises the non-negative unbiased risk: prior * R(positives as +) + max(0,
-R(unlabelled as -) - prior * R(positives as -)); when the second part goes below zero, the
-step takes it back up instead.
-
-The class prior is estimated from positives and unlabelled rows alone: a classifier of
+R(unlabelled as -) - prior * R(positives as -)). That is the largest of first part + k * second
+part over k from 0 to 1, and with the logistic loss each of those is convex. So its least is
+found exactly: Newton steps find the least for one k, and k is halved in on the one at whose
+least the second part is zero (1, if it isn't below zero there); of all parameters tried,
+those of the least risk are taken.
+
+All unlabelled rows count in every step: their features are stored once, and loss, gradient
+and curvature are sums over partitions, added up in two levels, of which the driver sees a
+few rows. One documented bound is left, on labelled rows: about ``FIT_POSITIVES`` positives
+are fitted, those whose hash is below a threshold that follows from their count.
+
+The class prior is estimated from positives and all unlabelled rows alone: a classifier of
 positives against unlabelled rows scores each fifth of them after learning from the rest;
 of all score thresholds, the share of unlabelled rows above it over the share of positives
 above it bounds the prior from above, and the bound is taken where it is lowest once its
 sampling error is added (best-bin estimation).
 
-Two documented bounds on what is fitted: about ``FIT_POSITIVES`` labelled positives and about
-``FIT_UNLABELLED`` unlabelled rows, those whose hash is below a threshold that follows from
-their count, so choosing them moves no text. Scoring covers every row. Only text is a
-feature: shares of character classes and of repetition, and hashed two-byte counts.
+Only text is a feature: shares of character classes and of repetition, and hashed two-byte
+counts.
 
 Null and empty texts are scored by the model's own value for no text; repeated rows and
 equal texts have equal scores; labels of unknown documents are ignored; several labels of
-one document count as its largest; one row of a doc_id is a positive, one of each distinct
-(doc_id, text) is unlabelled; other columns pass through ``score`` unless named as an
-output; an empty table gives no rows; without positives or unlabelled rows every score is
-the prior, 0.5 where nothing tells it.
+one document count as its largest; one row of a doc_id is a positive, every row that isn't
+held out is unlabelled (one of a null doc_id isn't held out); other columns pass through
+``score`` unless named as an output; an empty table gives no rows; without positives or
+unlabelled rows every score is the prior, 0.5 where nothing tells it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,10 +42,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from satchel.llm.shared import append_columns, arrow_rows, byte_pieces, free_name, written
+from satchel.llm.shared import append_columns, arrow_groups, arrow_rows, bounded, byte_pieces, free_name, written
 
 FIT_POSITIVES = 8_000
-FIT_UNLABELLED = 16_000
 HASHED = 256
 PIECE = 1 << 20
 DENSE = 24
@@ -101,105 +106,120 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.w is None:
             return np.full(len(x), self.prior)
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.w + self.b
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return sigmoid(standard(x, self.mean, self.scale) @ np.append(self.w, self.b))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def losses(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic loss of scores ``z`` if they should be positive, and if negative."""
-    return np.logaddexp(0, -z), np.logaddexp(0, z)
-
-
-def risk_parts(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
-    """The two parts of the unbiased risk: of positives as such, and of negatives, which is what
-    unlabelled rows as negatives exceed positives as negatives by."""
-    as_positive, as_negative = losses(zp)
-    return prior * as_positive.mean(), losses(zu)[1].mean() - prior * as_negative.mean()
-
-
-def step_gradients(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the non-negative risk in each score: the whole risk's while its second part isn't
-    below zero, else that of the second part with its sign turned."""
-    sp, su = sigmoid(zp), sigmoid(zu)
-    if risk_parts(zp, zu, prior)[1] >= 0:
-        return -prior / len(zp) * np.ones_like(sp), su / len(zu)
-    return prior * sp / len(zp), -su / len(zu)
-
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features and a last column of ones."""
+    return np.hstack([np.clip((x.astype(np.float64) - mean) / scale, -8, 8), np.ones((len(x), 1))])
 
-def adam(gradient, n: int, steps: int, rate: float) -> np.ndarray:
-    """Parameters by Adam from zeros, averaged over the later half of ``steps``."""
-    x, m, v, mean = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    for t in range(1, steps + 1):
-        g = gradient(x)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        if 2 * t > steps:
-            mean += (x - mean) / (t - steps // 2)
-    return mean
 
+def moments(x: np.ndarray) -> np.ndarray:
+    """Number of rows, sums and sums of squares of the features ``x``."""
+    wide = x.astype(np.float64)
+    return np.concatenate([[len(x)], wide.sum(0), (wide * wide).sum(0)])
 
-def standard(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    both = np.concatenate(parts).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    return mean, scale, [np.clip((p - mean) / scale, -8, 8) for p in parts]
 
+def sums(x: np.ndarray, thetas: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """For each row of parameters ``thetas`` the number of standardised rows ``x``, their loss as
+    negatives, its gradient and its curvature, all summed, in one flat array; the rows of
+    model k are those whose fold ``of`` isn't k (all rows, if None)."""
+    out = []
+    for k, theta in enumerate(thetas):
+        mine = x if of is None else x[of != k]
+        z = (mine @ theta.astype(x.dtype)).astype(np.float64)
+        s = sigmoid(z)
+        out += [[len(mine), np.logaddexp(0, z).sum()], mine.T @ s.astype(x.dtype), (mine.T @ (mine * (s * (1 - s)).astype(x.dtype)[:, None])).ravel()]
+    return np.concatenate(out, dtype=np.float64)
 
-def draw(rng: np.random.Generator, x: np.ndarray, most: int = 1024) -> np.ndarray:
-    return x[rng.integers(0, len(x), min(most, len(x)))]
 
+def unpacked(total: np.ndarray, models: int, d: int) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
+    """(rows, loss, gradient, curvature) of each model in ``sums``."""
+    return [(e[0], e[1], e[2 : 2 + d], e[2 + d :].reshape(d, d)) for e in total.reshape(models, size_of(d))]
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 2000, rate: float = 0.01, decay: float = 1e-3, seed: int = 0) -> Model:
-    """Minimise the non-negative risk with the logistic loss by Adam over random batches."""
-    if not len(positive) or not len(unlabelled):
-        return Model(prior)
-    mean, scale, (p, u) = standard(positive, unlabelled)
-    rng = np.random.default_rng(seed)
 
-    def gradient(x: np.ndarray) -> np.ndarray:
-        xp, xu = draw(rng, p), draw(rng, u)
-        gp, gu = step_gradients(xp @ x[:-1] + x[-1], xu @ x[:-1] + x[-1], prior)
-        return np.append(xp.T @ gp + xu.T @ gu + decay * x[:-1], gp.sum() + gu.sum())
+def size_of(d: int) -> int:
+    """Numbers that ``sums`` gives for a model of ``d`` parameters."""
+    return 2 + d + d * d
 
-    x = adam(gradient, p.shape[1] + 1, steps, rate)
-    return Model(prior, mean, scale, x[:-1], float(x[-1]))
 
-
-def best_bin(sp: np.ndarray, su: np.ndarray, slack: float = 0.01, delta: float = 0.1) -> float:
-    """The class prior from scores of positives and unlabelled rows (see above)."""
+def risk_parts(zp: np.ndarray, n: float, loss: float, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk: of positives as such, and of negatives, which is what
+    ``n`` unlabelled rows as negatives (their ``loss``, summed) exceed positives as negatives by."""
+    return prior * np.logaddexp(0, -zp).mean(), loss / n - prior * np.logaddexp(0, zp).mean()
+
+
+#: Newton steps at most, the least change of a parameter that a further one is made for, and
+#: halvings of the second part's weight.
+STEPS, LEAST_STEP, HALVINGS = 10, 0.03, 6
+Summed = Callable[[np.ndarray], np.ndarray]
+
+
+def minimise(positives: list[np.ndarray], summed: Summed, prior: float, decay: float, k: float = 1.0, start: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """(parameters, non-negative risks with their second parts) at the least of first part + ``k`` * second part,
+    of models that share the passes of ``summed``; ``positives`` are the standardised positives
+    of each. A step that raises the risk is halved."""
+    d, models = positives[0].shape[1], len(positives)
+    flat = np.append(np.full(d - 1, decay), 1e-6)
+
+    def at(theta: np.ndarray, p: np.ndarray, n: float, loss: float, gradient: np.ndarray, curve: np.ndarray) -> tuple:
+        z = p @ theta
+        q = sigmoid(z)
+        first, second = risk_parts(z, n, loss, prior)
+        slope = k * gradient / n - prior * (1 - q + k * q) @ p / len(p) + flat * theta
+        # of a positive the loss as such less that as a negative is minus its score: no curvature
+        bend = k * curve / n + prior * (1 - k) * (p.T @ (p * (q * (1 - q))[:, None])) / len(p) + np.diag(flat)
+        weight = 0.5 * (flat * theta * theta).sum()
+        return first + k * second + weight, slope, bend, (first + max(0.0, second) + weight, second)
+
+    best = np.zeros((models, d)) if start is None else start.copy()
+    now = [at(t, p, *of) for t, p, of in zip(best, positives, unpacked(summed(best), models, d), strict=True)]
+    step = [-np.linalg.solve(bend, slope) for _, slope, bend, _ in now]
+    for _ in range(STEPS):
+        tried = best + np.stack(step)
+        then = [at(t, p, *of) for t, p, of in zip(tried, positives, unpacked(summed(tried), models, d), strict=True)]
+        for m in range(models):
+            if then[m][0] <= now[m][0]:
+                best[m], now[m] = tried[m], then[m]
+                step[m] = -np.linalg.solve(now[m][2], now[m][1])
+            else:
+                step[m] = step[m] / 4
+        if max(np.abs(x).max() for x in step) < LEAST_STEP:
+            break
+    return best, [parts for *_, parts in now]
+
+
+def least_risk(p: np.ndarray, summed: Summed, prior: float, decay: float) -> np.ndarray:
+    """The parameters of least non-negative risk (see above)."""
+    found, ((risk, second),) = minimise([p], summed, prior, decay)
+    if second >= 0:
+        return found[0]
+    low, high, best, found = 0.0, 1.0, (risk, found[0]), np.zeros((1, p.shape[1]))
+    for _ in range(HALVINGS):
+        k = (low + high) / 2
+        found, ((risk, second),) = minimise([p], summed, prior, decay, k, found)
+        best = min(best, (risk, found[0]), key=lambda x: x[0])
+        low, high = (low, k) if second < 0 else (k, high)
+    return best[1]
+
+
+def best_bin(sp: np.ndarray, above: Callable[[np.ndarray], np.ndarray], n: float, slack: float = 0.01, delta: float = 0.1) -> float:
+    """The class prior from scores ``sp`` of positives and of ``n`` unlabelled rows (see above);
+    ``above`` gives, for cuts, how many of those score as much at least."""
     cut = np.unique(sp)
     qp = 1 - np.searchsorted(np.sort(sp), cut) / len(sp)
-    qu = 1 - np.searchsorted(np.sort(su), cut) / len(su)
-    error = sum(np.sqrt(np.log(4 / delta) / (2 * len(s))) for s in (sp, su))
+    qu = above(cut) / n
+    error = sum(np.sqrt(np.log(4 / delta) / (2 * m)) for m in (len(sp), n))
     k = int(np.argmin((qu + (1 + slack) * error) / qp))
     return float(min(1.0, qu[k] / qp[k]))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5, steps: int = 400, seed: int = 0) -> float:
-    """The share of positives among unlabelled rows; 0.5 with fewer than two of either."""
-    if min(len(positive), len(unlabelled)) < 2:
-        return 0.5
-    _, _, (p, u) = standard(positive, unlabelled)
-    rng, sp, su = np.random.default_rng(seed), np.empty(len(p)), np.empty(len(u))
-    for fold in range(folds):
-        mp, mu = np.arange(len(p)) % folds == fold, np.arange(len(u)) % folds == fold
-        tp, tu = p[~mp], u[~mu]
-
-        def gradient(x: np.ndarray, tp=tp, tu=tu) -> np.ndarray:
-            xp, xu = draw(rng, tp), draw(rng, tu)
-            gp, gu = (sigmoid(xp @ x[:-1] + x[-1]) - 1) / len(xp), sigmoid(xu @ x[:-1] + x[-1]) / len(xu)
-            return np.append(xp.T @ gp + xu.T @ gu + 1e-2 * x[:-1], gp.sum() + gu.sum())
-
-        x = adam(gradient, p.shape[1] + 1, steps, 0.01)
-        sp[mp], su[mu] = p[mp] @ x[:-1] + x[-1], u[mu] @ x[:-1] + x[-1]
-    return best_bin(sp, su)
-
-
 def held_out(doc_id) -> F.col:
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def chosen(df: DataFrame, most: int, *of: str) -> DataFrame:
@@ -210,29 +230,85 @@ def chosen(df: DataFrame, most: int, *of: str) -> DataFrame:
     return df if n <= most else df.where(place < most / n)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED) -> Model:
+#: Groups of tasks whose sums are added before the driver sees them; folds of the prior's models;
+#: weight decay of the model and of those.
+GROUPS, FOLDS, DECAY, DECAY_OF_PRIOR = 16, 5, 0.03, 0.03
+
+
+def added(df: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``of`` (features, folds) over the batches of ``df`` (x binary, fold int): summed
+    within tasks, then in groups of tasks, then here. How rows are dealt to tasks may show in
+    the last bits."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(size)
+        for b in batches:
+            total += of(np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(len(b), -1), b.column("fold").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([total.tobytes()])], names=["g", "x"])
+
+    def groups(table: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for x in sorted(table.column("x").to_pylist()):
+            total += np.frombuffer(x)
+        return pa.table({"x": pa.array([total.tobytes()])})
+
+    found = arrow_groups(arrow_rows(df.select("x", "fold"), rows, "g int, x binary"), "g", groups, "x binary").collect()
+    return np.sum([np.frombuffer(x) for x in sorted(bytes(r.x) for r in found)], axis=0) if found else np.zeros(size)
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), from rows that
     are not held out."""
     ids = labels.where((F.col("quality") >= 1) & ~held_out("doc_id")).select("doc_id").distinct()
     ids = written(chosen(ids, positives, "doc_id"), "positive_ids")
-    open_docs = docs.select("doc_id", "text").where(~F.coalesce(held_out("doc_id"), F.lit(False)))
-    text = F.coalesce("text", F.lit(""))
-    positive = open_docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(text).alias("text"))
-    some = chosen(open_docs, unlabelled, "doc_id", "text").select("doc_id", text.alias("text")).distinct()
+    open_docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_out("doc_id"))
+    positive = open_docs.join(bounded(ids, 16), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in features(b.column("text"))], pa.binary()), b.column("fold")], names=["x", "fold"])
+
+    def folded(df: DataFrame) -> DataFrame:
+        fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int")
+        return arrow_rows(df.select("text", fold.alias("fold")), rows, "x binary, fold int")
+
+    found = sorted((bytes(r.x), r.fold) for r in folded(positive).collect())
+    p, of = np.frombuffer(b"".join(x for x, _ in found), np.float32).reshape(-1, DENSE + HASHED), np.array([f for _, f in found], np.int64)
+    u = written(folded(open_docs), "unlabelled_features")
+    width = DENSE + HASHED
+    m = added(u, lambda x, _: moments(x), 1 + 2 * width)
+    if not len(p) or not m[0]:
+        return Model(0.5)
+    m = m + moments(p)
+    mean = m[1 : 1 + width] / m[0]
+    scale = np.sqrt(np.maximum(m[1 + width :] / m[0] - mean**2, 0)) + 1e-3
+    sp = standard(p, mean, scale)
+    prior = prior_of(u, sp, of, mean, scale)
+    narrow = lambda x: standard(x, mean, scale).astype(np.float32)
+    theta = least_risk(sp, lambda t: added(u, lambda x, _: sums(narrow(x), t), size_of(width + 1)), prior, DECAY)
+    return Model(prior, mean, scale, theta[:-1], float(theta[-1]))
+
+
+def prior_of(u: DataFrame, sp: np.ndarray, of: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> float:
+    """The share of positives among the rows of ``u`` (x, fold), from standardised positives ``sp``
+    and their folds; 0.5 where a fold of either has no rows."""
+    counts = added(u, lambda _, f: np.bincount(f, minlength=FOLDS).astype(float), FOLDS)
+    if min(*counts, *np.bincount(of, minlength=FOLDS)) < 1:
+        return 0.5
+    size = FOLDS * size_of(sp.shape[1])
+    thetas = minimise([sp[of != k] for k in range(FOLDS)], lambda t: added(u, lambda x, f: sums(standard(x, mean, scale).astype(np.float32), t, f), size), 1.0, DECAY_OF_PRIOR)[0]
+    score_of = lambda x, f: np.einsum("ij,ij->i", x, thetas[f])
+
+    def above(cut: np.ndarray) -> np.ndarray:
+        def higher(x: np.ndarray, f: np.ndarray) -> np.ndarray:
+            at = np.bincount(np.searchsorted(cut, score_of(standard(x, mean, scale), f), side="right"), minlength=len(cut) + 1)
+            return at[1:][::-1].cumsum()[::-1].astype(float)
 
-    def gathered(df: DataFrame) -> np.ndarray:
-        found = sorted(bytes(r.x) for r in arrow_rows(df.select("text"), rows, "x binary").collect())
-        return np.frombuffer(b"".join(found), np.float32).reshape(-1, DENSE + HASHED)
+        return added(u, higher, len(cut))
 
-    p, u = gathered(positive), gathered(some)
-    rng = np.random.default_rng(0)
-    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
-    return fit(p, u, estimate_prior(p, u))
+    return best_bin(score_of(sp, of), above, float(counts.sum()))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
