@@ -18,7 +18,8 @@ The class prior is estimated from positives and all unlabelled rows alone: a cla
 positives against unlabelled rows scores each fifth of them after learning from the rest;
 of all score thresholds, the share of unlabelled rows above it over the share of positives
 above it bounds the prior from above, and the bound is taken where it is lowest once its
-sampling error is added (best-bin estimation).
+sampling error is added (best-bin estimation; of that error, which holds for the worst of
+all thresholds, a quarter is added).
 
 Only text is a feature: shares of character classes and of repetition, and hashed two-byte
 counts.
@@ -207,13 +208,13 @@ def least_risk(p: np.ndarray, summed: Summed, prior: float, decay: float) -> np.
     return best[1]
 
 
-def best_bin(sp: np.ndarray, above: Callable[[np.ndarray], np.ndarray], n: float, slack: float = 0.01, delta: float = 0.1) -> float:
+def best_bin(sp: np.ndarray, above: Callable[[np.ndarray], np.ndarray], n: float, slack: float = 0.01, delta: float = 0.1, share: float = 0.25) -> float:
     """The class prior from scores ``sp`` of positives and of ``n`` unlabelled rows (see above);
     ``above`` gives, for cuts, how many of those score as much at least."""
     cut = np.unique(sp)
     qp = 1 - np.searchsorted(np.sort(sp), cut) / len(sp)
     qu = above(cut) / n
-    error = sum(np.sqrt(np.log(4 / delta) / (2 * m)) for m in (len(sp), n))
+    error = share * sum(np.sqrt(np.log(4 / delta) / (2 * m)) for m in (len(sp), n))
     k = int(np.argmin((qu + (1 + slack) * error) / qp))
     return float(min(1.0, qu[k] / qp[k]))
 
@@ -232,13 +233,15 @@ def chosen(df: DataFrame, most: int, *of: str) -> DataFrame:
 
 #: Groups of tasks whose sums are added before the driver sees them; folds of the prior's models;
 #: weight decay of the model and of those.
-GROUPS, FOLDS, DECAY, DECAY_OF_PRIOR = 16, 5, 0.03, 0.03
+GROUPS, FOLDS, DECAY, DECAY_OF_PRIOR = 16, 5, 0.1, 0.1
+#: Bytes of the tasks' sums that the driver takes at once; more are added up in groups first.
+SUMS_BYTES = 64 << 20
 
 
 def added(df: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum of ``of`` (features, folds) over the batches of ``df`` (x binary, fold int): summed
-    within tasks, then in groups of tasks, then here. How rows are dealt to tasks may show in
-    the last bits."""
+    """The sum of ``of`` (features, folds) over the batches of a stored table ``df`` (x binary, fold
+    int): summed within tasks, then in groups of tasks (where the tasks' sums exceed
+    SUMS_BYTES), then here. How rows are dealt to tasks may show in the last bits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -254,7 +257,9 @@ def added(df: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], siz
             total += np.frombuffer(x)
         return pa.table({"x": pa.array([total.tobytes()])})
 
-    found = arrow_groups(arrow_rows(df.select("x", "fold"), rows, "g int, x binary"), "g", groups, "x binary").collect()
+    each = arrow_rows(df.select("x", "fold"), rows, "g int, x binary")
+    few = 8 * size * df.rdd.getNumPartitions() <= SUMS_BYTES
+    found = (each if few else arrow_groups(each, "g", groups, "x binary")).select("x").collect()
     return np.sum([np.frombuffer(x) for x in sorted(bytes(r.x) for r in found)], axis=0) if found else np.zeros(size)
 
 

@@ -60,10 +60,10 @@ def test_prior_is_estimated_without_negative_labels(spark, prior):
     of = lambda n, good: rng.normal(2.0 * good, 1, (n, 6))
     n = int(4000 * prior)
     p, u = of(2000, 1), np.concatenate([of(n, 1), of(4000 - n, 0)])[rng.permutation(4000)]
-    rows = spark.createDataFrame([(bytes(r.astype(np.float32).tobytes()), k % 2) for k, r in enumerate(u)], "x binary, fold int")
+    rows = spark.createDataFrame([(bytes(r.astype(np.float32).tobytes()), k % quality.FOLDS) for k, r in enumerate(u)], "x binary, fold int")
     both = np.concatenate([p, u])
     mean, scale = both.mean(0), both.std(0)
-    found = quality.prior_of(rows, quality.standard(p, mean, scale), np.arange(2000) % 2, mean, scale)
+    found = quality.prior_of(rows, quality.standard(p, mean, scale), np.arange(2000) % quality.FOLDS, mean, scale)
     assert abs(found - prior) < 0.08
 
 
@@ -130,3 +130,11 @@ def test_edge_cases(spark):
     empty = docs.limit(0)
     assert quality.train(empty, labels).w is None and quality.score(empty, again).count() == 0
     assert quality.accepted(docs.withColumnRenamed("doc_id", "score"), quality.Model(0.7)).columns == ["score", "text"]
+
+
+def test_sums_in_groups_are_the_same(spark, monkeypatch):
+    rows = spark.createDataFrame([(bytes(np.full(4, k, np.float32).tobytes()), k % 2) for k in range(100)], "x binary, fold int").repartition(7)
+    of = lambda x, f: np.append(x.sum(0), f.sum())
+    want = quality.added(rows, of, 5)
+    monkeypatch.setattr(quality, "SUMS_BYTES", 0)
+    assert np.array_equal(quality.added(rows, of, 5), want) and want[4] == 50 and want[0] == 4950
