@@ -12,6 +12,7 @@ from satchel.plans import queries as Q
 from satchel.plans.archive_queries import _folder
 from satchel.plans.queries import MODEL, query
 from satchel.sources import tables as T
+from satchel.sources.searchindex import SearchIndex
 
 # search
 
@@ -51,6 +52,29 @@ def s2_every_fiftieth_row(spark, d):
     return S.search(items, rows_as_queries(items))
 
 
+def _followed(spark, d):
+    """An index that followed the item table: old texts, changes, rows that came and went."""
+    items = A.items(spark, d)
+    k, index = F.col("id") % 8, SearchIndex(spark, _folder(spark, "index"), 64)
+    old = items.where(k < 4).withColumn("summary", F.when(k == 1, F.concat(F.lit("former words "), F.substring("summary", 1, 99))).otherwise(F.col("summary")))
+    passing = items.where(k == 2).withColumn("id", -F.col("id") - 1)
+    index.add(old.unionByName(passing))
+    index.add(items.where((k == 1) | (k == 4)), passing.where("id % 3 = 0").select("id"))
+    index.add(items.where(k == 5).unionByName(passing.where("id % 3 = 0").withColumn("title", F.lit("again"))))
+    return items, index.add(items.where(k > 5), passing.select("id"))
+
+
+@query(Q.SQL["s1_postings"])
+def s1_segments(spark, d):
+    return _followed(spark, d)[1].postings().groupBy("field", "term").agg(F.count(F.lit(1)).alias("rows_"), F.sum(F.size("places")).alias("uses"))
+
+
+@query(f"WITH {Q._TEXT_SEARCH.replace(Q._Q, _ROWS_Q)} SELECT query_id::BIGINT AS query_id, id, rank, score FROM fts WHERE rank <= 5", "items")
+def s10_top_by_blocks(spark, d):
+    items, index = _followed(spark, d)
+    return index.search(items, rows_as_queries(items), 5)
+
+
 # typed queries: a phrase, a prefix, a column, a word of two tokens, AND, OR, NOT, columns with a
 # phrase that goes on, an unknown column, a start mark, a column beside a plain word
 
