@@ -127,7 +127,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     contaminated, which replace columns of these names; a null item_id counts as ''."""
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return marked(keyed(docs), items, size).select(
-        *(F.col("row").getField(c).alias(c) for c in docs.columns if c not in OUTPUTS),
+        *(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in OUTPUTS),
         n_words(F.col("text")).alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),

@@ -70,9 +70,9 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` plus ``fields``, which ``fn`` computes from Arrow arrays of ``inputs``, a batch
-    at a time. A column of ``df`` that has the name of a new one is replaced."""
-    names = {f.name for f in fields}
-    keep = [c for c in df.columns if c not in names and c not in drop]
+    at a time. A column of ``df`` that has the name of a new one, in any case, is replaced."""
+    names = {f.name.lower() for f in fields}
+    keep = [c for c in df.columns if c.lower() not in names and c not in drop]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

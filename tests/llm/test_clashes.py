@@ -40,3 +40,11 @@ def test_filters(spark, clashing):
     assert len(text) == 6
     text = same_but_text(clashing, neardup.kept_documents(clashing))
     assert set(text) == {0, 2, 3, 4}
+
+
+def test_columns_that_differ_in_case_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "some text", "x", "y")], "doc_id long, text string, Score string, N_HIT string")
+    out = quality.score(docs, quality.Model(0.7))
+    assert out.columns == ["doc_id", "text", "N_HIT", "score"] and out.select("score").first().score == 0.7
+    hits = decontaminate.hits(docs, spark.createDataFrame([("x", "some")], "item_id string, text string"))
+    assert hits.select("n_hit").first().n_hit == 1 and "Score" in hits.columns
