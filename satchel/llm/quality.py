@@ -127,25 +127,30 @@ def moments(x: np.ndarray) -> np.ndarray:
 
 def sums(x: np.ndarray, thetas: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
     """For each row of parameters ``thetas`` the number of standardised rows ``x``, their loss as
-    negatives, its gradient and its curvature, all summed, in one flat array; the rows of
-    model k are those whose fold ``of`` isn't k (all rows, if None)."""
-    out = []
+    negatives, its gradient and (half of, as it is symmetric) its curvature, all summed, in one
+    flat array; the rows of model k are those whose fold ``of`` isn't k (all rows, if None)."""
+    out, half = [], np.triu_indices(x.shape[1])
     for k, theta in enumerate(thetas):
         mine = x if of is None else x[of != k]
         z = (mine @ theta.astype(x.dtype)).astype(np.float64)
         s = sigmoid(z)
-        out += [[len(mine), np.logaddexp(0, z).sum()], mine.T @ s.astype(x.dtype), (mine.T @ (mine * (s * (1 - s)).astype(x.dtype)[:, None])).ravel()]
+        out += [[len(mine), np.logaddexp(0, z).sum()], mine.T @ s.astype(x.dtype), (mine.T @ (mine * (s * (1 - s)).astype(x.dtype)[:, None]))[half]]
     return np.concatenate(out, dtype=np.float64)
 
 
 def unpacked(total: np.ndarray, models: int, d: int) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
     """(rows, loss, gradient, curvature) of each model in ``sums``."""
-    return [(e[0], e[1], e[2 : 2 + d], e[2 + d :].reshape(d, d)) for e in total.reshape(models, size_of(d))]
+    out = []
+    for e in total.reshape(models, size_of(d)):
+        curve = np.zeros((d, d))
+        curve[np.triu_indices(d)] = e[2 + d :]
+        out.append((e[0], e[1], e[2 : 2 + d], curve + np.triu(curve, 1).T))
+    return out
 
 
 def size_of(d: int) -> int:
     """Numbers that ``sums`` gives for a model of ``d`` parameters."""
-    return 2 + d + d * d
+    return 2 + d + d * (d + 1) // 2
 
 
 def risk_parts(zp: np.ndarray, n: float, loss: float, prior: float) -> tuple[float, float]:
@@ -231,17 +236,18 @@ def chosen(df: DataFrame, most: int, *of: str) -> DataFrame:
     return df if n <= most else df.where(place < most / n)
 
 
-#: Groups of tasks whose sums are added before the driver sees them; folds of the prior's models;
-#: weight decay of the model and of those.
-GROUPS, FOLDS, DECAY, DECAY_OF_PRIOR = 16, 5, 0.1, 0.1
+#: Folds of the prior's models; weight decay of the model and of those.
+FOLDS, DECAY, DECAY_OF_PRIOR = 5, 0.1, 0.1
 #: Bytes of the tasks' sums that the driver takes at once; more are added up in groups first.
-SUMS_BYTES = 64 << 20
+SUMS_BYTES = 24 << 20
 
 
 def added(df: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """The sum of ``of`` (features, folds) over the batches of a stored table ``df`` (x binary, fold
-    int): summed within tasks, then in groups of tasks (where the tasks' sums exceed
-    SUMS_BYTES), then here. How rows are dealt to tasks may show in the last bits."""
+    int): summed within tasks, then in groups (as many as the root of the tasks, where the tasks'
+    sums exceed SUMS_BYTES), then here. How rows are dealt to tasks may show in the last bits."""
+    tasks = df.rdd.getNumPartitions()
+    n_groups = max(1, int(np.sqrt(tasks)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -249,7 +255,7 @@ def added(df: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], siz
         total = np.zeros(size)
         for b in batches:
             total += of(np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(len(b), -1), b.column("fold").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([total.tobytes()])], names=["g", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % n_groups], pa.int32()), pa.array([total.tobytes()])], names=["g", "x"])
 
     def groups(table: pa.Table) -> pa.Table:
         total = np.zeros(size)
@@ -258,7 +264,7 @@ def added(df: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], siz
         return pa.table({"x": pa.array([total.tobytes()])})
 
     each = arrow_rows(df.select("x", "fold"), rows, "g int, x binary")
-    few = 8 * size * df.rdd.getNumPartitions() <= SUMS_BYTES
+    few = 8 * size * tasks <= SUMS_BYTES
     found = (each if few else arrow_groups(each, "g", groups, "x binary")).select("x").collect()
     return np.sum([np.frombuffer(x) for x in sorted(bytes(r.x) for r in found)], axis=0) if found else np.zeros(size)
 
