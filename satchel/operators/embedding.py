@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.functions import text as X
 from satchel.operators.listing import pending_embeddings
 from satchel.operators.state import store_embeddings
 from satchel.operators.textsearch import spread
+from satchel.session import written
 
 #: Text that models of a family want before a query, not before a document (fixed values).
 QUERY_PREFIX = {"local:bge-": "Represent this sentence for searching relevant passages: "}
@@ -62,6 +64,37 @@ def embed_backlog(items: DataFrame, row_text: Callable[[DataFrame], DataFrame],
     return store_embeddings(items, embedded(row_text(backlog), model), model)
 
 
+def embed_in_slices(items: DataFrame, row_text: Callable[[DataFrame], DataFrame], model: str, folder: str, slices: int = 8) -> DataFrame:
+    """What ``embed_backlog`` gives, newest ids first in ``slices`` jobs. Each leaves its vectors in
+    ``folder``, which all executors share; a run that is stopped half-way keeps the slices it
+    has finished, and the next one goes on from there. A vector counts for the text it was made
+    of: a row whose text has changed meanwhile is embedded again. Ids are unique; null ids are
+    not embedded."""
+    spark = items.sparkSession
+    texts = written(row_text(pending_embeddings(items, model)).where("id IS NOT NULL").select("id", "text", F.xxhash64("text").alias("h")), "pending_texts")
+    left = texts.join(finished_vectors(spark, folder, model).select("id", "h"), ["id", "h"], "left_anti")
+    cuts = sorted(set(left.approxQuantile("id", [k / slices for k in range(1, slices)], 0.01)), reverse=True)
+    below = None
+    for cut in [*cuts, None]:
+        at = F.col("id").cast("double")
+        mine = left if below is None else left.where(at < below)
+        mine, below = mine if cut is None else mine.where(at >= cut), cut
+        made = embedded(mine, model).join(mine.select("id", "h"), "id").withColumn("model", F.lit(model))
+        made.select("id", "h", "model", "vector").write.parquet(f"{folder}/slice-{uuid.uuid4().hex}")
+    vectors = texts.select("id", "h").join(finished_vectors(spark, folder, model), ["id", "h"]).dropDuplicates(["id"])
+    return store_embeddings(items, vectors, model)
+
+
+def finished_vectors(spark: SparkSession, folder: str, model: str) -> DataFrame:
+    """(id, h, vector) of the slices in ``folder`` that were finished: those with a mark of success."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/slice-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    paths = [f.getPath().getParent().toString() for f in found]
+    schema = "id long, h long, model string, vector array<float>"
+    every = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return every.where(F.col("model") == model).drop("model")
+
+
 def query_text(query: Column, model: str) -> Column:
     for family, prefix in QUERY_PREFIX.items():
         if model.startswith(family):

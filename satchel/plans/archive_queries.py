@@ -251,6 +251,12 @@ def e3_embed_backlog(spark, d):
     return done.agg(F.count(F.lit(1)).alias("total"), F.count_if((F.col("embedding_model") == "token-hash") & (F.size("embedding") == 64)).alias("embedded"))
 
 
+@query("SELECT count(*) AS total, count(*) FILTER (deleted_at IS NULL) AS embedded FROM items", "items")
+def e3_embed_in_slices(spark, d):
+    done = E.embed_in_slices(A.items(spark, d), Q.row_text, "token-hash", _folder(spark, "vectors"), 3)
+    return done.agg(F.count(F.lit(1)).alias("total"), F.count_if((F.col("embedding_model") == "token-hash") & (F.size("embedding") == 64)).alias("embedded"))
+
+
 @query("SELECT id, concat('Represent this sentence for searching relevant passages: ', title) AS text FROM items WHERE title <> ''", "items")
 def e4_query_text(spark, d):
     return A.items(spark, d).where("title <> ''").select("id", E.query_text(F.col("title"), Q.MODEL).alias("text"))
