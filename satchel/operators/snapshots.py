@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from satchel.session import written
+
 
 def common_columns(before: DataFrame, after: DataFrame) -> list[str]:
     return [c for c in before.columns if c in after.columns]
@@ -84,6 +86,23 @@ def multiset_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return counts.agg(count("b").alias("only_before"), count("a").alias("only_after"))
 
 
+def differing(before: DataFrame, after: DataFrame, key: list[str] | None = None, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides in buckets (by hash of ``key``, or of the whole row) whose contents
+    differ. Each side sends a count and two sums of row hashes a bucket, whatever the order of
+    rows and their repeats; buckets that agree in all three (128 bits of hash and the count)
+    hold the same rows, and no row of theirs is moved. Both results have the common columns."""
+    cols = common_columns(before, after)
+    bucket = F.pmod(F.xxhash64(*(key or cols)), F.lit(buckets))
+    # the hash passes over nulls, so where they are is hashed as well
+    nulls = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols))
+    sums = lambda df: df.select(bucket.alias("bucket"), *(F.xxhash64(F.lit(s), nulls, *cols).cast("decimal(38,0)").alias(f"h{s}") for s in (1, 2))).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+    both = sums(before).alias("b").join(sums(after).alias("a"), F.col("b.bucket") == F.col("a.bucket"), "full_outer")
+    same = F.col("b.n").eqNullSafe(F.col("a.n")) & F.col("b.h1").eqNullSafe(F.col("a.h1")) & F.col("b.h2").eqNullSafe(F.col("a.h2"))
+    open_ = written(both.where(~same).select(F.coalesce("b.bucket", "a.bucket").alias("bucket_")), "open_buckets", rows=buckets)
+    rows = lambda df: df.select(*cols, bucket.alias("bucket_")).join(F.broadcast(open_), "bucket_", "left_semi").select(*cols)
+    return rows(before), rows(after)
+
+
 def surplus_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("surplus"))
 

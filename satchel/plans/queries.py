@@ -488,6 +488,11 @@ def d4_multiset_difference(spark, d):
     return D.multiset_difference(A.before(spark, d), A.after(spark, d))
 
 
+@query(SQL["d4_multiset_difference"])
+def d4_difference_by_digests(spark, d):
+    return D.multiset_difference(*D.differing(A.before(spark, d), A.after(spark, d)))
+
+
 @query("SELECT coalesce(sum(c - 1), 0)::BIGINT AS surplus FROM (SELECT count(*) AS c FROM after_ GROUP BY o_orderkey)", "after_")
 def d6_surplus_keys(spark, d):
     return D.surplus_keys(A.after(spark, d), ["o_orderkey"])
@@ -506,6 +511,11 @@ def d8_d9_changed_cells(spark, d):
     return D.changed_cells(A.before(spark, d), A.after(spark, d), ["o_orderkey"])
 
 
+@query(SQL["d8_d9_changed_cells"])
+def d8_d9_cells_by_digests(spark, d):
+    return D.changed_cells(*D.differing(A.before(spark, d), A.after(spark, d), ["o_orderkey"]), ["o_orderkey"])
+
+
 @query("SELECT (SELECT count(*) FROM (FROM before_ EXCEPT FROM after_)) + (SELECT count(*) FROM (FROM after_ EXCEPT FROM before_)) > 0 AS different", "before_", "after_")
 def d10_verdict(spark, d):
     return D.verdict(A.before(spark, d), A.after(spark, d))
