@@ -24,10 +24,11 @@ def _blocks(df: DataFrame, name: str, block: int) -> DataFrame:
 def cosine_top(rows: DataFrame, queries: DataFrame, limit: int = 100, min_score: Column | float = 0.0, block: int = BLOCK) -> DataFrame:
     """(query_id, id, similarity, rank): for each query (query_id, vector, model, exclude,
     min_score) its best ``rows`` (id, vector, model) of the same model and length, self
-    excluded. Blocks of rows meet blocks of queries; each pair is one product of matrices that
+    excluded; only of its provider where ``queries`` have one (null: any), ``rows`` theirs. Blocks of rows meet blocks of queries; each pair is one product of matrices that
     hands on its best only. Similarities are rounded to 6 places, ties go by id."""
-    q = queries.select(F.col("query_id").alias("id"), "vector", "model", "exclude", "min_score")
-    pairs = _blocks(rows.select("id", "vector", "model"), "r", block).crossJoin(_blocks(q, "q", block // 4))
+    kept = ["provider"] if "provider" in queries.columns else []
+    q = queries.select(F.col("query_id").alias("id"), "vector", "model", "exclude", "min_score", *kept)
+    pairs = _blocks(rows.select("id", "vector", "model", *kept), "r", block).crossJoin(_blocks(q, "q", block // 4))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -43,6 +44,8 @@ def cosine_top(rows: DataFrame, queries: DataFrame, limit: int = 100, min_score:
                     ids = same.id.to_numpy()
                     for k, row in enumerate(own.itertuples()):
                         ok = (sims[k] >= row.min_score) & (ids != row.exclude)
+                        if kept and row.provider is not None:
+                            ok &= same.provider.to_numpy() == row.provider
                         order = np.argsort(-sims[k][ok], kind="stable")[:limit]
                         yield pd.DataFrame({"query_id": row.id, "id": ids[ok][order], "similarity": sims[k][ok][order]})
 

@@ -421,6 +421,15 @@ def v1_cosine_top(spark, d):
     return V.cosine_top(_vector_rows(items), _vector_queries(items).withColumn("min_score", F.lit(0.0))).select("query_id", "id", "similarity", "rank")
 
 
+@query(f"""WITH {_VQ.replace("SELECT id AS query_id,", "SELECT id AS query_id, CASE WHEN id % 100 <> 0 THEN provider END AS wanted,")}, sims AS (SELECT q.query_id, i.id, {_DOT} AS similarity FROM vq q JOIN items i ON i.embedding_model = q.model AND i.embedding IS NOT NULL AND i.deleted_at IS NULL AND i.id <> q.query_id AND (wanted IS NULL OR i.provider = wanted))
+SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sims WHERE similarity >= 0) WHERE rank <= 100""", "items")
+def v1_cosine_top_of_provider(spark, d):
+    items = A.items(spark, d)
+    wanted = items.select(F.col("id").alias("query_id"), F.when(F.col("id") % 100 != 0, F.col("provider")).alias("provider"))
+    rows = _vector_rows(items).join(items.select("id", "provider"), "id")
+    return V.cosine_top(rows, _vector_queries(items).withColumn("min_score", F.lit(0.0)).join(wanted, "query_id")).select("query_id", "id", "similarity", "rank")
+
+
 _SEMANTIC = f"""{_TOP}, b AS (SELECT *, CASE WHEN starts_with(model, 'local:bge-') THEN 0.8 ELSE 0.5 END AS f, CASE WHEN starts_with(model, 'local:bge-') THEN 0.55 ELSE 0.2 END AS lo, CASE WHEN starts_with(model, 'local:bge-') THEN 0.6 ELSE 0.35 END AS hi FROM sims),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, max(similarity) OVER (PARTITION BY query_id) AS top FROM b WHERE similarity >= lo)"""
 
