@@ -86,7 +86,7 @@ _PARTS_SQL = " UNION ALL ".join([
     _PART_SQL(4, 0, "[a]"), _PART_SQL(4, 1, "[l]"), _PART_SQL(5, 0, "[a]", "any"), _PART_SQL(5, 1, "[l]", "any"), _PART_SQL(6, 0, "[l]"), _PART_SQL(6, 1, "[a]", "none"),
     _PART_SQL(7, 0, "[a, b]", fields="['title', 'summary']", prefix="true"), _PART_SQL(9, 0, "[a]", first="true"), _PART_SQL(10, 0, "[kind]", fields="['kind']"), _PART_SQL(10, 1, "[l]"),
 ])
-_TYPED = f"""WITH w AS (SELECT id, kind, string_split_regex(summary, '\s+') AS ws, {_LONGEST} AS longest FROM items WHERE id % 50 = 0),
+_TYPED = rf"""WITH w AS (SELECT id, kind, string_split_regex(summary, '\s+') AS ws, {_LONGEST} AS longest FROM items WHERE id % 50 = 0),
 base AS (SELECT id, kind, (id // 50) % 11 AS c, ws[p[len(p) // 2 + 1]] AS a, ws[p[len(p) // 2 + 1] + 1] AS b, longest[1].w AS l FROM (SELECT *, {_PAIR} AS p FROM w) WHERE len(p) > 0),
 parts AS ({_PARTS_SQL}),
 tl AS (SELECT id, field, {Q._TOK} AS toks FROM (SELECT id, 'title' AS field, title AS t FROM items UNION ALL SELECT id, 'summary', summary FROM items UNION ALL SELECT id, 'collection', concat('["', label, '"]') FROM items UNION ALL SELECT id, 'kind', kind FROM items)),
