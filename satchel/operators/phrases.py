@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.operators.textsearch import widened
+from satchel.operators.textsearch import meeting
+from satchel.session import bounded
 
 
 def phrase_hits(index: DataFrame, parts: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def phrase_hits(index: DataFrame, parts: DataFrame) -> DataFrame:
     One word is a phrase of one; an empty phrase finds nothing."""
     words = parts.select("query_id", "part", F.size("terms").alias("n"), F.col("field").alias("only"), "prefix", "first", F.posexplode("terms").alias("k", "word"))
     words = words.withColumn("prefix", F.col("prefix") & (F.col("k") == F.col("n") - 1))
-    found = index.join(widened(index, words), "term").where(F.col("only").isNull() | (F.col("only") == F.col("field")))
+    found = meeting(index, words).where(F.col("only").isNull() | (F.col("only") == F.col("field")))
     starts = found.select("query_id", "part", "n", "first", "id", "field", F.explode(F.transform("places", lambda p: p - F.col("k"))).alias("start"))
     whole = starts.groupBy("query_id", "part", "n", "first", "id", "field", "start").agg(F.count(F.lit(1)).alias("got")).where("got = n AND (NOT first OR start = 0)")
     return whole.groupBy("query_id", "part", "id").agg(F.count(F.lit(1)).alias("uses"))
@@ -25,8 +26,11 @@ def phrase_hits(index: DataFrame, parts: DataFrame) -> DataFrame:
 def near_hits(index: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query_id, part, id) for ``pairs`` (query_id, part, left, right, gap): rows where both
     words stand in one column with at most ``gap`` words between them, in any order."""
-    a = index.join(pairs, F.col("term") == F.col("left")).select("query_id", "part", "gap", "right", "id", "field", F.col("places").alias("a"))
-    b = index.select("id", "field", F.col("term").alias("right"), F.col("places").alias("b"))
+    width = 64 + 4 * (F.length("left") + F.length("right"))
+    a = index.join(bounded(pairs, width), F.col("term") == F.col("left")).select("query_id", "part", "gap", "right", "id", "field", F.col("places").alias("a"))
+    # of the other word's postings only those that a pair asks for
+    others = pairs.select(F.col("right").alias("term")).distinct()
+    b = index.join(bounded(others, 64 + 4 * F.length("term")), "term").select("id", "field", F.col("term").alias("right"), F.col("places").alias("b"))
     close = F.exists("a", lambda x: F.exists("b", lambda y: (x != y) & (F.abs(x - y) - 1 <= F.col("gap"))))
     return a.join(b, ["id", "field", "right"]).where(close).select("query_id", "part", "id").distinct()
 
