@@ -16,6 +16,8 @@ from satchel.operators import parsing as P
 
 NODE = "struct<simpleText: string, runs: array<struct<text: string>>, content: string>"
 VIDEO = f"videoId string, isPlayable boolean, title {NODE}, shortBylineText {NODE}, videoInfo {NODE}, lengthSeconds string, thumbnail struct<thumbnails: array<struct<width: int, url: string>>>, thumbnailOverlays array<struct<thumbnailOverlayTimeStatusRenderer: struct<style: string>>>, navigationEndpoint struct<commandMetadata: struct<webCommandMetadata: struct<url: string>>>"
+#: Characters of pages whose rows are handed on together.
+CHUNK = 1 << 20
 ORIGIN = "https://www.youtube.com"
 #: Fixed ids of the lists every account has: one is always offered, one never.
 WATCH_LATER, LIKED = ("WL", "Watch later"), "LL"
@@ -32,8 +34,16 @@ def scanned(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [W.parsed(body) for body in b.body]
-            yield pd.DataFrame({"page_id": b.page_id, "rows": [[json.dumps(r) for r in W.walk(p, W.list_rows)] for p in found], "cursor": [W.next_token(p) for p in found]})
+            out, chars = [], 0
+            for i, body in zip(b.page_id, b.body, strict=True):  # one page's tree at a time
+                tree = W.parsed(body)
+                out.append((i, [json.dumps(r) for r in W.walk(tree, W.list_rows)], W.next_token(tree)))
+                chars += len(body or "")
+                if chars > CHUNK:
+                    yield pd.DataFrame(out, columns=["page_id", "rows", "cursor"])
+                    out, chars = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["page_id", "rows", "cursor"])
 
     return pages.select("page_id", "body").mapInPandas(run, "page_id long, rows array<string>, cursor string")
 
