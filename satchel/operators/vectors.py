@@ -2,54 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from satchel.session import in_blocks
+from satchel.operators.tiles import BLOCK, above_goal, best_of, compared, tiles
 
 #: Similarity bands by model prefix: factor of the top, least floor, greatest floor.
 BANDS = {"": (0.5, 0.2, 0.35), "local:bge-": (0.8, 0.55, 0.6)}
-BLOCK = 2048
-
-
-def _blocks(df: DataFrame, name: str, block: int) -> DataFrame:
-    n = max(1, -(-df.count() // block))
-    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b_")).agg(F.collect_list(F.struct(*df.columns)).alias(name)).drop("b_")
 
 
 def cosine_top(rows: DataFrame, queries: DataFrame, limit: int = 100, min_score: Column | float = 0.0, block: int = BLOCK) -> DataFrame:
     """(query_id, id, similarity, rank): for each query (query_id, vector, model, exclude,
     min_score) its best ``rows`` (id, vector, model) of the same model and length, self
-    excluded; only of its provider where ``queries`` have one (null: any), ``rows`` theirs. Blocks of rows meet blocks of queries; each pair is one product of matrices that
-    hands on its best only. Similarities are rounded to 6 places, ties go by id."""
+    excluded; only of its provider where ``queries`` have one (null: any), ``rows`` theirs. Blocks
+    of queries meet groups of rows in tiles, each of which hands on its best only. Similarities
+    are rounded to 6 places, ties go by id."""
     kept = ["provider"] if "provider" in queries.columns else []
-    q = queries.select(F.col("query_id").alias("id"), "vector", "model", "exclude", "min_score", *kept)
-    pairs = _blocks(rows.select("id", "vector", "model", *kept), "r", block).crossJoin(_blocks(q, "q", block // 4))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for batch in batches:
-            for r, q in zip(batch.r, batch.q, strict=True):
-                rows, asked = pd.DataFrame(list(r)), pd.DataFrame(list(q))
-                for (model, dim), own in asked.groupby([asked.model, asked.vector.map(len)]):
-                    same = rows[(rows.model == model) & (rows.vector.map(len) == dim)].sort_values("id")
-                    if not len(same):
-                        continue
-                    sims = np.round(np.stack(own.vector).astype(np.float64) @ np.stack(same.vector).astype(np.float64).T, 6)
-                    ids = same.id.to_numpy()
-                    for k, row in enumerate(own.itertuples()):
-                        ok = (sims[k] >= row.min_score) & (ids != row.exclude)
-                        if kept and row.provider is not None:
-                            ok &= same.provider.to_numpy() == row.provider
-                        order = np.argsort(-sims[k][ok], kind="stable")[:limit]
-                        yield pd.DataFrame({"query_id": row.id, "id": ids[ok][order], "similarity": sims[k][ok][order]})
-
-    found = pairs.mapInPandas(best, "query_id long, id long, similarity double")
+    q = queries.select(F.col("query_id").cast("long").alias("id"), "vector", "model", "exclude", F.col("min_score").cast("double").alias("min_score"), *kept)
+    r = rows.select(F.col("id").cast("long").alias("id"), "vector", "model", *kept)
+    found = compared(tiles(r, q, block), best_of(limit, bool(kept)), "query_id long, id long, similarity double")
     ranked = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
 
@@ -115,16 +86,12 @@ def target_ranks(rows: DataFrame, queries: DataFrame, targets: DataFrame) -> Dat
     """(query_id, id, similarity, rank): where each query's target (query_id, id) stands among all
     ``rows`` that ``cosine_top`` would rank. Rows above it are counted, not sorted."""
     q = queries.select("query_id", F.col("vector").alias("qv"), F.col("model").alias("qm"), "exclude")
-    of = lambda a: F.round(dot(F.col("qv"), a), 6)
     aim = q.join(targets, "query_id").join(rows.select("id", F.col("vector").alias("tv"), F.col("model").alias("tm")), "id").where("qm = tm")
-    aim = aim.select("query_id", F.col("id").alias("target"), "qv", "qm", "exclude", of(F.col("tv")).alias("goal"))
-    same = (F.col("model") == F.col("qm")) & ~F.col("id").eqNullSafe(F.col("exclude"))
-    above = (F.col("c") > F.col("goal")) | ((F.col("c") == F.col("goal")) & (F.col("id") < F.col("target")))
-    out = []
-    for part in in_blocks(aim, 64 + 8 * F.size("qv"), "query_id"):  # all rows share a few models, so no shuffle by model
-        scored = rows.join(F.broadcast(part), same).select("query_id", "target", "goal", "id", of(F.col("vector")).alias("c"))
-        out.append(scored.groupBy("query_id", F.col("target").alias("id"), F.col("goal").alias("similarity")).agg((F.count_if(above) + 1).alias("rank")))
-    return reduce(DataFrame.unionByName, out)
+    goal = F.round(dot(F.col("qv"), F.col("tv")), 6)
+    asked = aim.select(F.col("query_id").cast("long").alias("id"), F.col("qv").alias("vector"), F.col("qm").alias("model"), "exclude", F.col("id").cast("long").alias("target"), goal.alias("goal"))
+    whole = rows.where(~F.exists("vector", lambda x: x.isNull())).select(F.col("id").cast("long").alias("id"), "vector", "model")
+    found = compared(tiles(whole, asked), above_goal(), "query_id long, id long, similarity double, above long")
+    return found.groupBy("query_id", "id", "similarity").agg((F.sum("above") + 1).alias("rank"))
 
 
 def random_pairs(vectors: DataFrame, sample: DataFrame) -> DataFrame:
