@@ -11,15 +11,16 @@ from satchel.operators import replay as Y
 from satchel.plans import replay_queries as R
 from satchel.plans.archive_queries import _folder
 from satchel.plans.queries import _TRIM, NOW, _escaped, query
+from satchel.session import written
 from satchel.streaming import merge as G
 
 #: Class of a page by its number modulo nine: provider and kind.
 CLASSES = [("instagram", "items"), ("substack", "items"), ("twitter", "items"), ("linkedin", "items"), ("facebook", "connection"), ("hackernews", "stories"), ("hackernews", "comments"), ("nowhere", "items"), ("instagram", "odd")]
 
 
-def _entry(k: int):
-    """An entry for a document in the shape of class ``k``; every fourth is none."""
-    i, s, t = F.col("doc_id"), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+def _entry(k: int, doc):
+    """An entry for a document (doc_id, text) in the shape of class ``k``; every fourth is none."""
+    i, s, t = doc["doc_id"], doc["doc_id"].cast("string"), F.coalesce(doc["text"], F.lit(""))
     there = i % 4 != 0
     if k == 1:
         return F.struct(F.when(there, F.struct(i.alias("id"), F.lit("T").alias("title"), t.alias("subtitle"))).alias("post"))
@@ -62,16 +63,18 @@ def _body(k: int, a, cursor):
 
 def service_pages(spark, d):
     """Pages of ten documents each, in seven shapes of six services, one of an unknown service and
-    one of an unknown kind; every thirteenth JSON body is broken, even pages have a next one."""
-    docs = A.table(spark, d, "documents").withColumn("page_id", F.floor(F.col("doc_id") / 10))
-    out = None
-    for k, (provider, kind) in enumerate(CLASSES):
-        own = docs.where(F.col("page_id") % 9 == k).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", _entry(k).alias("e")))).alias("x"))
-        cursor = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("c"), F.col("page_id").cast("string")))
-        body = F.when((F.col("page_id") % 13 == 0) & F.lit(k < 5), "{broken").otherwise(_body(k, F.transform("x", lambda x: x["e"]), cursor))
-        own = own.select("page_id", F.lit(provider).alias("provider"), F.lit(kind).alias("kind"), F.lit("u").alias("account"), (F.col("page_id") % 27 < 9).cast("int").alias("first"), body.alias("body"), F.lit('{"url":"https://news.ycombinator.com/upvoted?id=me"}').alias("context"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    one of an unknown kind; every thirteenth JSON body is broken, even pages have a next one.
+    They are put together once and written by provider, so each parser reads its own only."""
+    n = F.col("page_id")
+    docs = A.table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 10).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
+    cursor = F.when(n % 2 == 0, F.concat(F.lit("c"), n.cast("string")))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (n % 9 + 1).cast("int"))
+    entries = lambda k: F.transform("x", lambda doc: _entry(k, doc))
+    body = F.when((n % 13 == 0) & (n % 9 < 5), "{broken")
+    for k in range(len(CLASSES)):
+        body = body.when(n % 9 == k, _body(k, entries(k), cursor))
+    pages = docs.select("page_id", of([p for p, _ in CLASSES]).alias("provider"), of([kind for _, kind in CLASSES]).alias("kind"), F.lit("u").alias("account"), (n % 27 < 9).cast("int").alias("first"), body.alias("body"), F.lit('{"url":"https://news.ycombinator.com/upvoted?id=me"}').alias("context"))
+    return written(pages, "service_pages", "provider")
 
 
 _PAGES = """WITH p AS (SELECT doc_id // 10 AS page_id, count(*) FILTER (doc_id % 4 <> 0) AS n FROM documents GROUP BY ALL),
@@ -140,12 +143,11 @@ r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY provider, kind ORDER BY page_
 SELECT i.provider, external_id, (anchor - row_number() OVER (PARTITION BY a.provider, kind, run ORDER BY i.page_id, CAST(replace(external_id, 'post:', '') AS BIGINT)) + 1)::BIGINT AS sort_key, text FROM i JOIN a USING (page_id)""")
 def st1_st3_pages_parsed_and_merged(spark, d):
     pages = _archive(spark, d)
-    path = _folder(spark, "pages_arriving")
-    # files in the order of their pages
+    path, folder = _folder(spark, "pages_arriving"), _folder(spark, "pages_merged")
+    # batches in the order of their pages; what has arrived by then is one, in as many files as it has
     bounds = [0, *pages.approxQuantile("page_id", [0.4, 0.7], 0.01), float("inf")]
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        pages.where((F.col("page_id") >= low) & (F.col("page_id") < high)).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    items = G.merge_pages(stream, _nothing(spark), NOW, _folder(spark, "pages_merged"))
+        pages.where((F.col("page_id") >= low) & (F.col("page_id") < high)).write.mode("append").parquet(path)
+        items = G.merge_pages(spark.readStream.schema(pages.schema).parquet(path), _nothing(spark), NOW, folder)
     title = F.when(F.col("external_id").startswith("post:"), "").otherwise(F.col("title"))
     return items.withColumn("title", title).select("provider", "external_id", "sort_key", _text())
