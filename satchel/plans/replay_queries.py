@@ -77,11 +77,13 @@ def i12_replay_pages(spark, d):
 @query("SELECT count(*) AS total, count(*) AS embedded FROM documents")
 def st4_embed_after_merge(spark, d):
     rows = A.items(spark, d).select("id", "title", "publication", "summary", "url", "provider", "collection", F.lit(None).cast("long").alias("deleted_at"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"))
-    path = _folder(spark, "arriving")
-    rows.repartition(2, "id").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, folder = _folder(spark, "arriving"), _folder(spark, "embedded")
     step = G.followed_by(lambda old, new: G.first_of(old, new, ["id"], ["id"]), lambda table: E.embed_backlog(table, Q.row_text, "token-hash"))
-    done = G.merge_stream(stream, step, spark.createDataFrame([], rows.schema), _folder(spark, "embedded"))
+    # what has arrived by then is one batch, in as many files as it has
+    for k in range(2):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == k).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        done = G.merge_stream(stream, step, spark.createDataFrame([], rows.schema), folder)
     return done.agg(F.count(F.lit(1)).alias("total"), F.count_if((F.col("embedding_model") == "token-hash") & (F.size("embedding") == 64)).alias("embedded"))
 
 
