@@ -10,8 +10,9 @@ least the second part is zero (1, if it isn't below zero there); of all paramete
 those of the least risk are taken.
 
 All unlabelled rows count in every step: their features are stored once, and loss, gradient
-and curvature are sums over partitions, added up in two levels, of which the driver sees a
-few rows. One documented bound is left, on labelled rows: about ``FIT_POSITIVES`` positives
+and curvature are sums over partitions, added up in two levels, the second by pieces of the
+sum, so the driver gets one sum however many tasks there are. It holds the positives'
+features once; each model takes its rows of them a block at a time. One documented bound is left, on labelled rows: about ``FIT_POSITIVES`` positives
 are fitted, those whose hash is below a threshold that follows from their count.
 
 The class prior is estimated from positives and all unlabelled rows alone: a classifier of
@@ -49,6 +50,8 @@ FIT_POSITIVES = 8_000
 HASHED = 256
 PIECE = 1 << 20
 DENSE = 24
+#: Rows of features that the driver works on at once.
+BLOCK_ROWS = 1024
 
 _C = np.arange(256)
 #: Classes of bytes: fixed ranges of ASCII, and what is beyond it.
@@ -116,7 +119,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Standardised features and a last column of ones."""
-    return np.hstack([np.clip((x.astype(np.float64) - mean) / scale, -8, 8), np.ones((len(x), 1))])
+    out = np.ones((len(x), x.shape[1] + 1))
+    own = out[:, :-1]
+    np.subtract(x, mean, out=own)
+    np.divide(own, scale, out=own)
+    np.clip(own, -8, 8, out=own)
+    return out
+
+
+def blocks(x: np.ndarray, of: np.ndarray | None = None, k: int = 0) -> Iterator[np.ndarray]:
+    """The rows of ``x`` whose fold ``of`` isn't ``k`` (all rows, if None), a few at a time."""
+    for a in range(0, len(x), BLOCK_ROWS):
+        part = x[a : a + BLOCK_ROWS]
+        yield part if of is None else part[of[a : a + BLOCK_ROWS] != k]
 
 
 def moments(x: np.ndarray) -> np.ndarray:
@@ -165,29 +180,36 @@ STEPS, LEAST_STEP, HALVINGS = 10, 0.03, 6
 Summed = Callable[[np.ndarray], np.ndarray]
 
 
-def minimise(positives: list[np.ndarray], summed: Summed, prior: float, decay: float, k: float = 1.0, start: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[float, float]]]:
+def minimise(p: np.ndarray, of: np.ndarray | None, models: int, summed: Summed, prior: float, decay: float, k: float = 1.0, start: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """(parameters, non-negative risks with their second parts) at the least of first part + ``k`` * second part,
-    of models that share the passes of ``summed``; ``positives`` are the standardised positives
-    of each. A step that raises the risk is halved."""
-    d, models = positives[0].shape[1], len(positives)
+    of ``models`` models that share the passes of ``summed``; the positives of model m are the
+    standardised rows ``p`` whose fold ``of`` isn't m (all, if None). A step that raises the risk
+    is halved."""
+    d = p.shape[1]
     flat = np.append(np.full(d - 1, decay), 1e-6)
 
-    def at(theta: np.ndarray, p: np.ndarray, n: float, loss: float, gradient: np.ndarray, curve: np.ndarray) -> tuple:
-        z = p @ theta
-        q = sigmoid(z)
+    def at(m: int, theta: np.ndarray, n: float, loss: float, gradient: np.ndarray, curve: np.ndarray) -> tuple:
+        scores, pull, bent = [], np.zeros(d), np.zeros((d, d))
+        for rows in blocks(p, of, m):
+            scores.append(rows @ theta)
+            q = sigmoid(scores[-1])
+            pull += (1 - q + k * q) @ rows
+            if k < 1:
+                bent += rows.T @ (rows * (q * (1 - q))[:, None])
+        z = np.concatenate(scores)
         first, second = risk_parts(z, n, loss, prior)
-        slope = k * gradient / n - prior * (1 - q + k * q) @ p / len(p) + flat * theta
+        slope = k * gradient / n - prior * pull / len(z) + flat * theta
         # of a positive the loss as such less that as a negative is minus its score: no curvature
-        bend = k * curve / n + prior * (1 - k) * (p.T @ (p * (q * (1 - q))[:, None])) / len(p) + np.diag(flat)
+        bend = k * curve / n + prior * (1 - k) * bent / len(z) + np.diag(flat)
         weight = 0.5 * (flat * theta * theta).sum()
         return first + k * second + weight, slope, bend, (first + max(0.0, second) + weight, second)
 
     best = np.zeros((models, d)) if start is None else start.copy()
-    now = [at(t, p, *of) for t, p, of in zip(best, positives, unpacked(summed(best), models, d), strict=True)]
+    now = [at(m, best[m], *found) for m, found in enumerate(unpacked(summed(best), models, d))]
     step = [-np.linalg.solve(bend, slope) for _, slope, bend, _ in now]
     for _ in range(STEPS):
         tried = best + np.stack(step)
-        then = [at(t, p, *of) for t, p, of in zip(tried, positives, unpacked(summed(tried), models, d), strict=True)]
+        then = [at(m, tried[m], *found) for m, found in enumerate(unpacked(summed(tried), models, d))]
         for m in range(models):
             if then[m][0] <= now[m][0]:
                 best[m], now[m] = tried[m], then[m]
@@ -201,13 +223,13 @@ def minimise(positives: list[np.ndarray], summed: Summed, prior: float, decay: f
 
 def least_risk(p: np.ndarray, summed: Summed, prior: float, decay: float) -> np.ndarray:
     """The parameters of least non-negative risk (see above)."""
-    found, ((risk, second),) = minimise([p], summed, prior, decay)
+    found, ((risk, second),) = minimise(p, None, 1, summed, prior, decay)
     if second >= 0:
         return found[0]
     low, high, best, found = 0.0, 1.0, (risk, found[0]), np.zeros((1, p.shape[1]))
     for _ in range(HALVINGS):
         k = (low + high) / 2
-        found, ((risk, second),) = minimise([p], summed, prior, decay, k, found)
+        found, ((risk, second),) = minimise(p, None, 1, summed, prior, decay, k, found)
         best = min(best, (risk, found[0]), key=lambda x: x[0])
         low, high = (low, k) if second < 0 else (k, high)
     return best[1]
@@ -239,13 +261,16 @@ def chosen(df: DataFrame, most: int, *of: str) -> DataFrame:
 #: Folds of the prior's models; weight decay of the model and of those.
 FOLDS, DECAY, DECAY_OF_PRIOR = 5, 0.1, 0.1
 #: Bytes of the tasks' sums that the driver takes at once; more are added up in groups first.
-SUMS_BYTES = 24 << 20
+SUMS_BYTES = 4 << 20
+#: Numbers of a piece of a sum, which groups are added up by.
+SUM_PIECE = 1 << 15
 
 
 def added(df: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """The sum of ``of`` (features, folds) over the batches of a stored table ``df`` (x binary, fold
-    int): summed within tasks, then in groups (as many as the root of the tasks, where the tasks'
-    sums exceed SUMS_BYTES), then here. How rows are dealt to tasks may show in the last bits."""
+    int): summed within tasks; where the tasks' sums exceed SUMS_BYTES, then in groups (as many as
+    the root of the tasks), then over the groups by pieces of the sum, so one sum gets here. How
+    rows are dealt to tasks may show in the last bits."""
     tasks = df.rdd.getNumPartitions()
     n_groups = max(1, int(np.sqrt(tasks)))
 
@@ -257,16 +282,26 @@ def added(df: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], siz
             total += of(np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(len(b), -1), b.column("fold").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % n_groups], pa.int32()), pa.array([total.tobytes()])], names=["g", "x"])
 
-    def groups(table: pa.Table) -> pa.Table:
-        total = np.zeros(size)
-        for x in sorted(table.column("x").to_pylist()):
+    def total_of(sums: list[bytes]) -> np.ndarray:
+        total = np.frombuffer(sums[0]).copy()
+        for x in sums[1:]:
             total += np.frombuffer(x)
-        return pa.table({"x": pa.array([total.tobytes()])})
+        return total
+
+    def groups(table: pa.Table) -> pa.Table:
+        total = total_of(sorted(table.column("x").to_pylist()))
+        cuts = range(0, size, SUM_PIECE)
+        return pa.table({"piece": pa.array(range(len(cuts)), pa.int32()), "x": pa.array([total[k : k + SUM_PIECE].tobytes() for k in cuts])})
+
+    def pieces(table: pa.Table) -> pa.Table:
+        return pa.table({"piece": table.column("piece").slice(0, 1), "x": pa.array([total_of(sorted(table.column("x").to_pylist())).tobytes()])})
 
     each = arrow_rows(df.select("x", "fold"), rows, "g int, x binary")
-    few = 8 * size * tasks <= SUMS_BYTES
-    found = (each if few else arrow_groups(each, "g", groups, "x binary")).select("x").collect()
-    return np.sum([np.frombuffer(x) for x in sorted(bytes(r.x) for r in found)], axis=0) if found else np.zeros(size)
+    if 8 * size * tasks <= SUMS_BYTES:
+        found = sorted(bytes(r.x) for r in each.select("x").collect())
+        return total_of(found) if found else np.zeros(size)
+    found = arrow_groups(arrow_groups(each, "g", groups, "piece int, x binary"), "piece", pieces, "piece int, x binary").collect()
+    return np.concatenate([np.frombuffer(r.x) for r in sorted(found, key=lambda r: r.piece)])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES) -> Model:
@@ -285,17 +320,19 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES) ->
         fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int")
         return arrow_rows(df.select("text", fold.alias("fold")), rows, "x binary, fold int")
 
-    found = sorted((bytes(r.x), r.fold) for r in folded(positive).collect())
-    p, of = np.frombuffer(b"".join(x for x, _ in found), np.float32).reshape(-1, DENSE + HASHED), np.array([f for _, f in found], np.int64)
+    found = folded(positive).toArrow().sort_by([("x", "ascending"), ("fold", "ascending")])
+    p, of = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, DENSE + HASHED), found.column("fold").to_numpy().astype(np.int64)
+    del found
     u = written(folded(open_docs), "unlabelled_features")
     width = DENSE + HASHED
     m = added(u, lambda x, _: moments(x), 1 + 2 * width)
     if not len(p) or not m[0]:
         return Model(0.5)
-    m = m + moments(p)
+    m = m + sum(map(moments, blocks(p)))
     mean = m[1 : 1 + width] / m[0]
     scale = np.sqrt(np.maximum(m[1 + width :] / m[0] - mean**2, 0)) + 1e-3
     sp = standard(p, mean, scale)
+    del p
     prior = prior_of(u, sp, of, mean, scale)
     narrow = lambda x: standard(x, mean, scale).astype(np.float32)
     theta = least_risk(sp, lambda t: added(u, lambda x, _: sums(narrow(x), t), size_of(width + 1)), prior, DECAY)
@@ -309,7 +346,7 @@ def prior_of(u: DataFrame, sp: np.ndarray, of: np.ndarray, mean: np.ndarray, sca
     if min(*counts, *np.bincount(of, minlength=FOLDS)) < 1:
         return 0.5
     size = FOLDS * size_of(sp.shape[1])
-    thetas = minimise([sp[of != k] for k in range(FOLDS)], lambda t: added(u, lambda x, f: sums(standard(x, mean, scale).astype(np.float32), t, f), size), 1.0, DECAY_OF_PRIOR)[0]
+    thetas = minimise(sp, of, FOLDS, lambda t: added(u, lambda x, f: sums(standard(x, mean, scale).astype(np.float32), t, f), size), 1.0, DECAY_OF_PRIOR)[0]
     score_of = lambda x, f: np.einsum("ij,ij->i", x, thetas[f])
 
     def above(cut: np.ndarray) -> np.ndarray:
