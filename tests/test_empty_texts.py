@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["p14_substack", "p14_substack_whole"])
+@pytest.mark.parametrize("name", ["p14_substack", "p14_substack_whole", "p7_twitter", "p7_twitter_whole"])
 def test_empty_texts_equal_sql(spark, folder, name):
     got = QUERIES[name](spark, folder)
     c = duckdb.connect()
@@ -31,3 +31,9 @@ def test_parser_still_names_a_post_without_title(spark):
     body = '{"items":[{"post":{"id":1,"title":""}},{"post":{"id":2}},{"post":{"id":3,"title":"x"}}]}'
     found = P.substack(spark.createDataFrame([(1, body, None)], "page_id long, body string, context string"))
     assert [r.title for r in found.orderBy("pos").collect()] == ["Untitled post", "Untitled post", "x"]
+
+
+def test_parser_still_trims_a_post(spark):
+    post = '{"content":{"itemContent":{"tweet_results":{"result":{"rest_id":"1","legacy":{"full_text":"\\n a b https://t.co/zz"}}}}}}'
+    body = '{"data":{"bookmark_timeline_v2":{"timeline":{"instructions":[{"type":"TimelineAddEntries","entries":[' + post + "]}]}}}}"
+    assert P.twitter(spark.createDataFrame([(1, body, None)], "page_id long, body string, context string")).first().summary == "a b"
